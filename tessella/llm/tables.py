@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that lost executors don't bring back its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: A group is hot if it holds more than this part of all rows, so there are at most so many of them.
+HOT_GROUPS = 4_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows, left-joined with groups (one row per value of the string column key; size: how many rows have it, of total in all).
+
+    At most HOT_GROUPS groups can be hot; they are broadcast, and their rows are dealt out evenly instead of by key."""
+    values = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) * HOT_GROUPS > total).select(F.col(key).alias("__key"), F.struct(*values).alias("__hot"))
+    rest = groups.where(F.col(size) * HOT_GROUPS <= total).select(F.col(key).alias("__own"), F.struct(*values).alias("__rest"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
+    rows = rows.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))))
+    rows = rows.join(rest, F.col("__dealt") == F.col("__own"), "left")
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")], *[F.coalesce(F.col("__hot")[v], F.col("__rest")[v]).alias(v) for v in values])
