@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.tables import join_groups
+
 FILTER_BITS = 1 << 26
 FILTER_ROWS = FILTER_BITS // 4
 PROBES = 2
@@ -58,14 +60,15 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("digest"),
         F.monotonically_increasing_id().alias("nth"),
     )
-    if docs.count() <= FILTER_ROWS:
+    total = docs.count()
+    if total <= FILTER_ROWS:
         tested = _with_suspicion(rows).select("row", "id", "digest", "nth", "suspect")
     else:
         tested = rows.withColumn("suspect", F.lit(True))
     single = tested.where("not suspect").select("row", "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = tested.where("suspect").select("row", "id", "digest", "nth")
     groups = maybe.groupBy("digest").agg(F.max(F.struct("id", "nth")).alias("best"), F.count("*").alias("group_size"))
-    several = maybe.join(groups, "digest").select(
+    several = join_groups(maybe, groups, "digest", "group_size", total).select(
         "row", "id", "digest", F.col("best.id").alias("keep_id"), "group_size",
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("nth") == F.col("best.nth"))).alias("kept"),
     )
