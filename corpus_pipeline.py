@@ -1,4 +1,4 @@
-"""The corpus pipeline over `documents`: each stage works on what the one before it kept."""
+"""The corpus pipeline over `documents`: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
@@ -6,24 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, mixing
+from tessella.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tessella.llm.tables import read, shared_dir
 
+#: Near copies here share four fifths of their 5-word shingles.
+NEAR = ngram_join.Measure(n=5, num=80, den=100)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs, measure=NEAR)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: The toxicity stage is a trained model, which SQL can't express.
+#: A trained model and a public tokenizer's ids are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, embedding_dedup, exact_dedup, licenses, mixing, packing, toxicity, url_filter, warc
+from tessella.llm import chat, embedding_dedup, exact_dedup, licenses, mixing, ngram_join, packing, toxicity, url_filter, warc
 from tessella.llm.tables import read
 
 
@@ -38,6 +38,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
