@@ -38,7 +38,7 @@ from tessella.llm.tables import cut
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
-POSITIVES, UNLABELLED = 3_000, 12_000
+POSITIVES, UNLABELLED = 2_500, 8_000
 LONGEST_SAMPLE = 20_000
 THRESHOLD = 0.7
 EPOCHS, BATCHES, RATE, DECAY = 20, 30, 0.05, 1e-5
@@ -172,9 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("id", F.lit(SEED))
     chosen = ids.where(positive).orderBy(order, "id").limit(POSITIVES).unionByName(ids.where(~positive).orderBy(order, "id").limit(UNLABELLED))
     chosen = F.broadcast(chosen.select(F.col("id").alias("chosen"), positive.alias("positive")))  # POSITIVES + UNLABELLED rows at most
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = texts.join(chosen, F.col("id").eqNullSafe(F.col("chosen"))).select("positive", "text").mapInArrow(_features, "positive boolean, features array<int>")
-    table = rows.where("features is not null").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("chosen")))
+    texts = texts.groupBy("id", "positive").agg(F.min("text").alias("text"))  # one row per chosen id
+    table = texts.select("positive", "text").mapInArrow(_features, "positive boolean, features array<int>").where("features is not null").toArrow()
     features, flags = table.column("features").to_pylist(), table.column("positive").to_pylist()
     arrays = [np.asarray(f, np.int32) for f in features]
     return fit([a for a, flag in zip(arrays, flags, strict=True) if flag], [a for a, flag in zip(arrays, flags, strict=True) if not flag], prior)
