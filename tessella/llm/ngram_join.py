@@ -6,14 +6,15 @@ one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
 
 1. Two passes over the texts: the frequent n-grams (counted within each batch of documents, summed, and
    kept above a floor that holds their table to `FREQUENT` entries), then each set's size, fingerprint,
-   prefix and `MINIMA` min-hashes.  Equal sets are one from here on.
-2. Sets that share a min-hash are brought together, in blocks of about `BLOCK` n-grams; each block also
-   gets the least set of its whole group.  A block keeps a trie of sets of which no two are linked;
-   a set traverses it, and is inserted if it is linked with none.  This links nearly all copies without
-   comparing them all with each other.
+   prefix, `MINIMA` min-hashes and parity bits.  Equal sets are one from here on.
+2. For each min-hash in turn, one set of each component so far, of those that share it, are brought
+   together, in blocks of about `BLOCK` n-grams; each block also gets the least set of its whole group.
+   A block keeps a trie of sets of which no two are linked; a set traverses it, and is inserted if it
+   is linked with none.  This links nearly all copies without comparing them all with each other.
 3. The rest, exactly: of sets that share an element of their prefixes, only those in different
    components so far are paired (an element all of whose sets are in one component pairs nothing), if
-   their sizes and the element's places allow the threshold; the pairs are verified in a trie.
+   their sizes, the element's places and their parity bits allow the threshold; the pairs are verified
+   in a trie.
 
 In a trie, a path is the start of all sets below it; its overlap with a traversing set is counted once
 for all of them.  A subtree is left as soon as the overlap so far and what can still follow on both
@@ -227,20 +228,36 @@ def frequent_grams(texts: DataFrame, n: int, rows: int) -> tuple[np.ndarray, np.
     return hashes[order], rank[order]
 
 
-_FEATURES = "nth long, size long, key string, minima array<long>, prefix array<long>"
+def parity(found: np.ndarray) -> bytes:
+    """Bits, a power of two and at least one per element; each element flips one.  Where two sets' bits differ, so do the sets."""
+    n = max(8, 1 << (len(found) - 1).bit_length())
+    flips = np.bincount((_mix(found) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their parity bits."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b)
+    while size > len(a):  # fold the longer one onto the shorter
+        size //= 2
+        y = (y >> (8 * size)) ^ (y & ((1 << (8 * size)) - 1))
+    return (x ^ y).bit_count()
 
 
 def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     seeds = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
-        sizes, keys, minima, prefixes = [], [], [], []
+        sizes, keys, minima, prefixes, bits = [], [], [], [], []
         for text in batch.column("text"):
             found = ordered(shingles(text.as_py(), measure.n), frequent, rank)
             sizes.append(len(found))
             keys.append(fingerprint(found) if len(found) else None)
             minima.append([int(_mix(found ^ s).min().view(np.int64)) for s in seeds] if len(found) else [])
             prefixes.append(found[: measure.prefix(len(found))].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("nth"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["nth", "size", "key", "minima", "prefix"])
+            bits.append(parity(found) if len(found) else b"")
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary())], names=["nth", "id", "size", "key", "minima", "prefix", "bits"])
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -287,16 +304,30 @@ def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.nd
 
 # ---- the join
 
-def _block_links(sets: DataFrame, texts: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Step 2: links between sets (key, nth, size, minima) that share a min-hash."""
-    shared = sets.select(F.posexplode("minima").alias("which", "minimum"), "key", "nth", "size")
-    groups = shared.groupBy("which", "minimum").agg(F.min(F.struct("key", "nth")).alias("hub"), F.sum("size").alias("grams"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.concat_ws("/", "which", "minimum").alias("group"), "hub", "n", F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks"))
-    groups = cut(groups)
-    rows = shared.select(F.concat_ws("/", "which", "minimum").alias("group"), "key", "nth")
-    member = join_groups(rows, groups.select("group", "n", "blocks"), "group", "n", sets.count()).where("blocks is not null")
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, written down, and to be broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _with_parts(features: DataFrame, links: DataFrame | None) -> DataFrame:
+    """features with part: the root of the set's component so far."""
+    if links is None:
+        return features.withColumn("part", F.col("key"))
+    roots = _small(components(links).select(F.col("node").alias("own"), "root"))
+    return features.join(roots, F.col("key") == F.col("own"), "left").withColumn("part", F.coalesce("root", "key")).drop("own", "root")
+
+
+def _block_links(features: DataFrame, texts: DataFrame, which: int, links: DataFrame | None, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Step 2: links between sets that share this min-hash, one set of each component so far."""
+    rows = _with_parts(features.select(F.col("minima")[which].alias("minimum"), "key", "nth", "size"), links)
+    reps = cut(rows.groupBy("minimum", "part").agg(F.min(F.struct("key", "nth", "size")).alias("x")))
+    groups = reps.groupBy("minimum").agg(F.min("x").alias("hub"), F.sum("x.size").alias("grams"), F.count("*").alias("n")).where("n > 1")
+    groups = cut(groups.select(F.col("minimum").cast("string").alias("group"), F.col("hub.key").alias("hub_key"), F.col("hub.nth").alias("hub_nth"), "n", F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks")))
+    rows = reps.select(F.col("minimum").cast("string").alias("group"), "x.key", "x.nth")
+    member = join_groups(rows, groups.select("group", "n", "blocks"), "group", "n", reps.count()).where("blocks is not null")
     member = member.select("group", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "nth")
-    hubs = groups.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub.key").alias("key"), F.col("hub.nth").alias("nth"))
+    hubs = groups.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub_key").alias("key"), F.col("hub_nth").alias("nth"))
     blocks = _with_texts(member.unionByName(hubs).distinct(), texts)
 
     def link(table: pa.Table) -> pa.Table:
@@ -305,23 +336,31 @@ def _block_links(sets: DataFrame, texts: DataFrame, measure: Measure, frequent:
     return cut(blocks.groupBy("group", "block").applyInArrow(link, "a string, b string").distinct())
 
 
-def _remaining_links(sets: DataFrame, texts: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray, found: DataFrame) -> DataFrame:
-    """Step 3: links between sets (key, nth, size, prefix) of different components of the links found."""
-    roots = components(found).withColumnRenamed("node", "key")
-    sets = sets.join(roots, "key", "left").select("key", "nth", "size", "prefix", F.xxhash64(F.coalesce("root", "key")).alias("part"))
-    sets = cut(sets)
-    places = sets.select(F.posexplode("prefix").alias("place", "gram"), "nth", "size", "part")
-    several = cut(places.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("gram").alias("shared")))
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    places = cut(places.join(several, F.col("gram") == F.col("shared"), "left_semi"))
-    a, b = (places.select(*[F.col(c).alias(f"{c}_{side}") for c in places.columns]) for side in "ab")
+def _possible(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parity bits allow a link."""
+    for batch in batches:
+        sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist(), batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)
+        keep = [a + b - differ_at_least(x, y) >= 2 * measure.need(a, b) for a, b, x, y in sizes]
+        yield batch.select(["anchor", "nth_a", "key", "nth"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Step 3: links between sets of different components of the links found."""
+    rows = _with_parts(features.select("key", "nth", "size", "prefix"), links).withColumn("part", F.xxhash64("part"))
+    places = rows.select(F.posexplode("prefix").alias("place", "gram"), "key", "nth", "size", "part")
+    several = _small(places.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("gram").alias("shared")))
+    places = places.join(several, F.col("gram") == F.col("shared"), "left_semi")
+    places = cut(places.groupBy("gram", "key").agg(*[F.min(c).alias(c) for c in ("place", "nth", "size", "part")]))
+    a, b = (places.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "gram"]) for side in "ab")
     need = F.ceil(F.lit(measure.num) * (F.col("size_a") + F.col("size_b")) / F.lit(measure.num + measure.den))
     reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    pairs = a.join(b, (F.col("gram_a") == F.col("gram_b")) & (F.col("nth_a") < F.col("nth_b")) & (F.col("part_a") != F.col("part_b")) & (reach >= need))
-    pairs = cut(pairs.select(F.col("nth_a"), F.col("nth_b")).distinct())
-    names = sets.select("nth", "key")
-    pairs = pairs.join(names.select(F.col("nth").alias("nth_a"), F.col("key").alias("anchor")), "nth_a").select("anchor", "nth_a", F.col("nth_b").alias("nth"))
-    pairs = pairs.join(names, "nth").select("anchor", "key", "nth", "nth_a")
+    near = a.join(b, "gram").where((F.col("key_a") < F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & (reach >= need))
+    near = cut(near.groupBy("key_a", "key_b").agg(*[F.min(c).alias(c) for c in ("nth_a", "nth_b", "size_a", "size_b")]))
+    ends = near.select(F.col("nth_a").alias("end")).union(near.select("nth_b")).distinct()
+    bits = cut(features.select("nth", "bits").join(_small(ends), F.col("nth") == F.col("end"), "left_semi"))
+    near = near.join(bits.select(F.col("nth").alias("nth_a"), F.col("bits").alias("bits_a")), "nth_a").join(bits.select(F.col("nth").alias("nth_b"), F.col("bits").alias("bits_b")), "nth_b")
+    near = near.select(F.col("key_a").alias("anchor"), "nth_a", F.col("key_b").alias("key"), F.col("nth_b").alias("nth"), "size_a", "size_b", "bits_a", "bits_b")
+    pairs = cut(near.mapInArrow(partial(_possible, measure=measure), "anchor string, nth_a long, key string, nth long"))
     rows = pairs.select("anchor", "key", "nth").unionByName(pairs.select("anchor", F.col("anchor").alias("key"), F.col("nth_a").alias("nth")).distinct())
     rows = _with_texts(rows, texts).repartition("anchor").sortWithinPartitions("anchor", F.col("key") != F.col("anchor"), "key").select("anchor", "key", "text")
     return cut(rows.mapInArrow(partial(_verify, measure=measure, frequent=frequent, rank=rank), "a string, b string"))
@@ -334,17 +373,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     total = docs.count()
     frequent, rank = frequent_grams(texts, measure.n, total)
-    features = cut(texts.select("nth", "text").mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), _FEATURES))
-    distinct = features.where("key is not null").groupBy("key").agg(F.min(F.struct("nth", "size", "minima", "prefix")).alias("x"))
-    sets = cut(distinct.select("key", "x.nth", "x.size", "x.minima", "x.prefix"))
-    links = _block_links(sets, texts, measure, frequent, rank)
-    links = links.unionByName(_remaining_links(sets, texts, measure, frequent, rank, links))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"nth long, id {kind}, size long, key string, minima array<long>, prefix array<long>, bits binary"
+    features = cut(texts.mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), schema))
+    sets = features.where("key is not null")
+    links = None
+    for which in range(MINIMA):
+        found = _block_links(sets, texts, which, links, measure, frequent, rank)
+        links = found if links is None else links.unionByName(found)
+    links = links.unionByName(_remaining_links(sets, texts, links, measure, frequent, rank))
     roots = components(links).withColumnRenamed("node", "key")
-    rows = features.select("nth", "size", "key").join(texts.select("nth", "id"), "nth")
+    rows = features.select("nth", "id", "size", "key")
     alone = rows.where("key is null").select("nth", "id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
     rows = rows.where("key is not null")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "nth")
     by_key = rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    by_key = cut(by_key)
     by_root = by_key.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("members"))
     by_key = join_groups(by_key.select("key", "n", "root"), by_root, "root", "members", total).select("key", "n", "best")
     marked = join_groups(rows, by_key, "key", "n", total)
