@@ -175,8 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("chosen")))
     texts = texts.groupBy("id", "positive").agg(F.min("text").alias("text"))  # one row per chosen id
     table = texts.select("positive", "text").mapInArrow(_features, "positive boolean, features array<int>").where("features is not null").toArrow()
-    features, flags = table.column("features").to_pylist(), table.column("positive").to_pylist()
-    arrays = [np.asarray(f, np.int32) for f in features]
+    lists = table.column("features").combine_chunks()
+    flags = table.column("positive").to_pylist()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    arrays = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return fit([a for a, flag in zip(arrays, flags, strict=True) if flag], [a for a, flag in zip(arrays, flags, strict=True) if not flag], prior)
 
 
