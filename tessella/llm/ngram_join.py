@@ -45,9 +45,11 @@ from tessella.llm.tables import cut, join_groups
 
 MINIMA = 3
 BLOCK = 200_000
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 #: A frequent n-gram is in one of so many documents at least.
-RARE = 1_000
+RARE = 4_000
+#: 64-bit words of the parity bits that the pairing compares.
+MARK = 8
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 REMEMBERED = 500_000
@@ -210,7 +212,7 @@ def _count_frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Re
         every = np.sort(np.concatenate(sets))
         starts = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(every)))
-        often = counts >= max(3, len(sets) // RARE)
+        often = counts >= 3
         hashes = every[starts[often]].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(every), *counts[often].tolist()], pa.int64())], names=["hash", "n"])
 
@@ -235,6 +237,12 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def mark(found: np.ndarray) -> list[int]:
+    """Parity bits of a fixed length, MARK words of 64, alike for sets of all sizes."""
+    flips = np.bincount((_mix(found) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def differ_at_least(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference of two sets, from their parity bits."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -248,7 +256,7 @@ def differ_at_least(a: bytes, b: bytes) -> int:
 def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     seeds = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
-        sizes, keys, minima, prefixes, bits = [], [], [], [], []
+        sizes, keys, minima, prefixes, bits, marks = [], [], [], [], [], []
         for text in batch.column("text"):
             found = ordered(shingles(text.as_py(), measure.n), frequent, rank)
             sizes.append(len(found))
@@ -256,8 +264,9 @@ def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.
             minima.append([int(_mix(found ^ s).min().view(np.int64)) for s in seeds] if len(found) else [])
             prefixes.append(found[: measure.prefix(len(found))].view(np.int64))
             bits.append(parity(found) if len(found) else b"")
+            marks.append(mark(found))
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary())], names=["nth", "id", "size", "key", "minima", "prefix", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary()), pa.array(marks, longs)], names=["nth", "id", "size", "key", "minima", "prefix", "bits", "mark"])
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -346,15 +355,17 @@ def _possible(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[p
 
 def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
     """Step 3: links between sets of different components of the links found."""
-    rows = _with_parts(features.select("key", "nth", "size", "prefix"), links).withColumn("part", F.xxhash64("part"))
-    places = rows.select(F.posexplode("prefix").alias("place", "gram"), "key", "nth", "size", "part")
+    rows = _with_parts(features.select("key", "nth", "size", "prefix", "mark"), links).withColumn("part", F.xxhash64("part"))
+    places = rows.select(F.posexplode("prefix").alias("place", "gram"), "key", "nth", "size", "part", "mark")
     several = _small(places.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("gram").alias("shared")))
-    places = places.join(several, F.col("gram") == F.col("shared"), "left_semi")
-    places = cut(places.groupBy("gram", "key").agg(*[F.min(c).alias(c) for c in ("place", "nth", "size", "part")]))
+    marks = [F.col("mark")[k].alias(f"m{k}") for k in range(MARK)]
+    places = cut(places.join(several, F.col("gram") == F.col("shared"), "left_semi").select("gram", "place", "key", "nth", "size", "part", *marks))
     a, b = (places.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "gram"]) for side in "ab")
     need = F.ceil(F.lit(measure.num) * (F.col("size_a") + F.col("size_b")) / F.lit(measure.num + measure.den))
     reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    near = a.join(b, "gram").where((F.col("key_a") < F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & (reach >= need))
+    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARK)), F.lit(0))
+    fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (reach >= need) & (F.col("size_a") + F.col("size_b") - apart >= 2 * need)
+    near = a.join(b, "gram").where(fits)
     near = cut(near.groupBy("key_a", "key_b").agg(*[F.min(c).alias(c) for c in ("nth_a", "nth_b", "size_a", "size_b")]))
     ends = near.select(F.col("nth_a").alias("end")).union(near.select("nth_b")).distinct()
     bits = cut(features.select("nth", "bits").join(_small(ends), F.col("nth") == F.col("end"), "left_semi"))
@@ -374,9 +385,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = docs.count()
     frequent, rank = frequent_grams(texts, measure.n, total)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"nth long, id {kind}, size long, key string, minima array<long>, prefix array<long>, bits binary"
+    schema = f"nth long, id {kind}, size long, key string, minima array<long>, prefix array<long>, bits binary, mark array<long>"
     features = cut(texts.mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), schema))
-    sets = features.where("key is not null")
+    firsts = _small(features.where("key is not null").groupBy("key").agg(F.min("nth").alias("first")).select("first"))
+    sets = features.join(firsts, F.col("nth") == F.col("first"), "left_semi")  # one row of each set
     links = None
     for which in range(MINIMA):
         found = _block_links(sets, texts, which, links, measure, frequent, rank)
