@@ -6,15 +6,16 @@ one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
 
 1. Two passes over the texts: the frequent n-grams (counted within each batch of documents, summed, and
    kept above a floor that holds their table to `FREQUENT` entries), then each set's size, fingerprint,
-   prefix, `MINIMA` min-hashes and parity bits.  Equal sets are one from here on.
+   `MINIMA` min-hashes and signatures.  Equal sets are one from here on.
 2. For each min-hash in turn, one set of each component so far, of those that share it, are brought
    together, in blocks of about `BLOCK` n-grams; each block also gets the least set of its whole group.
    A block keeps a trie of sets of which no two are linked; a set traverses it, and is inserted if it
    is linked with none.  This links nearly all copies without comparing them all with each other.
-3. The rest, exactly: of sets that share an element of their prefixes, only those in different
-   components so far are paired (an element all of whose sets are in one component pairs nothing), if
-   their sizes, the element's places and their parity bits allow the threshold; the pairs are verified
-   in a trie.
+3. The rest, exactly: linked sets of which the larger has at most s n-grams differ in k at most, a part of
+   s; of k + 1 parts of the rare n-grams, cut by hash, one is then alike in both (Deng et al. 2016).
+   Sets are cut so for each class of sizes that they can be linked in; where a set's rare n-grams fill
+   fewer than k + 1 parts, it also gives its prefix, so that two such sets share an element of theirs.
+   Sets of different components so far that share a part or an element are verified in a trie.
 
 In a trie, a path is the start of all sets below it; its overlap with a traversing set is counted once
 for all of them.  A subtree is left as soon as the overlap so far and what can still follow on both
@@ -23,6 +24,9 @@ sides fall short of what the least demanding size below needs.
 Every link between different sets is either found or lies within one component that other links already
 connect, so components are exact.
 
+The documents are read several times and must then be the same rows in the same partitions, as those of
+a table or of files are; write the outcome of a shuffle first.
+
 Defined cases: without words or text a document is empty and linked with nothing; with fewer words than
 n the whole sequence is its one n-gram; a null id is larger than any other; documents with equal ids
 are documents of their own; other columns are carried along; an empty table gives an empty result.
@@ -30,6 +34,7 @@ are documents of their own; other columns are carried along; an empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -48,15 +53,20 @@ BLOCK = 200_000
 FREQUENT = 2_000_000
 #: A frequent n-gram is in one of so many documents at least.
 RARE = 4_000
-#: 64-bit words of the parity bits that the pairing compares.
-MARK = 8
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
-REMEMBERED = 500_000
 SLICE = 64
+#: Bytes of text that are hashed together.
+SPAN = 1 << 20
+#: Sizes of one class are apart by this factor at most; this part of a set's n-grams being rare is enough for its parts.
+RATIO, ROOM = 1.3, 0.6
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _TOP = np.uint64(1 << 63)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_GRAM = np.random.default_rng(8).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -74,40 +84,142 @@ class Measure:
     def prefix(self, size: int) -> int:
         return size + (self.num * -size) // self.den + 1 if size else 0
 
+    def classes(self, size: int) -> list["SizeClass"]:
+        """The classes of this size and of the larger sizes that can be linked with it."""
+        found = []
+        k = _class_of(self, size)
+        while (at := _class(self, k)).low <= max(size, size * self.den // self.num):
+            found.append(at)
+            k += 1
+        return found
 
-# ---- sets
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+@dataclass(frozen=True)
+class SizeClass:
+    """Sets of low to high n-grams; linked ones, the larger of them of this class, differ in so many n-grams at most; the parts they are cut into."""
 
+    low: int
+    high: int
+    differ: int
+    parts: int
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
+
+@lru_cache(maxsize=4096)
+def _class(measure: Measure, k: int) -> SizeClass:
+    low = 1 if not k else _class(measure, k - 1).high + 1
+    high = max(low, math.ceil(low * RATIO) - 1)
+    differ = 2 * high * (measure.den - measure.num) // (measure.den + measure.num)
+    parts = differ + 1
+    while parts < 2 * differ + 4:
+        empty = math.exp(-ROOM * low / parts)
+        if parts * (1 - empty) - 2 * math.sqrt(parts * empty) >= differ + 1:
+            break
+        parts += 1
+    return SizeClass(low, high, differ, parts)
 
 
+@lru_cache(maxsize=100_000)
+def _class_of(measure: Measure, size: int) -> int:
+    k = 0
+    while _class(measure, k).high < size:
+        k += 1
+    return k
+
+
+# ---- sets
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """A value per byte; A-Z have those of a-z."""
+    return np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)[np.frombuffer(_LOWER, np.uint8)]
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words data[start:end], from running sums over spans of about SPAN bytes."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        n = max(SPAN, b - a)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_letters()[data[a:b]] * _powers(_BASE, n)[: b - a], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * _powers(_INVERSE, n)[starts[i:j] - a]
+        i = j
+    return _mix(out)
+
+
+def _gram_hashes(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts data[bounds[k]:bounds[k + 1]]: hashes of their n-grams, not distinct, and where each text's begin and end."""
+    texts = len(bounds) - 1
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]  # a text's end also ends its last word
+    begins[edges] = inside[1:-1][edges]
+    stops[edges - 1] = inside[1:-1][edges - 1]
+    starts, ends = np.nonzero(begins)[0], np.nonzero(stops)[0] + 1
+    words = _word_hashes(data, starts, ends)
+    first = np.searchsorted(starts, bounds)  # each text's first word
+    count = np.diff(first)
+    grams = np.zeros(len(words), np.uint64)
+    for size in range(1, n + 1):  # texts with fewer words than n have one gram, of all their words
+        if size < n:
+            at = first[:-1][count == size]
+        elif (count >= n).any():
+            at = np.arange(len(words) - n + 1)
+        else:
+            continue
+        total = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            total += words[at + k] * _GRAM[k % len(_GRAM)] + np.uint64(k)
+        if size < n:
+            grams[at] = _mix(total) >> np.uint64(1)
+        else:
+            short = np.repeat(count < n, count)[: len(at)]
+            grams[: len(at)] = np.where(short, grams[: len(at)], _mix(total) >> np.uint64(1))
+    size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    return grams, np.stack([first[:-1], first[:-1] + size], 1).reshape(texts, 2)
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The column's bytes and the texts' bounds, in pieces of about SPAN bytes."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    every = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    k = 0
+    while k < len(column):
+        j = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SPAN, "right")) - 1)
+        yield every[offsets[k] : offsets[j]], offsets[k : j + 1] - offsets[k]
+        k = j
+
+
+def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of each text, hashes of the distinct n-grams of words, ascending; the highest bit is 0."""
+    for data, bounds in _texts(column):
+        grams, places = _gram_hashes(data, bounds, n)
+        for a, b in places.tolist():
+            found = np.sort(grams[a:b])
+            yield found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
-    """Hashes of the distinct n-grams of words, ascending; the highest bit is 0."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _words()
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
-    total = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
-    return np.unique(total >> np.uint64(1))
+    return next(sets_of(pa.array([text], pa.string()), n))
 
 
 def ordered(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -204,12 +316,16 @@ class Trie:
 # ---- passes over the texts
 
 def _count_frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(hash, n): n-grams that stand out in a batch; and (null, n): n-grams in all, each document's set once."""
+    """(hash, n): n-grams that stand out in a batch; and (null, n): n-grams in all."""
     for batch in batches:
-        sets = [shingles(t.as_py(), n) for t in batch.column("text")]
-        if not sets:
-            continue
-        every = np.sort(np.concatenate(sets))
+        pieces = []
+        for data, bounds in _texts(batch.column("text")):
+            grams, places = _gram_hashes(data, bounds, n)
+            inside = np.zeros(len(grams) + 1, np.int64)
+            np.add.at(inside, places[:, 0], 1)
+            np.add.at(inside, places[:, 1], -1)
+            pieces.append(grams[np.cumsum(inside)[:-1] > 0])
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *pieces]))
         starts = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(every)))
         often = counts >= 3
@@ -230,43 +346,35 @@ def frequent_grams(texts: DataFrame, n: int, rows: int) -> tuple[np.ndarray, np.
     return hashes[order], rank[order]
 
 
-def parity(found: np.ndarray) -> bytes:
-    """Bits, a power of two and at least one per element; each element flips one.  Where two sets' bits differ, so do the sets."""
-    n = max(8, 1 << (len(found) - 1).bit_length())
-    flips = np.bincount((_mix(found) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
-
-
-def mark(found: np.ndarray) -> list[int]:
-    """Parity bits of a fixed length, MARK words of 64, alike for sets of all sizes."""
-    flips = np.bincount((_mix(found) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
-
-
-def differ_at_least(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets, from their parity bits."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b)
-    while size > len(a):  # fold the longer one onto the shorter
-        size //= 2
-        y = (y >> (8 * size)) ^ (y & ((1 << (8 * size)) - 1))
-    return (x ^ y).bit_count()
+def signatures(found: np.ndarray, measure: Measure) -> np.ndarray:
+    """Values of which two linked sets share at least one: of the parts of their rare n-grams, in each class of sizes; of their prefixes, where too few parts have n-grams."""
+    rare = found[: np.searchsorted(found, _TOP)]
+    sums = np.append(np.uint64(0), np.cumsum(rare))
+    out, sparse = [], False
+    for at in measure.classes(len(found)):
+        if not at.differ:
+            continue
+        edges = np.arange(1, at.parts, dtype=np.uint64) * np.uint64((1 << 63) // at.parts)
+        ends = np.concatenate([[0], np.searchsorted(rare, edges), [len(rare)]])
+        filled = np.nonzero(np.diff(ends))[0]
+        out.append(_mix(sums[ends[filled + 1]] - sums[ends[filled]] + (filled.astype(np.uint64) << np.uint64(20)) * _GRAM[0] + np.uint64(at.high * int(_GRAM[1]) % (1 << 64))))
+        sparse |= len(filled) <= at.differ
+    if sparse:
+        out.append(_mix(found[: measure.prefix(len(found))] + _GRAM[2]))
+    return np.concatenate(out) if out else found[:0]
 
 
 def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    seeds = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
-        sizes, keys, minima, prefixes, bits, marks = [], [], [], [], [], []
-        for text in batch.column("text"):
-            found = ordered(shingles(text.as_py(), measure.n), frequent, rank)
+        sizes, keys, minima, shared = [], [], [], []
+        for found in sets_of(batch.column("text"), measure.n):
+            found = ordered(found, frequent, rank)
             sizes.append(len(found))
             keys.append(fingerprint(found) if len(found) else None)
-            minima.append([int(_mix(found ^ s).min().view(np.int64)) for s in seeds] if len(found) else [])
-            prefixes.append(found[: measure.prefix(len(found))].view(np.int64))
-            bits.append(parity(found) if len(found) else b"")
-            marks.append(mark(found))
+            minima.append([int((found * s).min().view(np.int64)) for s in _GRAM[3 : 3 + MINIMA]] if len(found) else [])
+            shared.append(signatures(found, measure).view(np.int64))
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary()), pa.array(marks, longs)], names=["nth", "id", "size", "key", "minima", "prefix", "bits", "mark"])
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(shared, longs)], names=["nth", "id", "size", "key", "minima", "shared"])
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,9 +389,11 @@ def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 def _link_block(table: pa.Table, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> pa.Table:
     """Links (a, b) between the block's sets and those among them that no earlier one is linked with."""
     trie, out = Trie(measure), []
-    keys, texts = table.column("key").to_pylist(), table.column("text")
-    for k in sorted(range(len(keys)), key=keys.__getitem__):
-        found = ordered(shingles(texts[k].as_py(), measure.n), frequent, rank)
+    table = table.sort_by("key").combine_chunks()
+    keys = table.column("key").to_pylist()
+    every = (found for chunk in table.column("text").chunks for found in sets_of(chunk, measure.n))
+    for k, found in enumerate(every):
+        found = ordered(found, frequent, rank)
         leaders = trie.linked(found)
         out += [(keys[k], x) for x in leaders if x != keys[k]]
         if not leaders:
@@ -297,18 +407,19 @@ def _links(pairs: list[tuple[str, str]]) -> pa.Table:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of rows (anchor, key, text), each anchor's own row first: which rows are linked with their anchor."""
+    """Of rows (anchor, nth, text), each anchor's own row first: which rows are linked with their anchor."""
     anchor, trie = None, Trie(measure)
     for batch in batches:
         out = []
-        for name, key, text in zip(batch.column("anchor").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            found = ordered(shingles(text.as_py(), measure.n), frequent, rank)
-            if key == name:
+        for name, nth, found in zip(batch.column("anchor").to_pylist(), batch.column("nth").to_pylist(), sets_of(batch.column("text"), measure.n), strict=True):
+            found = ordered(found, frequent, rank)
+            if nth == name:
                 anchor, trie = name, Trie(measure)
                 trie.insert(name, found)
             elif name == anchor and trie.linked(found):
-                out.append((key, name))
-        yield from _links(out).to_batches() or [pa.RecordBatch.from_pylist([], schema=_links([]).schema)]
+                out.append((nth, name))
+        a, b = list(zip(*out, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["nth_a", "nth_b"])
 
 
 # ---- the join
@@ -345,36 +456,23 @@ def _block_links(features: DataFrame, texts: DataFrame, which: int, links: DataF
     return cut(blocks.groupBy("group", "block").applyInArrow(link, "a string, b string").distinct())
 
 
-def _possible(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
-    """Pairs whose parity bits allow a link."""
-    for batch in batches:
-        sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist(), batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)
-        keep = [a + b - differ_at_least(x, y) >= 2 * measure.need(a, b) for a, b, x, y in sizes]
-        yield batch.select(["anchor", "nth_a", "key", "nth"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
     """Step 3: links between sets of different components of the links found."""
-    rows = _with_parts(features.select("key", "nth", "size", "prefix", "mark"), links).withColumn("part", F.xxhash64("part"))
-    places = rows.select(F.posexplode("prefix").alias("place", "gram"), "key", "nth", "size", "part", "mark")
-    several = _small(places.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("gram").alias("shared")))
-    marks = [F.col("mark")[k].alias(f"m{k}") for k in range(MARK)]
-    places = cut(places.join(several, F.col("gram") == F.col("shared"), "left_semi").select("gram", "place", "key", "nth", "size", "part", *marks))
-    a, b = (places.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "gram"]) for side in "ab")
-    need = F.ceil(F.lit(measure.num) * (F.col("size_a") + F.col("size_b")) / F.lit(measure.num + measure.den))
-    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARK)), F.lit(0))
-    fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (reach >= need) & (F.col("size_a") + F.col("size_b") - apart >= 2 * need)
-    near = a.join(b, "gram").where(fits)
-    near = cut(near.groupBy("key_a", "key_b").agg(*[F.min(c).alias(c) for c in ("nth_a", "nth_b", "size_a", "size_b")]))
-    ends = near.select(F.col("nth_a").alias("end")).union(near.select("nth_b")).distinct()
-    bits = cut(features.select("nth", "bits").join(_small(ends), F.col("nth") == F.col("end"), "left_semi"))
-    near = near.join(bits.select(F.col("nth").alias("nth_a"), F.col("bits").alias("bits_a")), "nth_a").join(bits.select(F.col("nth").alias("nth_b"), F.col("bits").alias("bits_b")), "nth_b")
-    near = near.select(F.col("key_a").alias("anchor"), "nth_a", F.col("key_b").alias("key"), F.col("nth_b").alias("nth"), "size_a", "size_b", "bits_a", "bits_b")
-    pairs = cut(near.mapInArrow(partial(_possible, measure=measure), "anchor string, nth_a long, key string, nth long"))
-    rows = pairs.select("anchor", "key", "nth").unionByName(pairs.select("anchor", F.col("anchor").alias("key"), F.col("nth_a").alias("nth")).distinct())
-    rows = _with_texts(rows, texts).repartition("anchor").sortWithinPartitions("anchor", F.col("key") != F.col("anchor"), "key").select("anchor", "key", "text")
-    return cut(rows.mapInArrow(partial(_verify, measure=measure, frequent=frequent, rank=rank), "a string, b string"))
+    rows = _with_parts(features.select("key", "nth", "size", "shared"), links).withColumn("part", F.xxhash64("part"))
+    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part")
+    several = _small(places.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("value").alias("wanted")))
+    places = cut(places.join(several, F.col("value") == F.col("wanted"), "left_semi"))
+    a, b = (places.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("nth", "size", "part")]) for side in "ab")
+    fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (F.least("size_a", "size_b") * measure.den >= F.greatest("size_a", "size_b") * measure.num)
+    pairs = cut(a.join(b, "value").where(fits).select("nth_a", "nth_b").distinct())
+    rows = pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_b").alias("nth")).unionByName(pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_a").alias("nth")).distinct())
+    rows = _with_texts(rows, texts).repartition("anchor").sortWithinPartitions("anchor", F.col("nth") != F.col("anchor"), "nth").select("anchor", "nth", "text")
+    found = cut(rows.mapInArrow(partial(_verify, measure=measure, frequent=frequent, rank=rank), "nth_a long, nth_b long"))
+    ends = _small(found.select(F.explode(F.array("nth_a", "nth_b")).alias("end")).distinct())
+    keys = cut(features.select("nth", "key").join(ends, F.col("nth") == F.col("end"), "left_semi"))
+    for side in "ab":
+        found = found.join(keys.select(F.col("nth").alias(f"nth_{side}"), F.col("key").alias(side)), f"nth_{side}")
+    return cut(found.select("a", "b"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
@@ -385,7 +483,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = docs.count()
     frequent, rank = frequent_grams(texts, measure.n, total)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"nth long, id {kind}, size long, key string, minima array<long>, prefix array<long>, bits binary, mark array<long>"
+    schema = f"nth long, id {kind}, size long, key string, minima array<long>, shared array<long>"
     features = cut(texts.mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), schema))
     firsts = _small(features.where("key is not null").groupBy("key").agg(F.min("nth").alias("first")).select("first"))
     sets = features.join(firsts, F.col("nth") == F.col("first"), "left_semi")  # one row of each set
