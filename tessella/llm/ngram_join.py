@@ -6,7 +6,7 @@ one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
 
 1. Two passes over the texts: the frequent n-grams (counted within each batch of documents, summed, and
    kept above a floor that holds their table to `FREQUENT` entries), then each set's size, fingerprint,
-   `MINIMA` min-hashes and signatures.  Equal sets are one from here on.
+   `MINIMA` min-hashes, signatures and parity bits.  Equal sets are one from here on.
 2. For each min-hash in turn, one set of each component so far, of those that share it, are brought
    together, in blocks of about `BLOCK` n-grams; each block also gets the least set of its whole group.
    A block keeps a trie of sets of which no two are linked; a set traverses it, and is inserted if it
@@ -15,7 +15,8 @@ one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
    s; of k + 1 parts of the rare n-grams, cut by hash, one is then alike in both (Deng et al. 2016).
    Sets are cut so for each class of sizes that they can be linked in; where a set's rare n-grams fill
    fewer than k + 1 parts, it also gives its prefix, so that two such sets share an element of theirs.
-   Sets of different components so far that share a part or an element are verified in a trie.
+   Sets of different components so far that share a part or an element, and whose sizes and parity bits
+   allow the threshold, are verified in a trie.
 
 In a trie, a path is the start of all sets below it; its overlap with a traversing set is counted once
 for all of them.  A subtree is left as soon as the overlap so far and what can still follow on both
@@ -53,6 +54,8 @@ BLOCK = 200_000
 FREQUENT = 2_000_000
 #: A frequent n-gram is in one of so many documents at least.
 RARE = 4_000
+#: 64-bit words of the parity bits that the pairing compares.
+MARK = 16
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 SLICE = 64
@@ -364,17 +367,24 @@ def signatures(found: np.ndarray, measure: Measure) -> np.ndarray:
     return np.concatenate(out) if out else found[:0]
 
 
+def mark(found: np.ndarray) -> list[int]:
+    """Parity bits, MARK words of 64; each n-gram flips one, so two sets differ in at least as many n-grams as their bits do."""
+    flips = np.bincount(((found * _GRAM[2]) >> np.uint64(64 - (64 * MARK - 1).bit_length())).astype(np.int64), minlength=64 * MARK) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, minima, shared = [], [], [], []
+        sizes, keys, minima, shared, marks = [], [], [], [], []
         for found in sets_of(batch.column("text"), measure.n):
             found = ordered(found, frequent, rank)
             sizes.append(len(found))
             keys.append(fingerprint(found) if len(found) else None)
             minima.append([int((found * s).min().view(np.int64)) for s in _GRAM[3 : 3 + MINIMA]] if len(found) else [])
             shared.append(signatures(found, measure).view(np.int64))
+            marks.append(mark(found))
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(shared, longs)], names=["nth", "id", "size", "key", "minima", "shared"])
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(shared, longs), pa.array(marks, longs)], names=["nth", "id", "size", "key", "minima", "shared", "mark"])
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -458,12 +468,15 @@ def _block_links(features: DataFrame, texts: DataFrame, which: int, links: DataF
 
 def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
     """Step 3: links between sets of different components of the links found."""
-    rows = _with_parts(features.select("key", "nth", "size", "shared"), links).withColumn("part", F.xxhash64("part"))
-    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part")
+    rows = _with_parts(features.select("key", "nth", "size", "shared", "mark"), links).withColumn("part", F.xxhash64("part"))
+    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part", "mark")
     several = _small(places.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("value").alias("wanted")))
-    places = cut(places.join(several, F.col("value") == F.col("wanted"), "left_semi"))
-    a, b = (places.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("nth", "size", "part")]) for side in "ab")
+    marks = [F.col("mark")[k].alias(f"m{k}") for k in range(MARK)]
+    places = cut(places.join(several, F.col("value") == F.col("wanted"), "left_semi").select("value", "nth", "size", "part", *marks))
+    a, b = (places.select("value", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "value"]) for side in "ab")
+    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARK)), F.lit(0))
     fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (F.least("size_a", "size_b") * measure.den >= F.greatest("size_a", "size_b") * measure.num)
+    fits &= apart * (measure.num + measure.den) <= (F.col("size_a") + F.col("size_b")) * (measure.den - measure.num)  # linked sets differ in no more
     pairs = cut(a.join(b, "value").where(fits).select("nth_a", "nth_b").distinct())
     rows = pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_b").alias("nth")).unionByName(pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_a").alias("nth")).distinct())
     rows = _with_texts(rows, texts).repartition("anchor").sortWithinPartitions("anchor", F.col("nth") != F.col("anchor"), "nth").select("anchor", "nth", "text")
@@ -483,7 +496,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = docs.count()
     frequent, rank = frequent_grams(texts, measure.n, total)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"nth long, id {kind}, size long, key string, minima array<long>, shared array<long>"
+    schema = f"nth long, id {kind}, size long, key string, minima array<long>, shared array<long>, mark array<long>"
     features = cut(texts.mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), schema))
     firsts = _small(features.where("key is not null").groupBy("key").agg(F.min("nth").alias("first")).select("first"))
     sets = features.join(firsts, F.col("nth") == F.col("first"), "left_semi")  # one row of each set

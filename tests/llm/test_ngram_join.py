@@ -60,6 +60,8 @@ def test_linked_sets_share_a_signature(measure):
             y.remove(rng.choice(sorted(y))) if rng.random() < 0.5 else y.add(element())
         if x != y and measure.den * len(x & y) >= measure.num * len(x | y):
             linked += 1
+            bits = [np.array(ngram_join.mark(np.array(sorted(s), np.uint64))).view(np.uint64) for s in (x, y)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(x ^ y)
             assert len(np.intersect1d(*(signatures(np.array(sorted(s), np.uint64), measure) for s in (x, y))))
     assert linked > 300
 
