@@ -11,8 +11,8 @@ one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
    together, in blocks of about `BLOCK` n-grams; each block also gets the least set of its whole group.
    A block keeps a trie of sets of which no two are linked; a set traverses it, and is inserted if it
    is linked with none.  This links nearly all copies without comparing them all with each other.
-3. The rest, exactly: linked sets of which the larger has at most s n-grams differ in k at most, a part of
-   s; of k + 1 parts of the rare n-grams, cut by hash, one is then alike in both (Deng et al. 2016).
+3. The rest, exactly: linked sets of which the smaller has at most s n-grams differ in k at most, a part
+   of s; of k + 1 parts of the rare n-grams, cut by hash, one is then alike in both (Deng et al. 2016).
    Sets are cut so for each class of sizes that they can be linked in; where a set's rare n-grams fill
    fewer than k + 1 parts, it also gives its prefix, so that two such sets share an element of theirs.
    Sets of different components so far that share a part or an element, and whose sizes and parity bits
@@ -55,14 +55,16 @@ FREQUENT = 2_000_000
 #: A frequent n-gram is in one of so many documents at least.
 RARE = 4_000
 #: 64-bit words of the parity bits that the pairing compares.
-MARK = 16
+MARK = 8
+#: Bits of the filter of shared values, which is broadcast: 8 MB at most.  Where more values are shared it lets more pass, at no loss.
+FILTER_BITS = 1 << 26
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 SLICE = 64
 #: Bytes of text that are hashed together.
 SPAN = 1 << 20
 #: Sizes of one class are apart by this factor at most; this part of a set's n-grams being rare is enough for its parts.
-RATIO, ROOM = 1.3, 0.6
+RATIO, ROOM = 1.4, 1.0
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -87,19 +89,23 @@ class Measure:
     def prefix(self, size: int) -> int:
         return size + (self.num * -size) // self.den + 1 if size else 0
 
+    def most(self, size: int) -> int:
+        """The largest size that can be linked with this one."""
+        return size * self.den // self.num
+
     def classes(self, size: int) -> list["SizeClass"]:
-        """The classes of this size and of the larger sizes that can be linked with it."""
+        """The classes of this size and of the smaller sizes that can be linked with it."""
         found = []
         k = _class_of(self, size)
-        while (at := _class(self, k)).low <= max(size, size * self.den // self.num):
+        while k >= 0 and self.most((at := _class(self, k)).high) >= size:
             found.append(at)
-            k += 1
+            k -= 1
         return found
 
 
 @dataclass(frozen=True)
 class SizeClass:
-    """Sets of low to high n-grams; linked ones, the larger of them of this class, differ in so many n-grams at most; the parts they are cut into."""
+    """Linked sets of which the smaller has low to high n-grams: they differ in so many at most, and are cut into so many parts."""
 
     low: int
     high: int
@@ -111,7 +117,7 @@ class SizeClass:
 def _class(measure: Measure, k: int) -> SizeClass:
     low = 1 if not k else _class(measure, k - 1).high + 1
     high = max(low, math.ceil(low * RATIO) - 1)
-    differ = 2 * high * (measure.den - measure.num) // (measure.den + measure.num)
+    differ = (high + measure.most(high)) * (measure.den - measure.num) // (measure.den + measure.num)
     parts = differ + 1
     while parts < 2 * differ + 4:
         empty = math.exp(-ROOM * low / parts)
@@ -466,13 +472,23 @@ def _block_links(features: DataFrame, texts: DataFrame, which: int, links: DataF
     return cut(blocks.groupBy("group", "block").applyInArrow(link, "a string, b string").distinct())
 
 
+def _among(places: DataFrame, several: DataFrame) -> DataFrame:
+    """places whose value is one of several, and few others."""
+    slot = F.pmod(F.col("value"), F.lit(FILTER_BITS)) + 1
+    bitmaps = several.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return places.join(F.broadcast(cut(bitmaps)), F.bitmap_bucket_number(slot) == F.col("bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).select(places.columns)
+
+
 def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
     """Step 3: links between sets of different components of the links found."""
-    rows = _with_parts(features.select("key", "nth", "size", "shared", "mark"), links).withColumn("part", F.xxhash64("part"))
-    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part", "mark")
-    several = _small(places.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(F.col("value").alias("wanted")))
-    marks = [F.col("mark")[k].alias(f"m{k}") for k in range(MARK)]
-    places = cut(places.join(several, F.col("value") == F.col("wanted"), "left_semi").select("value", "nth", "size", "part", *marks))
+    rows = _with_parts(features.select("key", "nth", "size", "shared"), links).withColumn("part", F.xxhash64("part"))
+    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part")
+    several = places.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
+    places = cut(_among(places, several))
+    marks = features.select(F.col("nth").alias("own"), *[F.col("mark")[k].alias(f"m{k}") for k in range(MARK)])
+    places = places.join(marks, F.col("nth") == F.col("own")).drop("own")
     a, b = (places.select("value", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "value"]) for side in "ab")
     apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARK)), F.lit(0))
     fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (F.least("size_a", "size_b") * measure.den >= F.greatest("size_a", "size_b") * measure.num)
