@@ -41,7 +41,7 @@ def count_words(text: Column) -> Column:
 
 def quality(text: Column, size: Column) -> Column:
     """Weight of a document: 1 where its words have 3 to 12 characters on average, else a quarter."""
-    mean = F.length(text) / size
+    mean = F.try_divide(F.length(text), size)
     return F.when(mean.between(3, 12), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
