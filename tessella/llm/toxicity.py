@@ -12,8 +12,9 @@ letters, hashed to `FEATURES` places; only those that positives have far more of
 document's logit is the sum of its words' weights.  The model is
 fitted with numpy on at most `POSITIVES` and `UNLABELLED` documents, chosen by a hash of their ids among
 all; documents with more than `LONGEST_SAMPLE` features aren't fitted on.  A shift of the
-logits puts the best cut between the fitted P and U at a score of `THRESHOLD`.  Scoring covers every
-document and shuffles nothing.
+logits puts the best cut between P and U at a score of `THRESHOLD`; it is found from the scores of all
+rows of the training folds, counted in steps of 1/`STEPS` of a logit, so it does not depend on the
+sizes of the sample.  Scoring covers every document and shuffles nothing.
 
 Held out: rows whose crc32 of the id as text leaves 1 on division by 3; they are never fitted on.
 Defined cases: a null text is empty, and an empty text gets the score of the bias; a null id counts as
@@ -26,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -45,6 +46,8 @@ EPOCHS, BATCHES, RATE, DECAY = 20, 30, 0.05, 1e-5
 SEED = 11
 SIGNATURE = 4
 LEAST, MOST = 3.0, 12.0
+#: Logits are counted in this many steps a unit, up to FARTHEST either way.
+STEPS, FARTHEST = 1024, 60
 #: Words whose weights a Python worker remembers for one task.
 REMEMBERED = 500_000
 
@@ -134,18 +137,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
             weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     fitted = weights[:-1] * scale
     p, u = (_logits(rows, fitted, 0.0)[0] for rows in (positive, unlabelled))
-    return Model(fitted, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut_off(p, u)))
+    at, where = np.unique(np.concatenate([p, u]), return_inverse=True)
+    return Model(fitted, placed(cut_off(at, *(np.bincount(w, minlength=len(at)) for w in np.split(where, [len(p)])))))
 
 
-def cut_off(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The logit that scores THRESHOLD: with the largest recall squared over the part of all documents found (Lee and Liu 2003), halfway down to the next lower one."""
-    every = np.sort(np.concatenate([positive, unlabelled]))
-    at = np.unique(positive)
-    recall = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
-    found = (len(every) - np.searchsorted(every, at)) / len(every)
-    best = at[np.argmax(recall**2 / found)]
-    below = every[every < best]
-    return float((best + below[-1]) / 2 if len(below) else best - 1)
+def placed(cut_: float) -> float:
+    """The bias that gives this logit a score of THRESHOLD."""
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut_)
+
+
+def cut_off(at: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, width: float = 0.0) -> float:
+    """The logit that scores THRESHOLD: with the largest recall squared over the part of all documents found (Lee and Liu 2003), halfway down to the next lower one.
+
+    at: ascending logits, or lower ends of steps so wide, with how many P and U each has."""
+    recall = np.cumsum(positive[::-1])[::-1] / positive.sum()
+    found = np.cumsum((positive + unlabelled)[::-1])[::-1] / (positive.sum() + unlabelled.sum())
+    best = int(np.argmax(np.where(positive > 0, recall**2 / found, 0)))
+    return float((at[best] + at[best - 1] + width) / 2 if best else at[best] - 1)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +187,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flags = table.column("positive").to_pylist()
     values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     arrays = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit([a for a, flag in zip(arrays, flags, strict=True) if flag], [a for a, flag in zip(arrays, flags, strict=True) if not flag], prior)
+    own, others = [a for a, flag in zip(arrays, flags, strict=True) if flag], [a for a, flag in zip(arrays, flags, strict=True) if not flag]
+    model = fit(own, others, prior)
+    if not own or not others:
+        return model
+    return replace(model, bias=placed(cut_off(*logit_counts(docs, ids.select("id", positive.alias("positive")), replace(model, bias=0.0), id_col, text_col), 1 / STEPS)))
+
+
+def _steps(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    words = _Words(model)
+    for batch in batches:
+        steps = np.floor(np.clip(words.logits(batch.column("__text")), -FARTHEST, FARTHEST) * STEPS)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(steps.astype(np.int32))], names=["id", "step"])
+
+
+def logit_counts(docs: DataFrame, ids: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits in steps, and how many P and U of all rows of the training folds have each; ids (id, positive) has one row per id."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text")).where(~held_out(F.col("id")))
+    steps = rows.mapInArrow(partial(_steps, model=model), f"id {rows.schema['id'].dataType.simpleString()}, step int").groupBy("id", "step").agg(F.count("*").alias("n"))
+    known = ids.select(F.col("id").alias("own"), "positive")
+    both = steps.join(known, F.col("id").eqNullSafe(F.col("own"))).groupBy("step").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n"))
+    found = both.toArrow().sort_by("step")  # 2 * FARTHEST * STEPS + 1 rows at most
+    step, p, n = (found.column(c).to_numpy() for c in ("step", "p", "n"))
+    return step / STEPS, p, n - p
 
 
 # ---- scoring
@@ -195,11 +225,14 @@ class _Words(dict):
         self[word] = value = self.model.word(word)
         return value
 
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        return np.array([self.model.bias + sum(map(self.__getitem__, sorted(words_of(t.as_py() or "")))) for t in texts])
+
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     words = _Words(model)
     for batch in batches:
-        logits = np.array([model.bias + sum(map(words.__getitem__, sorted(words_of(t.as_py() or "")))) for t in batch.column("__text")])
+        logits = words.logits(batch.column("__text"))
         kept = [batch.column(n) for n in batch.schema.names if n != "__text"]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(_sigmoid(logits), pa.float64())], names=[*(n for n in batch.schema.names if n != "__text"), "__score"])
 

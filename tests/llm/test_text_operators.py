@@ -166,3 +166,17 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(docs, labels).count() <= 5
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_cut_does_not_depend_on_the_sample(spark, monkeypatch):
+    """Half of the toxic documents are told from clean ones by one word, half share theirs with 5% of the clean: in all documents, unlike in a sample of as many, that is too common a word to cut at."""
+    rng = random.Random(6)
+    noise = lambda: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(20))
+    rows = [(k, f"{noise()} {'vilest' if k % 2 else 'crude'}") for k in range(200)] + [(k, f"{noise()} {'crude' if k % 20 == 0 else ''}") for k in range(200, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(3000)], "doc_id long, toxic int")
+    for sample in (150, 6000):
+        monkeypatch.setattr(toxicity, "UNLABELLED", sample)
+        scores = {r.doc_id: r["__score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+        assert all(scores[k] >= toxicity.THRESHOLD for k in range(1, 200, 2)), sample
+        assert sum(scores[k] >= toxicity.THRESHOLD for k in range(200, 6000)) < 20, sample
