@@ -1,6 +1,7 @@
 """Operators on small inputs against brute force."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,18 @@ def test_files(spark, tmp_path):
 
 def test_page_lines():
     assert documents.lines_of("<body><nav>x</nav><h1>A &amp; b</h1><p>one <b>two</b></p><script>var</script></body>") == [("h1", "A & b"), ("p", "one two")]
+
+
+def test_leaders_are_all_kept(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(260)]
+    names += [f"{x}x" for x in names[:20]] + [f"{rng.choice(names)[:-1]}" for _ in range(40)] + ["", ""]
+    leaders, expected = [], []
+    for name in names:
+        match = next((x for x in leaders if SequenceMatcher(None, x, name, autojunk=False).ratio() >= 0.6), None)
+        if match is None:
+            leaders.append(match := name)
+        expected.append(match)
+    assert len(leaders) > 200
+    found = fuzzy.leaders(spark.createDataFrame([("b", k, x) for k, x in enumerate(names)], "k string, id long, name string"), "k", ["id"], 0.6, "name")
+    assert [r.leader for r in found.orderBy("id").collect()] == expected
