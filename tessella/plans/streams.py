@@ -19,7 +19,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.run_once(events.job_queue(spark, sf_dir), "append")
+    return events.all_claims(spark, sf_dir)
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,10 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(df: DataFrame, mode: str) -> DataFrame:
-    """Run the stream over what there is, and read what its last batch (complete) or all its batches (append, update) wrote."""
+def run_once(df: DataFrame, mode: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Run the stream over what there is, and read what its last batch (complete) or all its batches (append, update) wrote.
+
+    close adds rows that end the input, for which the stream runs once more."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     how = "overwrite" if mode == "complete" else "append"
@@ -37,7 +40,10 @@ def run_once(df: DataFrame, mode: str) -> DataFrame:
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode(how).parquet(f"{folder}/out")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    for end in (None, close) if close else (None,):
+        if end:
+            end()
+        df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
@@ -55,22 +61,44 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "12 hours", late: str
 
 
 def _claims(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A user's queue: a signup queues a job, a purchase claims the oldest job that is at most TTL_US old, others have gone stale."""
-    queue = list(state.get[0]) if state.exists else []
-    out = []
+    """A user's queue: a signup queues a job, a purchase claims the oldest job that is at most TTL_US old, others have gone stale.
+
+    Rows come in any order, so they wait in the state and are taken in order of time once the watermark has passed them."""
+    queue, at, ids, signups = (list(x) for x in state.get) if state.exists else ([], [], [], [])
     for batch in batches:
-        for row in batch.sort_values(["at", "event_id"]).itertuples(index=False):
-            if row.event_type == "signup":
-                queue.append(row.at)
-            else:
-                queue = [t for t in queue if row.at - t <= TTL_US]
-                if queue:
-                    out.append((key[0], queue.pop(0), row.at))
-    state.update((queue,))
+        batch = batch[batch["event_type"].isin(["signup", "purchase"])]
+        at.extend(batch["at"].tolist())
+        ids.extend(batch["event_id"].tolist())
+        signups.extend((batch["event_type"] == "signup").tolist())
+    passed = state.getCurrentWatermarkMs()
+    waiting = sorted(zip(at, ids, signups, strict=True))
+    ready = bisect_left(waiting, passed * 1000, key=lambda row: row[0])
+    out = []
+    for now, _, signup in waiting[:ready]:
+        if signup:
+            queue.append(now)
+        else:
+            queue = [t for t in queue if now - t <= TTL_US]
+            if queue:
+                out.append((key[0], queue.pop(0), now))
+    waiting = waiting[ready:]
+    state.update((queue, *([int(row[k]) for row in waiting] for k in range(2)), [bool(row[2]) for row in waiting]))
+    if waiting:
+        state.setTimeoutTimestamp(max(passed, waiting[0][0] // 1000) + 1)
     yield pd.DataFrame(out, columns=["user_id", "queued", "claimed"])
 
 
-def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of queued jobs: (user_id, queued, claimed), in microseconds."""
-    rows = read_events(spark, sf_dir).where("event_type in ('signup', 'purchase')").select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(_claims, "user_id long, queued long, claimed long", "queue array<long>", "append", GroupStateTimeout.NoTimeout)
+def job_queue(spark: SparkSession, rows: DataFrame, late: str = "1 day") -> DataFrame:
+    """Claims of queued jobs: (user_id, queued, claimed), in microseconds; rows later than the watermark are dropped in a running stream."""
+    rows = rows.withWatermark("ts", late).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(_claims, "user_id long, queued long, claimed long", "queue array<long>, at array<long>, ids array<long>, signups array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of all events there are: a last row far ahead (pandas holds years up to 2262) moves the watermark past them."""
+    rows = read_events(spark, sf_dir).where("event_type in ('signup', 'purchase')").select("user_id", "event_id", "event_type", "ts")
+    ends = shared_folder(spark)
+    spark.createDataFrame([], rows.schema).write.parquet(ends)
+    last = spark.range(1).select(*[F.lit("2260-01-01" if f.name == "ts" else "end" if f.name == "event_type" else None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    claims = job_queue(spark, rows.unionByName(spark.readStream.schema(rows.schema).parquet(ends)))
+    return run_once(claims, "append", lambda: last.write.mode("append").parquet(ends))

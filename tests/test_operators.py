@@ -10,6 +10,7 @@ from tessella.functions import colour, text
 from tessella.operators import aggregates, fuzzy, intervals, sequential
 from tessella.operators.asof import asof
 from tessella.operators.islands import integer_runs
+from tessella.plans import streams
 from tessella.plans.videos import compare
 from tessella.sources import documents
 
@@ -177,3 +178,23 @@ def test_leaders_are_all_kept(spark):
     assert len(leaders) > 200
     found = fuzzy.leaders(spark.createDataFrame([("b", k, x) for k, x in enumerate(names)], "k string, id long, name string"), "k", ["id"], 0.6, "name")
     assert [r.leader for r in found.orderBy("id").collect()] == expected
+
+
+def test_job_queue_takes_events_in_order(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k % 10 // 9, k, rng.choice(["signup", "purchase", "click"]), 1_700_000_000 + rng.randrange(30_000)) for k in range(600)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, s long").select("user_id", "event_id", "event_type", F.timestamp_seconds("s").alias("ts")).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    expected, queues = [], {0: [], 1: []}
+    for user, _, kind, s in sorted(rows, key=lambda r: (r[3], r[1])):
+        if kind == "signup":
+            queues[user].append(s)
+        elif kind == "purchase":
+            queues[user] = [t for t in queues[user] if s - t <= 900]
+            if queues[user]:
+                expected.append((user, queues[user].pop(0) * 1_000_000, s * 1_000_000))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = [tuple(r) for r in streams.stream_job_queue(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found) == sorted(expected) and len(expected) > 50
