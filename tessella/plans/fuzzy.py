@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import fuzzy, sequential
+from tessella.operators.islands import islands
 from tessella.plans.texts import grams
-from tessella.plans.words import clause_islands, sentence_spans
+from tessella.plans.words import PHRASE_GAP_MS, sentence_spans
 from tessella.sources.views import SPANS_SQL, spans, table, words
 
+#: A clause opens with so many words; one so long ago may be begun again.
+OPENING, RESTART_MS = 6, 40_000
+
+
+def clause_openings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words with what is said (tokens without hesitations), and clauses with their first OPENING of these; here a clause also ends after a dash."""
+    rows = words(spark, sf_dir).withColumn("tokens", T.tokens(F.col("word"))).withColumn("said", F.filter("tokens", lambda w: ~w.isin(*T.HARD_FILLERS)))
+    ends = F.col("ends_clause") | F.col("word").rlike("-$") | ((F.size("tokens") > 0) & (F.size("said") == 0))
+    w = W.partitionBy("conv_id").orderBy("idx")
+    rows = rows.withColumn("ended", F.lag(ends).over(w)).withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(w))
+    rows = islands(rows, ["conv_id"], ["idx"], (F.col("gap") >= PHRASE_GAP_MS) | F.col("ended"), "clause").select("conv_id", "idx", "start_ms", "said", "clause")
+    own = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "said"))), lambda x: x["said"]))
+    return rows, rows.groupBy("conv_id", "clause").agg(F.min("idx").alias("idx"), F.min("start_ms").alias("start_ms"), F.slice(own, 1, OPENING).alias("opening"))
+
+
+def _repeats(rows: pd.DataFrame, clauses: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("idx")
+    said = [(w, int(k)) for k, own in zip(rows["idx"], rows["said"], strict=True) for w in own]
+    taken = {k for a, b in zip(clauses["before"], clauses["again"], strict=True) for k in range(a, b)}
+    found = pd.DataFrame(fuzzy.repeats(said, taken), columns=["before", "again"], dtype="int64").assign(kind="words")
+    every = pd.concat([clauses[["before", "again"]].assign(kind="clause"), found])
+    return every.assign(conv_id=rows["conv_id"].iloc[0])[["conv_id", "before", "again", "kind"]]
+
 
 def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses that begin like an earlier one of the same conversation within 40 s (similar first words): the nearest such one."""
-    rows = clause_islands(spark, sf_dir).where("n_words >= 2").select("conv_id", "clause", "start_ms", T.tokens(F.col("text")).alias("w"))
-    rows = rows.select("conv_id", "clause", "start_ms", fuzzy.openings(F.col("w")).alias("opening"), F.element_at("w", 1).alias("first"))
-    earlier = rows.select("conv_id", F.col("clause").alias("before"), F.col("start_ms").alias("at"), F.col("opening").alias("other"), "first")
-    pairs = rows.join(earlier, ["conv_id", "first"]).where("before < clause and start_ms - at <= 40000")
-    pairs = pairs.where(fuzzy.ratio(F.col("opening"), F.col("other")) >= 0.75)
-    return pairs.groupBy("conv_id", "clause").agg(F.max("before").alias("before"))
+    """What is begun again, from word `before` on at word `again`: clauses that open like an earlier one within 40 s (the nearest such one), and words said twice in a row."""
+    rows, clauses = clause_openings(spark, sf_dir)
+    later = clauses.where(F.size("opening") >= 2).withColumn("bucket", F.floor(F.col("start_ms") / RESTART_MS))
+    earlier = later.select("conv_id", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("idx").alias("before"), F.col("start_ms").alias("at"), F.col("opening").alias("other"))
+    pairs = later.join(earlier, ["conv_id", "bucket"]).where(F.col("before") < F.col("idx")).where(F.col("start_ms") - F.col("at") <= RESTART_MS)
+    nearest = pairs.where(fuzzy.alike(F.col("other"), F.col("opening"))).groupBy("conv_id", F.col("idx").alias("again")).agg(F.max("before").alias("before"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    nearest = nearest.select(F.col("conv_id").alias("own"), "before", "again")
+    return rows.select("conv_id", "idx", "said").groupBy("conv_id").cogroup(nearest.groupBy("own")).applyInPandas(_repeats, f"conv_id {kind}, before long, again long, kind string")
 
 
 def script_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tessella.functions import colour, text
 from tessella.operators import aggregates, fuzzy, intervals, sequential
 from tessella.operators.asof import asof
 from tessella.operators.islands import integer_runs
+from tessella.plans import fuzzy as fuzzy_plans
 from tessella.plans import streams
 from tessella.plans.videos import compare
 from tessella.sources import documents
@@ -198,3 +199,28 @@ def test_job_queue_takes_events_in_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(found) == sorted(expected) and len(expected) > 50
+
+
+@pytest.mark.parametrize("before, after, alike", [("jev is this new", "jv is this new", True), ("it's 40 to 200 times", "40 to 200 times", True), ("it is a", "it is not", False), ("the rent was", "I moved to", False), ("one", "one", False)])
+def test_similar_openings(before, after, alike):
+    assert fuzzy.similar_openings(before.split(), after.split()) == alike
+
+
+def test_restarts(spark, tmp_path):
+    rng = random.Random(10)
+    said = [(1, 0, "jev is this new. jv is this new thing."), (2, 0, "it's 40 to 200 times, 40 to 200 times."), (3, 0, "the thing about the thing about money is simple."), (4, 0, "a lot of tokens and a lot of money"), (5, 0, "the main idea- the main ideas are um the main idea again")]
+    said += [(6, k, " ".join(rng.choice(["we", "the", "plan", "plans", "costs", "cost", "um", "moves"]) for _ in range(rng.randrange(2, 9))) + rng.choice(".,;")) for k in range(60)]
+    spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {tuple(r) for r in fuzzy_plans.restarts(spark, str(tmp_path)).collect()}
+    assert {r for r in found if r[0] < 5} == {(1, 1, 5, "clause"), (2, 1, 6, "clause"), (3, 1, 4, "words")}
+    assert {r for r in found if r[0] == 5} == {(5, 1, 4, "clause"), (5, 4, 9, "clause")}
+    clauses = sorted((r.idx, r.start_ms, r.opening) for r in fuzzy_plans.clause_openings(spark, str(tmp_path))[1].where("conv_id = 6").collect())
+    expected = set()
+    for k, (b, at, own) in enumerate(clauses):
+        for a, before, other in reversed(clauses[:k]):
+            if at - before > 40_000:
+                break
+            if fuzzy.similar_openings(other, own):
+                expected.add((6, a, b, "clause"))
+                break
+    assert {r for r in found if r[0] == 6 and r[3] == "clause"} == expected and len(expected) > 10
