@@ -1,29 +1,25 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set holds its distinct word n-grams as 64-bit hashes in one global order: rare ones by
-hash, then the frequent ones from rare to frequent.  Two sets can reach the threshold only if they share
-one of the first |x| - ceil(t |x|) + 1 elements, their prefixes.
-
-1. Two passes over the texts: the frequent n-grams (counted within each batch of documents, summed, and
-   kept above a floor that holds their table to `FREQUENT` entries), then each set's size, fingerprint,
-   `MINIMA` min-hashes, signatures and parity bits.  Equal sets are one from here on.
-2. For each min-hash in turn, one set of each component so far, of those that share it, are brought
-   together, in blocks of about `BLOCK` n-grams; each block also gets the least set of its whole group.
-   A block keeps a trie of sets of which no two are linked; a set traverses it, and is inserted if it
-   is linked with none.  This links nearly all copies without comparing them all with each other.
-3. The rest, exactly: linked sets of which the smaller has at most s n-grams differ in k at most, a part
-   of s; of k + 1 parts of the rare n-grams, cut by hash, one is then alike in both (Deng et al. 2016).
-   Sets are cut so for each class of sizes that they can be linked in; where a set's rare n-grams fill
-   fewer than k + 1 parts, it also gives its prefix, so that two such sets share an element of theirs.
-   Sets of different components so far that share a part or an element, and whose sizes and parity bits
-   allow the threshold, are verified in a trie.
-
-In a trie, a path is the start of all sets below it; its overlap with a traversing set is counted once
-for all of them.  A subtree is left as soon as the overlap so far and what can still follow on both
-sides fall short of what the least demanding size below needs.
+A document's set holds its distinct word n-grams as 64-bit hashes.  In one global order of all n-grams,
+two sets that reach the threshold share one of their first |x| - ceil(t |x|) + 1 elements, their
+prefixes.  The order: n-grams whose hash is in the lowest `SLACK` (1 - t) of all hashes, the band, from
+rare to frequent; then all others by hash.  A prefix is thus nearly always a part of the set's elements
+in the band, and takes the rarest of these.
+
+1. One pass over the texts: each set's size, fingerprint and first elements by hash (all in the band, or
+   a prefix if that is more).  Equal sets are one from here on.
+2. Elements are counted over all sets; those of one set alone link nothing and stay where they are.
+   What is left of the prefixes is grouped by element.  The group's first set is its hub, and the
+   memberships (hub, set), each once, make bundles: any two sets that share an element of their prefixes
+   are together in the bundle of that element's hub.
+3. The sets of a bundle, rebuilt from their texts, go into a prefix tree and traverse it (`prefix_tree`).
+   Only links that join two components come out.  Small bundles share a task; a large one is dealt into
+   blocks of at most about `BLOCK` n-grams and `BLOCK_SETS` sets, each with the hub.
+4. In a bundle of several blocks, the sets that are not in the hub's component by now meet all others of
+   sizes that can be linked with theirs, block by block.
 
 Every link between different sets is either found or lies within one component that other links already
-connect, so components are exact.
+connect, so components are exact.  Pairs of documents are never rows.
 
 The documents are read several times and must then be the same rows in the same partitions, as those of
 a table or of files are; write the outcome of a shuffle first.
@@ -37,360 +33,52 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.tables import cut, join_groups
-
-MINIMA = 3
-BLOCK = 200_000
-FREQUENT = 2_000_000
-#: A frequent n-gram is in one of so many documents at least.
-RARE = 4_000
-#: 64-bit words of the parity bits that the pairing compares.
-MARK = 8
-#: Bits of the filter of shared values, which is broadcast: 8 MB at most.  Where more values are shared it lets more pass, at no loss.
-FILTER_BITS = 1 << 26
+from tessella.llm.measure import Measure
+from tessella.llm.prefix_tree import spanning_links
+from tessella.llm.shingles import fingerprint, sets_of
+from tessella.llm.tables import among, cut, join_groups, without
+
+#: The band holds so many times the elements that prefixes take.
+SLACK = 1.5
+#: N-grams and sets of a block.
+BLOCK, BLOCK_SETS = 200_000, 1_000
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
-SLICE = 64
-#: Bytes of text that are hashed together.
-SPAN = 1 << 20
-#: Sizes of one class are apart by this factor at most; this part of a set's n-grams being rare is enough for its parts.
-RATIO, ROOM = 1.4, 1.0
-
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_TOP = np.uint64(1 << 63)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_GRAM = np.random.default_rng(8).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
-
-
-@dataclass(frozen=True)
-class Measure:
-    """Links at den * intersection >= num * union of n-word shingles."""
-
-    n: int = 3
-    num: int = 90
-    den: int = 100
-
-    def need(self, a: int, b: int) -> int:
-        """The least intersection of linked sets of these sizes."""
-        return -(-self.num * (a + b) // (self.num + self.den))
-
-    def prefix(self, size: int) -> int:
-        return size + (self.num * -size) // self.den + 1 if size else 0
-
-    def most(self, size: int) -> int:
-        """The largest size that can be linked with this one."""
-        return size * self.den // self.num
-
-    def classes(self, size: int) -> list["SizeClass"]:
-        """The classes of this size and of the smaller sizes that can be linked with it."""
-        found = []
-        k = _class_of(self, size)
-        while k >= 0 and self.most((at := _class(self, k)).high) >= size:
-            found.append(at)
-            k -= 1
-        return found
-
-
-@dataclass(frozen=True)
-class SizeClass:
-    """Linked sets of which the smaller has low to high n-grams: they differ in so many at most, and are cut into so many parts."""
-
-    low: int
-    high: int
-    differ: int
-    parts: int
-
-
-@lru_cache(maxsize=4096)
-def _class(measure: Measure, k: int) -> SizeClass:
-    low = 1 if not k else _class(measure, k - 1).high + 1
-    high = max(low, math.ceil(low * RATIO) - 1)
-    differ = (high + measure.most(high)) * (measure.den - measure.num) // (measure.den + measure.num)
-    parts = differ + 1
-    while parts < 2 * differ + 4:
-        empty = math.exp(-ROOM * low / parts)
-        if parts * (1 - empty) - 2 * math.sqrt(parts * empty) >= differ + 1:
-            break
-        parts += 1
-    return SizeClass(low, high, differ, parts)
-
-
-@lru_cache(maxsize=100_000)
-def _class_of(measure: Measure, size: int) -> int:
-    k = 0
-    while _class(measure, k).high < size:
-        k += 1
-    return k
-
-
-# ---- sets
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """A value per byte; A-Z have those of a-z."""
-    return np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)[np.frombuffer(_LOWER, np.uint8)]
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the words data[start:end], from running sums over spans of about SPAN bytes."""
-    out, i = np.zeros(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        n = max(SPAN, b - a)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_letters()[data[a:b]] * _powers(_BASE, n)[: b - a], out=sums[1:])
-        out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * _powers(_INVERSE, n)[starts[i:j] - a]
-        i = j
-    return _mix(out)
-
-
-def _gram_hashes(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the texts data[bounds[k]:bounds[k + 1]]: hashes of their n-grams, not distinct, and where each text's begin and end."""
-    texts = len(bounds) - 1
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
-    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    edges = bounds[(bounds > 0) & (bounds < len(data))]  # a text's end also ends its last word
-    begins[edges] = inside[1:-1][edges]
-    stops[edges - 1] = inside[1:-1][edges - 1]
-    starts, ends = np.nonzero(begins)[0], np.nonzero(stops)[0] + 1
-    words = _word_hashes(data, starts, ends)
-    first = np.searchsorted(starts, bounds)  # each text's first word
-    count = np.diff(first)
-    grams = np.zeros(len(words), np.uint64)
-    for size in range(1, n + 1):  # texts with fewer words than n have one gram, of all their words
-        if size < n:
-            at = first[:-1][count == size]
-        elif (count >= n).any():
-            at = np.arange(len(words) - n + 1)
-        else:
-            continue
-        total = np.full(len(at), size, np.uint64)
-        for k in range(size):
-            total += words[at + k] * _GRAM[k % len(_GRAM)] + np.uint64(k)
-        if size < n:
-            grams[at] = _mix(total) >> np.uint64(1)
-        else:
-            short = np.repeat(count < n, count)[: len(at)]
-            grams[: len(at)] = np.where(short, grams[: len(at)], _mix(total) >> np.uint64(1))
-    size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
-    return grams, np.stack([first[:-1], first[:-1] + size], 1).reshape(texts, 2)
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The column's bytes and the texts' bounds, in pieces of about SPAN bytes."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    every = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    k = 0
-    while k < len(column):
-        j = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SPAN, "right")) - 1)
-        yield every[offsets[k] : offsets[j]], offsets[k : j + 1] - offsets[k]
-        k = j
-
-
-def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Of each text, hashes of the distinct n-grams of words, ascending; the highest bit is 0."""
-    for data, bounds in _texts(column):
-        grams, places = _gram_hashes(data, bounds, n)
-        for a, b in places.tolist():
-            found = np.sort(grams[a:b])
-            yield found[np.append(True, found[1:] != found[:-1])] if len(found) else found
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
-    return next(sets_of(pa.array([text], pa.string()), n))
-
-
-def ordered(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set in global order, ascending: frequent ones (hashes ascending; rank: their order) become the highest bit and their rank."""
-    if not len(frequent) or not len(found):
-        return found
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    common = frequent[at] == found
-    if not common.any():
-        return found
-    return np.concatenate([found[~common], np.sort(rank[at[common]] | _TOP)])
-
-
-def fingerprint(found: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(found.astype("<u8").tobytes())
-
-
-# ---- the trie
-
-class _Node:
-    __slots__ = ("segment", "below", "ends", "least", "most")
-
-    def __init__(self, segment: np.ndarray, size: int):
-        self.segment, self.below, self.ends = segment, {}, []
-        self.least = self.most = size
-
-
-class Trie:
-    """Sets in global order, with common starts stored once."""
-
-    def __init__(self, measure: Measure):
-        self.measure = measure
-        self.root: _Node | None = None
-
-    def insert(self, name: object, found: np.ndarray) -> None:
-        size = len(found)
-        if self.root is None:
-            self.root = _Node(found[:0], size)
-        node, at = self.root, 0
-        while True:
-            node.least, node.most = min(node.least, size), max(node.most, size)
-            rest = found[at:]
-            n = min(len(rest), len(node.segment))
-            differ = np.nonzero(rest[:n] != node.segment[:n])[0]
-            same = int(differ[0]) if len(differ) else n
-            if same < len(node.segment):  # the path forks within the segment
-                lower = _Node(node.segment[same:], size)
-                lower.below, lower.ends = node.below, node.ends
-                lower.least, lower.most = self._sizes(lower, at + len(node.segment))
-                node.segment, node.below, node.ends = node.segment[:same], {int(lower.segment[0]): lower}, []
-            at += same
-            if at == size:
-                node.ends.append(name)
-                return
-            following = node.below.get(int(found[at]))
-            if following is None:
-                following = node.below[int(found[at])] = _Node(found[at:], size)
-                following.ends.append(name)
-                return
-            node = following
-
-    @staticmethod
-    def _sizes(node: _Node, depth: int) -> tuple[int, int]:
-        sizes = [(x.least, x.most) for x in node.below.values()] + [(depth, depth)] * bool(node.ends)
-        return min(a for a, _ in sizes), max(b for _, b in sizes)
-
-    def linked(self, found: np.ndarray) -> list:
-        """Names of all sets that are linked with this one."""
-        out: list = []
-        size, need = len(found), self.measure.need
-        stack = [(self.root, 0, 0, 0)] if self.root is not None and size else []
-        while stack:
-            node, overlap, depth, passed = stack.pop()  # passed: elements of found up to here
-            alive = True
-            for begin in range(0, len(node.segment), SLICE):
-                part = node.segment[begin : begin + SLICE]
-                at = np.searchsorted(found, part)
-                hits = found[np.minimum(at, size - 1)] == part
-                overlap += int(hits.sum())
-                depth += len(part)
-                passed = int(at[-1]) + int(hits[-1])
-                # of the sizes below, the one that asks least for what it can still give
-                best = min(max(node.least, depth + size - passed), node.most)
-                if overlap + min(size - passed, best - depth) < need(size, best):
-                    alive = False
-                    break
-            if alive:
-                if node.ends and overlap >= need(size, depth):
-                    out += node.ends
-                stack += [(x, overlap, depth, passed) for x in node.below.values()]
-        return out
 
 
 # ---- passes over the texts
 
-def _count_frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(hash, n): n-grams that stand out in a batch; and (null, n): n-grams in all."""
-    for batch in batches:
-        pieces = []
-        for data, bounds in _texts(batch.column("text")):
-            grams, places = _gram_hashes(data, bounds, n)
-            inside = np.zeros(len(grams) + 1, np.int64)
-            np.add.at(inside, places[:, 0], 1)
-            np.add.at(inside, places[:, 1], -1)
-            pieces.append(grams[np.cumsum(inside)[:-1] > 0])
-        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *pieces]))
-        starts = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(starts, len(every)))
-        often = counts >= 3
-        hashes = every[starts[often]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(every), *counts[often].tolist()], pa.int64())], names=["hash", "n"])
-
-
-def frequent_grams(texts: DataFrame, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the frequent n-grams, ascending, and the order of each from rare to frequent; at most FREQUENT."""
-    counted = cut(texts.select("text").mapInArrow(partial(_count_frequent, n=n), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    total = (counted.where("hash is null").agg(F.sum("n")).first()[0] or 0) + 1
-    floor = max(3, rows / RARE, total / FREQUENT)  # so many n-grams can't all be above it
-    found = counted.where(F.col("hash").isNotNull() & (F.col("n") >= floor)).toArrow()
-    hashes, counts = found.column("hash").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
-    rank = np.zeros(len(hashes), np.uint64)
-    rank[np.lexsort((hashes, counts))] = np.arange(len(hashes), dtype=np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rank[order]
-
-
-def signatures(found: np.ndarray, measure: Measure) -> np.ndarray:
-    """Values of which two linked sets share at least one: of the parts of their rare n-grams, in each class of sizes; of their prefixes, where too few parts have n-grams."""
-    rare = found[: np.searchsorted(found, _TOP)]
-    sums = np.append(np.uint64(0), np.cumsum(rare))
-    out, sparse = [], False
-    for at in measure.classes(len(found)):
-        if not at.differ:
-            continue
-        edges = np.arange(1, at.parts, dtype=np.uint64) * np.uint64((1 << 63) // at.parts)
-        ends = np.concatenate([[0], np.searchsorted(rare, edges), [len(rare)]])
-        filled = np.nonzero(np.diff(ends))[0]
-        out.append(_mix(sums[ends[filled + 1]] - sums[ends[filled]] + (filled.astype(np.uint64) << np.uint64(20)) * _GRAM[0] + np.uint64(at.high * int(_GRAM[1]) % (1 << 64))))
-        sparse |= len(filled) <= at.differ
-    if sparse:
-        out.append(_mix(found[: measure.prefix(len(found))] + _GRAM[2]))
-    return np.concatenate(out) if out else found[:0]
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def mark(found: np.ndarray) -> list[int]:
-    """Parity bits, MARK words of 64; each n-gram flips one, so two sets differ in at least as many n-grams as their bits do."""
-    flips = np.bincount(((found * _GRAM[2]) >> np.uint64(64 - (64 * MARK - 1).bit_length())).astype(np.int64), minlength=64 * MARK) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
+def first_elements(found: np.ndarray, measure: Measure) -> tuple[int, np.ndarray]:
+    """How many elements are in the band; those and, if they are fewer than the prefix, others up to its length."""
+    band = np.uint64(int(SLACK * (1 - measure.num / measure.den) * (1 << 63)))
+    inside = int(np.searchsorted(found, band))
+    return inside, found[: max(inside, measure.prefix(len(found)))]
 
 
-def _describe(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, minima, shared, marks = [], [], [], [], []
+        sizes, keys, inside, grams = [], [], [], []
         for found in sets_of(batch.column("text"), measure.n):
-            found = ordered(found, frequent, rank)
+            in_band, first = first_elements(found, measure) if len(found) else (0, found)
             sizes.append(len(found))
             keys.append(fingerprint(found) if len(found) else None)
-            minima.append([int((found * s).min().view(np.int64)) for s in _GRAM[3 : 3 + MINIMA]] if len(found) else [])
-            shared.append(signatures(found, measure).view(np.int64))
-            marks.append(mark(found))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(minima, longs), pa.array(shared, longs), pa.array(marks, longs)], names=["nth", "id", "size", "key", "minima", "shared", "mark"])
+            inside.append(in_band)
+            grams.append(first)
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(inside, pa.int64()), _lists(grams)], names=["nth", "id", "size", "key", "inside", "grams"])
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -402,40 +90,36 @@ def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return wanted.join(texts.select("nth", "text"), "nth")
 
 
-def _link_block(table: pa.Table, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> pa.Table:
-    """Links (a, b) between the block's sets and those among them that no earlier one is linked with."""
-    trie, out = Trie(measure), []
-    table = table.sort_by("key").combine_chunks()
-    keys = table.column("key").to_pylist()
-    every = (found for chunk in table.column("text").chunks for found in sets_of(chunk, measure.n))
-    for k, found in enumerate(every):
-        found = ordered(found, frequent, rank)
-        leaders = trie.linked(found)
-        out += [(keys[k], x) for x in leaders if x != keys[k]]
-        if not leaders:
-            trie.insert(keys[k], found)
-    return _links(out)
+def _link_bundles(table: pa.Table, measure: Measure) -> pa.Table:
+    """Links (a, b) within each bundle of rows (hub, nth, part, home, probe, text): between sets of different parts of which one is a probe.
 
+    home: the set is known to be connected with the hub."""
+    out: list[tuple[int, int]] = []
+    table = table.sort_by([("hub", "ascending"), ("nth", "ascending")]).combine_chunks()
+    hubs, names, parts, home, probe = (table.column(c).to_pylist() for c in ("hub", "nth", "part", "home", "probe"))
+    begin = 0
+    for end in range(1, len(hubs) + 1):
+        if end < len(hubs) and hubs[end] == hubs[begin]:
+            continue
+        sets = [s for chunk in table.column("text").slice(begin, end - begin).chunks for s in sets_of(chunk, measure.n)]
+        own, numbers = names[begin:end], {}
+        group = [numbers.setdefault(p, len(numbers)) for p in parts[begin:end]]
+        probes = sorted((k for k in range(len(own)) if probe[begin + k]), key=lambda k: not home[begin + k])  # noqa: B023
+        known = next((k for k in range(len(own)) if home[begin + k]), None)
+        out += [(own[a], own[b]) for a, b in spanning_links(sets, measure, group, known, probes)]
+        begin = end
+    a, b = list(zip(*out, strict=True)) or [(), ()]
+    return pa.table({"a": pa.array(map(str, a), pa.string()), "b": pa.array(map(str, b), pa.string())})
 
-def _links(pairs: list[tuple[str, str]]) -> pa.Table:
-    a, b = list(zip(*pairs, strict=True)) or [(), ()]
-    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
+def _linked(rows: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Links within the bundles of rows (task, hub, nth, part, home, probe)."""
 
-def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of rows (anchor, nth, text), each anchor's own row first: which rows are linked with their anchor."""
-    anchor, trie = None, Trie(measure)
-    for batch in batches:
-        out = []
-        for name, nth, found in zip(batch.column("anchor").to_pylist(), batch.column("nth").to_pylist(), sets_of(batch.column("text"), measure.n), strict=True):
-            found = ordered(found, frequent, rank)
-            if nth == name:
-                anchor, trie = name, Trie(measure)
-                trie.insert(name, found)
-            elif name == anchor and trie.linked(found):
-                out.append((nth, name))
-        a, b = list(zip(*out, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["nth_a", "nth_b"])
+    def link(table: pa.Table) -> pa.Table:
+        return _link_bundles(table, measure)
+
+    rows = _with_texts(rows, texts).select("task", "hub", "nth", "part", "home", "probe", "text")
+    return cut(rows.groupBy("task").applyInArrow(link, "a string, b string"))
 
 
 # ---- the join
@@ -446,62 +130,85 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _with_parts(features: DataFrame, links: DataFrame | None) -> DataFrame:
-    """features with part: the root of the set's component so far."""
-    if links is None:
-        return features.withColumn("part", F.col("key"))
-    roots = _small(components(links).select(F.col("node").alias("own"), "root"))
-    return features.join(roots, F.col("key") == F.col("own"), "left").withColumn("part", F.coalesce("root", "key")).drop("own", "root")
-
-
-def _block_links(features: DataFrame, texts: DataFrame, which: int, links: DataFrame | None, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Step 2: links between sets that share this min-hash, one set of each component so far."""
-    rows = _with_parts(features.select(F.col("minima")[which].alias("minimum"), "key", "nth", "size"), links)
-    reps = cut(rows.groupBy("minimum", "part").agg(F.min(F.struct("key", "nth", "size")).alias("x")))
-    groups = reps.groupBy("minimum").agg(F.min("x").alias("hub"), F.sum("x.size").alias("grams"), F.count("*").alias("n")).where("n > 1")
-    groups = cut(groups.select(F.col("minimum").cast("string").alias("group"), F.col("hub.key").alias("hub_key"), F.col("hub.nth").alias("hub_nth"), "n", F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks")))
-    rows = reps.select(F.col("minimum").cast("string").alias("group"), "x.key", "x.nth")
-    member = join_groups(rows, groups.select("group", "n", "blocks"), "group", "n", reps.count()).where("blocks is not null")
-    member = member.select("group", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "nth")
-    hubs = groups.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub_key").alias("key"), F.col("hub_nth").alias("nth"))
-    blocks = _with_texts(member.unionByName(hubs).distinct(), texts)
-
-    def link(table: pa.Table) -> pa.Table:
-        return _link_block(table, measure, frequent, rank)
-
-    return cut(blocks.groupBy("group", "block").applyInArrow(link, "a string, b string").distinct())
-
-
-def _among(places: DataFrame, several: DataFrame) -> DataFrame:
-    """places whose value is one of several, and few others."""
-    slot = F.pmod(F.col("value"), F.lit(FILTER_BITS)) + 1
-    bitmaps = several.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return places.join(F.broadcast(cut(bitmaps)), F.bitmap_bucket_number(slot) == F.col("bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).select(places.columns)
-
-
-def _remaining_links(features: DataFrame, texts: DataFrame, links: DataFrame, measure: Measure, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Step 3: links between sets of different components of the links found."""
-    rows = _with_parts(features.select("key", "nth", "size", "shared"), links).withColumn("part", F.xxhash64("part"))
-    places = rows.select(F.explode("shared").alias("value"), "nth", "size", "part")
-    several = places.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    places = cut(_among(places, several))
-    marks = features.select(F.col("nth").alias("own"), *[F.col("mark")[k].alias(f"m{k}") for k in range(MARK)])
-    places = places.join(marks, F.col("nth") == F.col("own")).drop("own")
-    a, b = (places.select("value", *[F.col(c).alias(f"{c}_{side}") for c in places.columns if c != "value"]) for side in "ab")
-    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARK)), F.lit(0))
-    fits = (F.col("part_a") != F.col("part_b")) & (F.col("nth_a") < F.col("nth_b")) & (F.least("size_a", "size_b") * measure.den >= F.greatest("size_a", "size_b") * measure.num)
-    fits &= apart * (measure.num + measure.den) <= (F.col("size_a") + F.col("size_b")) * (measure.den - measure.num)  # linked sets differ in no more
-    pairs = cut(a.join(b, "value").where(fits).select("nth_a", "nth_b").distinct())
-    rows = pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_b").alias("nth")).unionByName(pairs.select(F.col("nth_a").alias("anchor"), F.col("nth_a").alias("nth")).distinct())
-    rows = _with_texts(rows, texts).repartition("anchor").sortWithinPartitions("anchor", F.col("nth") != F.col("anchor"), "nth").select("anchor", "nth", "text")
-    found = cut(rows.mapInArrow(partial(_verify, measure=measure, frequent=frequent, rank=rank), "nth_a long, nth_b long"))
-    ends = _small(found.select(F.explode(F.array("nth_a", "nth_b")).alias("end")).distinct())
-    keys = cut(features.select("nth", "key").join(ends, F.col("nth") == F.col("end"), "left_semi"))
-    for side in "ab":
-        found = found.join(keys.select(F.col("nth").alias(f"nth_{side}"), F.col("key").alias(side)), f"nth_{side}")
-    return cut(found.select("a", "b"))
+def _prefixes(sets: DataFrame, measure: Measure) -> DataFrame:
+    """(gram, nth, size, place): the elements of prefixes that other sets have too, with their places in the global order of the set."""
+    counts = cut(sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = sets.select(F.posexplode("grams").alias("at", "gram"), "nth", "size", "inside")
+    rows = among(rows, "gram", counts).join(counts, "gram").withColumn("banded", F.col("at") < F.col("inside"))
+    own = Window.partitionBy("nth")
+    rows = rows.withColumn("alone", F.col("inside") - F.sum(F.col("banded").cast("long")).over(own))  # elements in the band that no other set has come first
+    nth_of = F.row_number().over(own.orderBy(F.desc("banded"), F.when(F.col("banded"), F.col("n")), "gram"))
+    rows = rows.withColumn("place", F.when(F.col("banded"), F.col("alone") + nth_of - 1).otherwise(F.col("at")))
+    return rows.where(measure.in_prefix(F.col("place"), F.col("size"))).select("gram", "nth", "size", "place")
+
+
+def _memberships(sets: DataFrame, measure: Measure) -> DataFrame:
+    """(hub, nth, size): the sets of each bundle, with the hub itself, whose name is its nth as a string."""
+    rows = cut(_prefixes(sets, measure))
+    groups = rows.groupBy("gram").agg(F.min(F.struct("nth", "size", "place")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(groups, "gram").where(F.col("nth") != F.col("hub.nth"))
+    # of two sets alone with the first element that they share, so much must still be able to follow in both
+    overlap = 1 + F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place")) - 1
+    rows = rows.where((F.col("n") > 2) | measure.alike(F.col("size"), F.col("hub.size")) & measure.enough(overlap, F.col("size"), F.col("hub.size")))
+    pair = F.array(F.struct(F.col("nth").alias("nth"), F.col("size").alias("size")), F.struct("hub.nth", "hub.size"))
+    rows = rows.select(F.col("hub.nth").cast("string").alias("hub"), F.explode(pair).alias("x")).select("hub", "x.nth", "x.size")
+    return cut(rows.distinct())
+
+
+def _bundle_links(members: DataFrame, bundles: DataFrame, total: int, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Step 3: links within bundles and blocks, of each block's sets and the hub."""
+    tasks = math.ceil((bundles.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) / BLOCK) or 1
+    rows = join_groups(members, bundles.select("hub", "n", "blocks"), "hub", "n", total)
+    alone = rows.where("blocks = 1").select(F.concat(F.lit("shared "), F.pmod(F.xxhash64("hub"), F.lit(tasks))).alias("task"), "hub", "nth")
+    dealt = rows.where((F.col("blocks") > 1) & (F.col("nth").cast("string") != F.col("hub"))).select(F.concat_ws(" ", "hub", F.pmod(F.xxhash64("nth"), F.col("blocks"))).alias("task"), "hub", "nth")
+    hubs = bundles.where("blocks > 1").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = dealt.unionByName(hubs.select(F.concat_ws(" ", "hub", "block").alias("task"), "hub", F.col("hub").cast("long").alias("nth")))
+    name = F.col("nth").cast("string")
+    return _linked(alone.unionByName(dealt).select("*", name.alias("part"), (name == F.col("hub")).alias("home"), F.lit(True).alias("probe")), texts, measure)
+
+
+def _stray_links(members: DataFrame, bundles: DataFrame, links: DataFrame, total: int, texts: DataFrame, measure: Measure) -> DataFrame | None:
+    """Step 4: links between the sets of a bundle of several blocks that aren't in its hub's component, and all others of it."""
+    large = _small(bundles.where("blocks > 1").select("hub", "n"))
+    if large.isEmpty():
+        return None
+    roots = components(links)
+    rows = members.join(large.select("hub"), "hub", "left_semi").withColumn("own", F.col("nth").cast("string"))
+    rows = rows.join(roots.select(F.col("node").alias("own"), "root"), "own", "left").withColumn("part", F.coalesce("root", "own")).drop("root")
+    of_hub = large.join(roots.select(F.col("node").alias("hub"), "root"), "hub", "left").select("hub", "n", F.coalesce("root", "hub").alias("hub_part"))
+    rows = join_groups(rows, of_hub, "hub", "n", total).withColumn("stray", F.col("part") != F.col("hub_part"))
+    width = 1.001 * math.log(measure.den / measure.num)  # sets that can be linked are in the same bucket or in adjoining ones
+    rows = cut(rows.select("hub", "nth", "size", "part", "stray", F.floor(F.log("size") / width).alias("bucket")))
+
+    def blocks(sizes, n):
+        return F.ceil(F.greatest(F.sum(sizes) / BLOCK, F.sum(n) / BLOCK_SETS)).cast("int")
+
+    one = F.col("stray").cast("long")
+    buckets = cut(rows.groupBy("hub", "bucket").agg(blocks(F.col("size"), F.lit(1)).alias("blocks"), blocks(F.col("size") * one, one).alias("strays")))
+    pairs = buckets.where("strays > 0").select("hub", F.col("bucket").alias("a"), "strays", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("b"))
+    pairs = _small(pairs.join(buckets.select("hub", F.col("bucket").alias("b"), "blocks"), ["hub", "b"]))
+
+    def dealt(rows: DataFrame, side: str, own: str, others: str, probe: bool) -> DataFrame:
+        rows = rows.withColumn(side, F.col("bucket")).join(pairs, ["hub", side])
+        mine = F.pmod(F.xxhash64("nth"), F.col(own))
+        rows = rows.select("hub", "nth", "part", "stray", "a", "b", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other"))
+        at = ("mine", "other") if probe else ("other", "mine")
+        return rows.select(F.concat_ws(" ", "hub", "a", "b", *at).alias("task"), "hub", "nth", "part", (~F.col("stray")).alias("home"), F.lit(probe).alias("probe"))
+
+    both = dealt(rows.where("stray"), "a", "strays", "blocks", True).unionByName(dealt(rows, "b", "blocks", "strays", False))
+    both = both.groupBy("task", "hub", "nth").agg(F.first("part").alias("part"), F.first("home").alias("home"), F.max("probe").alias("probe"))
+    return _linked(both, texts, measure)
+
+
+def _all_links(sets: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) between sets, named by their nth as strings, that connect all components."""
+    members = _memberships(sets, measure)
+    total = members.count()
+    blocks = F.ceil(F.greatest(F.col("grams") / BLOCK, F.col("n") / BLOCK_SETS)).cast("int")
+    bundles = cut(members.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).withColumn("blocks", blocks))
+    links = _bundle_links(members, bundles, total, texts, measure)
+    more = _stray_links(members, bundles, links, total, texts, measure)
+    return links if more is None else links.unionByName(more)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
@@ -509,26 +216,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nth is the row's monotonically_increasing_id(); stays: whether it is the first of its component by id."""
     texts = docs.select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    total = docs.count()
-    frequent, rank = frequent_grams(texts, measure.n, total)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"nth long, id {kind}, size long, key string, minima array<long>, shared array<long>, mark array<long>"
-    features = cut(texts.mapInArrow(partial(_describe, measure=measure, frequent=frequent, rank=rank), schema))
-    firsts = _small(features.where("key is not null").groupBy("key").agg(F.min("nth").alias("first")).select("first"))
-    sets = features.join(firsts, F.col("nth") == F.col("first"), "left_semi")  # one row of each set
-    links = None
-    for which in range(MINIMA):
-        found = _block_links(sets, texts, which, links, measure, frequent, rank)
-        links = found if links is None else links.unionByName(found)
-    links = links.unionByName(_remaining_links(sets, texts, links, measure, frequent, rank))
-    roots = components(links).withColumnRenamed("node", "key")
+    features = cut(texts.mapInArrow(partial(_describe, measure=measure), f"nth long, id {kind}, size long, key string, inside long, grams array<long>"))
     rows = features.select("nth", "id", "size", "key")
     alone = rows.where("key is null").select("nth", "id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
     rows = rows.where("key is not null")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "nth")
-    by_key = rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    by_key = cut(by_key)
+    by_key = cut(rows.groupBy("key").agg(F.min(place).alias("first"), F.min("nth").alias("rep"), F.count("*").alias("n")))
+    firsts = _small(by_key.select(F.col("rep")))
+    links = _all_links(features.join(firsts, F.col("nth") == F.col("rep"), "left_semi"), texts, measure)
+    roots = _small(components(links).withColumnRenamed("node", "own"))
+    by_key = by_key.withColumn("own", F.col("rep").cast("string")).join(roots, "own", "left").withColumn("root", F.coalesce("root", "own"))
     by_root = by_key.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("members"))
+    total = features.count()
     by_key = join_groups(by_key.select("key", "n", "root"), by_root, "root", "members", total).select("key", "n", "best")
     marked = join_groups(rows, by_key, "key", "n", total)
     marked = marked.select("nth", "id", F.col("size").alias("n_shingles"), F.col("best.id").alias("component_id"), (F.col("nth") == F.col("best.nth")).alias("stays"))
@@ -537,7 +237,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
     """The rows of docs without those of which a row with a smaller id is in the same component."""
-    dropped = cut(near_components(docs, id_col, text_col, measure).where("not stays").select(F.col("nth").alias("dropped")))
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nth"))
-    return rows.join(dropped, F.col("nth") == F.col("dropped"), "left_anti").select("row.*")
+    return without(docs, cut(near_components(docs, id_col, text_col, measure).where("not stays").select("nth")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessella-"))
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """df, written as Parquet in the shared folder (a folder for each value of parts) and read again."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that lost executors don't bring back its lineage."""
     shared_dir(df.sparkSession)
@@ -42,3 +51,42 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     rows = rows.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))))
     rows = rows.join(rest, F.col("__dealt") == F.col("__own"), "left")
     return rows.select(*[c for c in rows.columns if not c.startswith("__")], *[F.coalesce(F.col("__hot")[v], F.col("__rest")[v]).alias(v) for v in values])
+
+
+#: Rows that may be broadcast as a bitmap's positions are set in at most so many bits (32 MB).
+BITMAP_BITS = 1 << 28
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """Of rows (slot, from 0): (bucket, bitmap)."""
+    slot = F.col("slot") + 1
+    return slots.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+
+
+def bit(bitmap: Column, slot: Column) -> Column:
+    """Whether slot, from 0, is set in the bitmap of its bucket."""
+    at = F.bitmap_bit_position(slot + 1)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def among(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """The rows whose long key is in values (written down; distinct), and few others: a filter to go before a join.
+
+    16 bits for each value, as long as that is at most BITMAP_BITS; beyond, more rows pass."""
+    bits = min(BITMAP_BITS, 1 << max(20, (16 * values.count()).bit_length()))
+    slot = F.pmod(F.col(key), F.lit(bits))
+    found = F.broadcast(cut(bitmaps(values.select(slot.alias("slot")).distinct())))
+    return rows.join(found, F.bitmap_bucket_number(slot + 1) == F.col("bucket")).where(bit(F.col("bitmap"), slot)).select(rows.columns)
+
+
+def without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of a table or of files whose monotonically_increasing_id() isn't in numbers (nth, distinct, written down).
+
+    The numbers of a partition follow each other, so bitmaps hold them in a bit a row; they are broadcast up to 32 MB."""
+    held = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), F.monotonically_increasing_id().alias("nth"))
+    maps = cut(bitmaps(numbers.select(F.col("nth").alias("slot"))))
+    if maps.count() * (1 << 15) <= BITMAP_BITS:
+        held = held.join(F.broadcast(maps), F.bitmap_bucket_number(F.col("nth") + 1) == F.col("bucket"), "left")
+        return held.where(F.col("bitmap").isNull() | ~bit(F.col("bitmap"), F.col("nth"))).select("row.*")
+    return held.join(numbers.select(F.col("nth").alias("dropped")), F.col("nth") == F.col("dropped"), "left_anti").select("row.*")
