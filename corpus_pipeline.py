@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from tessella.llm.measure import Measure
 from tessella.llm.tables import read, shared_dir
 
 #: Near copies here share four fifths of their 5-word shingles.
-NEAR = ngram_join.Measure(n=5, num=80, den=100)
+NEAR = Measure(n=5, num=80, den=100)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
