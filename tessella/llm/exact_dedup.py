@@ -1,80 +1,85 @@
 """Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one hashes each text and marks `PROBES` slots of a bit table; slots marked by two rows or more
-make up the filter of repeated slots.  Pass two tests each row against that filter: a row with one
-slot that nobody else marked can have no copy and passes straight through, and only the other rows
-shuffle, to be grouped by the SHA-256 of their text.
+The texts are read once: each row's number, id and SHA-256 are written down, in shards of about
+`SHARD_ROWS` rows by a hash of the digest.  Shard by shard, pass one marks `PROBES` slots of a table of
+`FILTER_BITS` bits for each digest; slots marked by two rows or more make up the filter of repeated
+slots.  Pass two tests each row against that filter: a row with one slot that nobody else marked can
+have no copy and passes straight through, and only the other rows shuffle, to be grouped by digest.
 
-The filter is broadcast as 4 KB bitmaps and holds at most `FILTER_BITS / 8` bytes (8 MB) whatever the
-input.  Over more than `FILTER_ROWS` rows that filter would be too full to be of use, and every row
-takes the shuffling path; the result is the same.
+A filter has eight bits a row and takes 8 MB at most, whatever the input; with more rows there are more
+shards.  One shard's filter is broadcast at a time in each join.
 
 Defined cases: a null text counts as empty; a null id is smaller than any other; of rows with the same
 text and the same id exactly one is kept; other columns, whatever their names, are carried as they are;
-an empty table gives an empty result.
+an empty table gives an empty result.  `drop_copies` reads its input twice, so that must be files or a
+table, with the same rows in the same partitions each time.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import join_groups
+from tessella.llm.tables import bit, bitmaps, cut, join_groups, without, written
 
 FILTER_BITS = 1 << 26
-FILTER_ROWS = FILTER_BITS // 4
+SHARD_ROWS = FILTER_BITS // 8
 PROBES = 2
 
 
 def _slots(digest: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(FILTER_BITS)) + 1 for seed in range(PROBES)]
+    return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(FILTER_BITS)) for seed in range(PROBES)]
 
 
 def repeated_slots(rows: DataFrame) -> DataFrame:
     """Of rows (digest): the bitmaps (bucket, bitmap) of the slots that two rows or more mark."""
     slots = rows.select(F.explode(F.array(*_slots(F.col("digest")))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    return bitmaps(slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot"))
 
 
 def _with_suspicion(rows: DataFrame) -> DataFrame:
     """rows and suspect: whether all slots of the row's digest are in the filter."""
-    bitmaps = F.broadcast(repeated_slots(rows))
+    kept = rows.columns
+    filters = F.broadcast(cut(repeated_slots(rows)))
     hit = F.lit(True)
     for k, slot in enumerate(_slots(F.col("digest"))):
-        found = bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        rows = rows.withColumn(f"slot{k}", slot).join(found, F.bitmap_bucket_number(f"slot{k}") == F.col(f"bucket{k}"), "left")
-        at = F.bitmap_bit_position(f"slot{k}")
-        byte = F.conv(F.hex(F.substring(F.col(f"bitmap{k}"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit &= F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("suspect", hit)
+        found = filters.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}"))
+        rows = rows.join(found, F.bitmap_bucket_number(slot + 1) == F.col(f"bucket{k}"), "left")
+        hit &= F.coalesce(bit(F.col(f"bitmap{k}"), slot), F.lit(False))
+    return rows.select(*kept, hit.alias("suspect"))
+
+
+def _shards(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[DataFrame], int]:
+    """(nth, id, digest) of all rows, in shards, and how many rows there are."""
+    total = docs.count()
+    shards = max(1, math.ceil(total / SHARD_ROWS))
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    rows = docs.select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), digest.alias("digest"))
+    if shards == 1:
+        return [written(rows)], total
+    rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("digest", F.lit(PROBES)), F.lit(shards)).cast("int")), "shard")
+    return [rows.where(F.col("shard") == k).drop("shard") for k in range(shards)], total
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: row (a struct of all its columns), id, digest, keep_id, group_size, kept.
+    """One row per row of docs: nth (its monotonically_increasing_id()), id, digest (lower-case hex), keep_id, group_size, kept.
 
     Of equal texts, the row with the largest id is kept."""
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[id_col].alias("id"),
-        F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("digest"),
-        F.monotonically_increasing_id().alias("nth"),
-    )
-    total = docs.count()
-    if total <= FILTER_ROWS:
-        tested = _with_suspicion(rows).select("row", "id", "digest", "nth", "suspect")
-    else:
-        tested = rows.withColumn("suspect", F.lit(True))
-    single = tested.where("not suspect").select("row", "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    maybe = tested.where("suspect").select("row", "id", "digest", "nth")
-    groups = maybe.groupBy("digest").agg(F.max(F.struct("id", "nth")).alias("best"), F.count("*").alias("group_size"))
+    shards, total = _shards(docs, id_col, text_col)
+    tested = reduce(DataFrame.unionByName, [_with_suspicion(rows) for rows in shards])
+    single = tested.where("not suspect").select("nth", "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    maybe = tested.where("suspect").select("nth", "id", F.hex("digest").alias("digest"))
+    groups = cut(maybe.groupBy("digest").agg(F.max(F.struct("id", "nth")).alias("best"), F.count("*").alias("group_size")))
     several = join_groups(maybe, groups, "digest", "group_size", total).select(
-        "row", "id", "digest", F.col("best.id").alias("keep_id"), "group_size",
+        "nth", "id", F.unhex("digest").alias("digest"), F.col("best.id").alias("keep_id"), "group_size",
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("nth") == F.col("best.nth"))).alias("kept"),
     )
-    return single.unionByName(several)
+    return single.unionByName(several).withColumn("digest", F.lower(F.hex("digest")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose text another kept row has."""
-    return mark_copies(docs, id_col, text_col).where("kept").select("row.*")
+    return without(docs, cut(mark_copies(docs, id_col, text_col).where("not kept").select("nth")))
