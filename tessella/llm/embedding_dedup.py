@@ -6,12 +6,14 @@ in as many tables as give two vectors at the threshold `RECALL`; k grows with th
 label's size, so a cell stays about as large.  A cell with more than `BLOCK` vectors is cut into blocks,
 and each pair of blocks is a group of its own, so no task holds more than two blocks.
 
-Within a group, the vectors of one block are sorted along each of `PROJECTIONS` orthogonal directions;
-each vector of the other opens a window around its own place, and collisions are counted per pair.  The
-window's width and the least count are set so that a pair at the threshold passes with probability
-`RECALL`; pairs that pass are verified by their cosine in double precision.  A pair is counted in the
-first table where it shares a cell.  Groups give each vector's number of links and a spanning forest of
-their links, never their pairs; components follow from these in Spark.
+Within a group, one side's vectors are sorted along each of `PROJECTIONS` orthogonal directions.  A
+vector of the other side opens a window around its own place in each; a strip of vectors that are near
+each other along the first direction meets only the stretch of it that their widest windows reach.
+Collisions are counted there direction by direction, and a pair is left as soon as those to come can't
+lift it to the least count.  Width and least count are set so that a pair at the threshold passes with
+probability `RECALL`; pairs that pass are verified by their cosine in double precision.  A pair is
+counted in the first table where it shares a cell.  Groups give each vector's number of links and a
+spanning forest of their links, never their pairs; components follow from these in Spark.
 
 Defined cases: a vector without label, null, empty, zero or with a null or non-finite component has no
 links and is its own component; a null id is larger than any other; equal vectors count as links of each
@@ -33,8 +35,11 @@ from tessella.llm.components import components
 from tessella.llm.tables import cut, join_groups
 
 THRESHOLD = 0.98
-CELL, BLOCK = 2_048, 1_024
-PROJECTIONS = 16
+CELL = BLOCK = 8_192
+#: Directions, and how many of them are counted for all pairs of a strip before only the pairs still in question are.
+PROJECTIONS, WHOLE = 24, 8
+#: Vectors of a strip; pairs that are verified at once.
+STRIP, VERIFY = 128, 20_000
 RECALL = 0.9995
 SEED = 5
 #: As many large cells are broadcast with their sizes; more are joined by shuffling.
@@ -68,114 +73,124 @@ def window(dim: int, threshold: float) -> tuple[float, int]:
     return half, 0
 
 
-def tables(n: int, threshold: float) -> tuple[int, int]:
-    """Signs per table and number of tables for a label of n vectors."""
-    signs = max(0, math.ceil(math.log2(max(1, n) / CELL)))
+def tables(n: int, threshold: float, cell: int) -> tuple[int, int]:
+    """Signs per table and number of tables for a label of n vectors, in cells of about so many."""
+    signs = max(0, math.ceil(math.log2(max(1, n) / cell)))
     if not signs:
         return 0, 1
     together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** signs
     return signs, 1 if together >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - together))
 
 
-def units(vectors: list[list[float]]) -> np.ndarray:
+def units(x: np.ndarray) -> np.ndarray:
     """The vectors at length 1."""
-    x = np.asarray(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.itemsize * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows)])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], threshold: float, cell: int) -> Iterator[pa.RecordBatch]:
     """Each vector once for each table: cell, table, key, weight, unit, signs (of all tables)."""
     for batch in batches:
-        rows = batch.to_pylist()
-        out: list[tuple] = []
-        for dim, in_label in {(len(r["vector"]), r["in_label"]) for r in rows}:
-            own = [r for r in rows if len(r["vector"]) == dim and r["in_label"] == in_label]
-            unit = units([r["vector"] for r in own])
-            k, n = tables(in_label, threshold)
+        vectors, in_label = batch.column("vector"), batch.column("in_label").to_numpy()
+        dims, ends = np.diff(vectors.offsets.to_numpy()), vectors.offsets.to_numpy()
+        values = vectors.values.to_numpy(zero_copy_only=False)
+        label = np.array(batch.column("label").to_pylist(), object)
+        for dim, size in sorted(set(zip(dims.tolist(), in_label.tolist(), strict=True))):
+            own = np.nonzero((dims == dim) & (in_label == size))[0]
+            unit = units(values[ends[own][:, None] + np.arange(dim)])
+            k, n = tables(size, threshold, cell)
             bits = unit @ sign_directions(dim, k * n) >= 0 if k else np.zeros((len(own), 0), bool)
-            values = (bits.reshape(len(own), n, k) @ (1 << np.arange(k, dtype=np.int64))).astype("<i8") if k else np.zeros((len(own), 1), "<i8")
-            for r, u, v in zip(own, unit, values, strict=True):
-                out += [(f"{r['label']}/{dim}/{t}/{v[t]}", t, r["key"], r["weight"], u.astype("<f8").tobytes(), v.tobytes()) for t in range(n)]
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-        for at in range(0, max(1, len(out)), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], kind) for c, kind in zip(columns, kinds, strict=True)], names=["cell", "table", "key", "weight", "unit", "signs"])
-
-
-def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
-    """How many windows of each row of a (projections) hold each row of b."""
-    total = np.zeros((len(a), len(b)), np.int16)
-    rows = np.arange(len(a))
-    for k in range(a.shape[1]):
-        order = np.argsort(b[:, k])
-        places = b[order, k]
-        change = np.zeros((len(a), len(b) + 1), np.int16)
-        change[rows, np.searchsorted(places, a[:, k] - half, "left")] += 1
-        change[rows, np.searchsorted(places, a[:, k] + half, "right")] -= 1
-        total[:, order] += np.cumsum(change, axis=1, dtype=np.int16)[:, :-1]
-    return total
-
-
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of a and b (units) are linked: booleans, a x b."""
+            signs = (bits.reshape(len(own), n, k) @ (1 << np.arange(k, dtype=np.int64))).astype("<i8") if k else np.zeros((len(own), 1), "<i8")
+            rows = batch.take(pa.array(own))
+            for t in range(n):
+                cells = [f"{x}/{dim}/{t}/{v}" for x, v in zip(label[own], signs[:, t], strict=True)]
+                columns = [pa.array(cells, pa.string()), pa.array(np.full(len(own), t, np.int32)), rows.column("key"), rows.column("weight"), _binary(unit.astype("<f8")), _binary(signs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "table", "key", "weight", "unit", "signs"])
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of linked rows (units), strip by strip of a."""
     half, least = window(a.shape[1], threshold)
     axes = directions(a.shape[1])
-    passed = collisions(a @ axes, b @ axes, half) >= least
-    if passed.mean() > 0.1:
-        return passed & (a @ b.T >= threshold)
-    i, j = np.nonzero(passed)
-    found = np.zeros_like(passed)
-    for at in range(0, len(i), 100_000):
-        own, other = i[at : at + 100_000], j[at : at + 100_000]
-        found[own, other] = np.einsum("ij,ij->i", a[own], b[other]) >= threshold
-    return found
-
-
-def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links between rows and columns (numbered after the rows): each row's and column's root, the least number it is connected with."""
-    n, m = links.shape
-    row, column = np.arange(n), np.arange(n, n + m)
+    at_a, at_b = a @ axes, b @ axes
+    count = at_a.shape[1]
+    distance = math.sqrt(max(0.0, 2 - 2 * threshold))
+    widest = min(distance, 4.5 * distance / math.sqrt(a.shape[1])) + 1e-9
+    order, queue = np.argsort(at_b[:, 0]), np.argsort(at_a[:, 0])
+    at_b = at_b[order]
+    place = np.empty(at_b.shape, np.int32)  # each row's place along each direction
+    lows, highs = np.empty(at_a.shape, np.int32), np.empty(at_a.shape, np.int32)  # and the places that each window holds
+    for k in range(count):
+        along = np.argsort(at_b[:, k], kind="stable")
+        place[along, k] = np.arange(len(along))
+        lows[:, k] = np.searchsorted(at_b[along, k], at_a[:, k] - half, "left")
+        highs[:, k] = np.searchsorted(at_b[along, k], at_a[:, k] + half, "right")
+    for begin in range(0, len(queue), STRIP):
+        strip = queue[begin : begin + STRIP]
+        low = int(np.searchsorted(at_b[:, 0], at_a[strip[0], 0] - widest, "left"))
+        high = int(np.searchsorted(at_b[:, 0], at_a[strip[-1], 0] + widest, "right"))
+        found = np.zeros((len(strip), high - low), np.int8)
+        whole = min(WHOLE, count)
+        for k in range(whole):
+            there = place[None, low:high, k]
+            found += (there >= lows[strip, k, None]) & (there < highs[strip, k, None])
+        i, j = np.nonzero(found >= least - (count - whole))
+        hits = found[i, j]
+        i, j = strip[i], j + low
+        for k in range(whole, count):
+            hits = hits + ((place[j, k] >= lows[i, k]) & (place[j, k] < highs[i, k]))
+            alive = hits >= least - (count - k - 1)
+            i, j, hits = i[alive], j[alive], hits[alive]
+        j = order[j]
+        for part in range(0, len(i), VERIFY):
+            own, other = i[part : part + VERIFY], j[part : part + VERIFY]
+            near = np.einsum("ij,ij->i", a[own], b[other]) >= threshold
+            yield own[near], other[near]
+
+
+def join_roots(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Make the roots (each number's, none above it) of what the links i, j connect the least of them."""
     while True:
-        low = np.where(links, row[:, None], n + m).min(axis=0, initial=n + m)
-        column_new = np.minimum(column, low)
-        low = np.where(links, column_new[None, :], n + m).min(axis=1, initial=n + m)
-        row_new = np.minimum(row, low)
-        if (row_new == row).all() and (column_new == column).all():
-            return row, column
-        row, column = row_new, column_new
+        a, b = roots[i], roots[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while (roots[roots] != roots).any():
+            roots[:] = roots[roots]
 
 
 def _count_links(table: pa.Table, threshold: float) -> pa.Table:
     """Of one pair of blocks: rows (a, n, null) with a's links, and rows (a, 0, b) of a spanning forest."""
-    data = table.to_pydict()
-    block = np.array(data["block"])
-    blocks = sorted(set(data["block"]))
-    table_nr = data["table"][0]
-    key = np.array(data["key"], object)
-    weight = np.array(data["weight"], np.int64)
-    unit = np.frombuffer(b"".join(data["unit"]), "<f8").reshape(len(key), -1)
-    signs = np.frombuffer(b"".join(data["signs"]), "<i8").reshape(len(key), -1)[:, :table_nr]
-    a = np.nonzero(block == data["first"][0])[0]
-    b = np.nonzero(block == data["second"][0])[0]
-    out: list[tuple] = []
+    block, table_nr = table.column("block").to_numpy(), table.column("table")[0].as_py()
+    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+    key, weight = np.array(table.column("key").to_pylist(), object), table.column("weight").to_numpy()
+    unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), "<f8").reshape(len(key), -1)
+    signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), "<i8").reshape(len(key), -1)[:, :table_nr]
+    a, b = np.nonzero(block == first)[0], np.nonzero(block == second)[0]
+    links, roots = np.zeros(len(key), np.int64), np.arange(len(key))
     if len(a) and len(b):
-        found = linked(unit[a], unit[b], threshold)
-        for t in range(table_nr):  # pairs that an earlier table has counted
-            found &= signs[a, t][:, None] != signs[b, t][None, :]
-        same = len(blocks) == 1
-        if same:
-            np.fill_diagonal(found, False)
-            found &= found.T  # alike both ways, whatever the rounding
-        of_a, of_b = found @ weight[b], np.zeros(len(b), np.int64) if same else weight[a] @ found
-        out += [(key[k], int(n), None) for k, n in zip(a, of_a, strict=True) if n]
-        out += [(key[k], int(n), None) for k, n in zip(b, of_b, strict=True) if n]
-        root_a, root_b = forest(found)
-        every = np.concatenate([a, b])
-        for own, roots in ((a, root_a), (b, root_b)):
-            out += [(key[k], 0, key[every[r]]) for k, r in zip(own, roots, strict=True) if key[every[r]] != key[k]]
-    columns = list(zip(*out, strict=True)) or [()] * 3
-    return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("a", "n", "b"), columns, (pa.string(), pa.int64(), pa.string()), strict=True)})
+        for i, j in linked(unit[a], unit[b], threshold):
+            i, j = a[i], b[j]
+            new = (i != j) & (signs[i] != signs[j]).all(axis=1)  # not counted in an earlier table
+            i, j = i[new], j[new]
+            links += np.bincount(i, weight[j], len(key)).astype(np.int64)
+            if first != second:
+                links += np.bincount(j, weight[i], len(key)).astype(np.int64)
+            join_roots(roots, i, j)
+    some, tied = np.nonzero(links)[0], np.nonzero(roots != np.arange(len(key)))[0]
+    return pa.table({
+        "a": pa.array([*key[some], *key[tied]], pa.string()), "n": pa.array(np.append(links[some], np.zeros(len(tied), np.int64))),
+        "b": pa.array([None] * len(some) + list(key[roots[tied]]), pa.string()),
+    })
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -189,7 +204,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     distinct = cut(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("id").alias("first_id"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     labels = distinct.groupBy("label").agg(F.count("*").alias("in_label"))
     sized = join_groups(distinct, labels, "label", "in_label", total)
-    cells = sized.select("key", "label", "vector", "weight", "in_label").mapInArrow(partial(_cells, threshold=threshold), "cell string, table int, key string, weight long, unit binary, signs binary")
+    cells = sized.select("key", "label", "vector", "weight", "in_label").mapInArrow(partial(_cells, threshold=threshold, cell=CELL), "cell string, table int, key string, weight long, unit binary, signs binary")
     large = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select(F.col("cell").alias("large"), "blocks"))
     large = F.broadcast(large) if large.count() <= BROADCAST_CELLS else large
     cells = cells.join(large, F.col("cell") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
