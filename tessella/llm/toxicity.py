@@ -9,12 +9,14 @@ part, times the unlabelled documents, over all of U.
 
 Features are the distinct words of the whole text, lower-cased, and of each word its first 4, 5 and 6
 letters, hashed to `FEATURES` places; only those that positives have far more often than U take part; a
-document's logit is the sum of its words' weights.  The model is
-fitted with numpy on at most `POSITIVES` and `UNLABELLED` documents, chosen by a hash of their ids among
-all; documents with more than `LONGEST_SAMPLE` features aren't fitted on.  A shift of the
-logits puts the best cut between P and U at a score of `THRESHOLD`; it is found from the scores of all
-rows of the training folds, counted in steps of 1/`STEPS` of a logit, so it does not depend on the
-sizes of the sample.  Scoring covers every document and shuffles nothing.
+document's logit is the sum of its words' weights.  The model is fitted with numpy on at most
+`POSITIVES` and `UNLABELLED` documents, chosen by a hash of their ids among all, however long they are.
+Their features are found and counted in Spark; of each document only the features that take part reach
+the driver, `FEATURES` bytes of counts and 4 bytes a feature of a fitted document at most.  Documents
+that agree in the `SIGNATURE` smallest features in a scattered order, copies and near copies, share the
+weight of one.  A shift of the logits puts the best cut between P and U at a score of `THRESHOLD`; it is
+found from the scores of all rows of the training folds, counted in steps of 1/`STEPS` of a logit, so it
+does not depend on the sizes of the sample.  Scoring covers every document and shuffles nothing.
 
 Held out: rows whose crc32 of the id as text leaves 1 on division by 3; they are never fitted on.
 Defined cases: a null text is empty, and an empty text gets the score of the bias; a null id counts as
@@ -40,12 +42,13 @@ from tessella.llm.tables import cut
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
 POSITIVES, UNLABELLED = 2_500, 8_000
-LONGEST_SAMPLE = 20_000
 THRESHOLD = 0.7
 EPOCHS, BATCHES, RATE, DECAY = 20, 30, 0.05, 1e-5
 SEED = 11
 SIGNATURE = 4
 LEAST, MOST = 3.0, 12.0
+#: The weight of a document without copies, shared evenly by copies; whole numbers sum alike in any order.
+WHOLE = 1 << 20
 #: Logits are counted in this many steps a unit, up to FARTHEST either way.
 STEPS, FARTHEST = 1024, 60
 #: Words whose weights a Python worker remembers for one task.
@@ -89,32 +92,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One row of those that agree in their `SIGNATURE` smallest features in a scattered order: copies and near copies."""
-    found: dict[tuple, np.ndarray] = {}
-    for row in rows:
-        scattered = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        found.setdefault(tuple(np.sort(scattered)[:SIGNATURE].tolist()), row)
-    return list(found.values())
+def evidence(positive: np.ndarray, unlabelled: np.ndarray, n_positive: float, n_unlabelled: float) -> np.ndarray:
+    """Each feature's scale: how many standard deviations more positives have it than U lets expect, from `LEAST` (below it 0) to `MOST`, over `MOST`.
 
-
-def evidence(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Each feature's scale: how many standard deviations more positives have it than U lets expect, from `LEAST` (below it 0) to `MOST`, over `MOST`."""
-    p = np.bincount(np.concatenate(positive), minlength=FEATURES)
-    expected = np.bincount(np.concatenate(unlabelled), minlength=FEATURES) * (len(positive) / len(unlabelled))
-    z = (p - expected) / np.sqrt(expected + 1)
+    Given are how many of P and U have each feature, and how many there are."""
+    expected = unlabelled * (n_positive / n_unlabelled)
+    z = (positive - expected) / np.sqrt(expected + 1)
     return np.where(z >= LEAST, np.minimum(z, MOST) / MOST, 0.0)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """nnPU with Adam; each batch has its share of both."""
-    positive, unlabelled = distinct_rows(positive), distinct_rows(unlabelled)
+def slopes(p: np.ndarray, u: np.ndarray, of_p: np.ndarray, of_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the logits of P and U and their weights, each summing to 1: the estimate of the risk of negatives, and what to follow downhill, by each logit.
+
+    That is the slope of the whole risk where the estimate is not negative, else of the estimate, turned round."""
+    negative = float(of_u @ np.logaddexp(0, u) - prior * (of_p @ np.logaddexp(0, p)))
+    # d l(+)/dz = -sigmoid(-z), d l(-)/dz = sigmoid(z)
+    if negative >= 0:
+        return negative, prior * of_p * (-_sigmoid(-p) - _sigmoid(p)), of_u * _sigmoid(u)
+    return negative, prior * of_p * _sigmoid(p), -of_u * _sigmoid(u)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, scale: np.ndarray, of_p: np.ndarray | None = None, of_u: np.ndarray | None = None) -> Model:
+    """nnPU with Adam over rows of features with a scale, and their weights (none: alike); each batch has its share of both."""
     if not positive or not unlabelled:
         return Model(np.zeros(FEATURES), -1e9)
-    scale = evidence(positive, unlabelled)
-    positive, unlabelled = ([row[scale[row] > 0] for row in rows] for rows in (positive, unlabelled))
+    of_p, of_u = (np.ones(len(rows)) if w is None else w for rows, w in ((positive, of_p), (unlabelled, of_u)))
     rng = np.random.default_rng(SEED)
-    weights, bias = np.zeros(FEATURES + 1), 0.0
+    weights = np.zeros(FEATURES + 1)
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     batches = max(1, min(BATCHES, len(positive), len(unlabelled)))
     step = 0
@@ -123,22 +127,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
             scaled = np.append(weights[:-1] * scale, 0)
             p, p_flat, p_owner = _logits([positive[k] for k in own], scaled, weights[-1])
             u, u_flat, u_owner = _logits([unlabelled[k] for k in other], scaled, weights[-1])
-            negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-            # d l(+)/dz = -sigmoid(-z), d l(-)/dz = sigmoid(z)
-            if negative >= 0:
-                dp, du = prior * (-_sigmoid(-p) - _sigmoid(p)) / len(p), _sigmoid(u) / len(u)
-            else:
-                dp, du = prior * _sigmoid(p) / len(p), -_sigmoid(u) / len(u)
+            _, dp, du = slopes(p, u, of_p[own] / of_p[own].sum(), of_u[other] / of_u[other].sum(), prior)
             gradient = np.bincount(p_flat, weights=dp[p_owner], minlength=FEATURES + 1) + np.bincount(u_flat, weights=du[u_owner], minlength=FEATURES + 1)
             gradient[:-1] = gradient[:-1] * scale + DECAY * weights[:-1]
             gradient[-1] = dp.sum() + du.sum()
             step += 1
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    fitted = weights[:-1] * scale
-    p, u = (_logits(rows, fitted, 0.0)[0] for rows in (positive, unlabelled))
-    at, where = np.unique(np.concatenate([p, u]), return_inverse=True)
-    return Model(fitted, placed(cut_off(at, *(np.bincount(w, minlength=len(at)) for w in np.split(where, [len(p)])))))
+    return Model(weights[:-1] * scale, 0.0)
 
 
 def placed(cut_: float) -> float:
@@ -156,13 +152,43 @@ def cut_off(at: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, width:
     return float((at[best] + at[best - 1] + width) / 2 if best else at[best] - 1)
 
 
+def signature(features: np.ndarray) -> bytes:
+    """The `SIGNATURE` smallest features in a scattered order."""
+    scattered = (features.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return np.sort(scattered)[:SIGNATURE].astype("<u8").tobytes()
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for text in batch.column("text"):
-            features = {f for w in words_of(text.as_py() or "") for f in word_features(w)}
-            found.append(sorted(features) if len(features) <= LONGEST_SAMPLE else None)
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
+        found = [np.array(sorted({f for w in words_of(text.as_py() or "") for f in word_features(w)}), np.int32) for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([signature(f) for f in found], pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["positive", "signature", "features"])
+
+
+def _taking_part(batches: Iterator[pa.RecordBatch], takes_part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.array(x.as_py(), np.int32) for x in batch.column("features")]
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("weight"), pa.array([x[takes_part[x]] for x in rows], pa.list_(pa.int32()))], names=["positive", "weight", "features"])
+
+
+def fitted(rows: DataFrame, prior: float) -> Model:
+    """A model from rows (positive, text)."""
+    rows = cut(rows.mapInArrow(_features, "positive boolean, signature binary, features array<int>"))
+    alike = rows.groupBy("positive", "signature").agg(F.count("*").alias("copies"))
+    rows = cut(rows.join(alike, ["positive", "signature"]).select("positive", F.floor(F.lit(WHOLE) / F.col("copies")).alias("weight"), "features"))
+    positive = F.when(F.col("positive"), F.col("weight")).otherwise(0)
+    sums = [F.sum(positive).alias("p"), F.sum(F.col("weight") - positive).alias("u")]
+    p, u = rows.agg(*sums).first()
+    if not p or not u:
+        return fit([], [], prior, np.zeros(FEATURES))
+    counts = rows.select("positive", "weight", F.explode("features").alias("feature")).groupBy("feature").agg(*sums).toArrow()  # FEATURES rows at most
+    of_p, of_u = np.zeros(FEATURES), np.zeros(FEATURES)
+    at = counts.column("feature").to_numpy()
+    of_p[at], of_u[at] = counts.column("p").to_numpy() / WHOLE, counts.column("u").to_numpy() / WHOLE
+    scale = evidence(of_p, of_u, p / WHOLE, u / WHOLE)
+    table = rows.mapInArrow(partial(_taking_part, takes_part=scale > 0), "positive boolean, weight long, features array<int>").toArrow()
+    held = sorted(zip(table.column("positive").to_pylist(), table.column("features").to_pylist(), table.column("weight").to_pylist(), strict=True))
+    side = {flag: [(np.array(x, np.int32), w) for is_p, x, w in held if is_p == flag] for flag in (True, False)}
+    return fit(*([x for x, _ in side[k]] for k in (True, False)), prior, scale, *(np.array([w for _, w in side[k]], float) for k in (True, False)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -174,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = ids.agg(F.count("*"), F.count("toxic"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     total, labelled, toxic = counts
     if not toxic or total == toxic:
-        return fit([], [], 0)
+        return fit([], [], 0, np.zeros(FEATURES))
     prior = toxic / labelled * (total - labelled) / (total - toxic)
     positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
     order = F.xxhash64("id", F.lit(SEED))
@@ -182,16 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(chosen.select(F.col("id").alias("chosen"), positive.alias("positive")))  # POSITIVES + UNLABELLED rows at most
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("chosen")))
     texts = texts.groupBy("id", "positive").agg(F.min("text").alias("text"))  # one row per chosen id
-    table = texts.select("positive", "text").mapInArrow(_features, "positive boolean, features array<int>").where("features is not null").toArrow()
-    lists = table.column("features").combine_chunks()
-    flags = table.column("positive").to_pylist()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    arrays = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    own, others = [a for a, flag in zip(arrays, flags, strict=True) if flag], [a for a, flag in zip(arrays, flags, strict=True) if not flag]
-    model = fit(own, others, prior)
-    if not own or not others:
-        return model
-    return replace(model, bias=placed(cut_off(*logit_counts(docs, ids.select("id", positive.alias("positive")), replace(model, bias=0.0), id_col, text_col), 1 / STEPS)))
+    model = fitted(texts.select("positive", "text"), prior)
+    counts = logit_counts(docs, ids.select("id", positive.alias("positive")), model, id_col, text_col)
+    return replace(model, bias=placed(cut_off(*counts, 1 / STEPS))) if counts[1].any() else model
 
 
 def _steps(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
