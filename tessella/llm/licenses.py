@@ -52,9 +52,9 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
 def tokens(line: str) -> list[str]:
-    """Tokens of the longest start of line that can still be an expression."""
+    """Tokens of the longest start of line that is an expression: what follows the last place where no operand and no parenthesis is due is left out."""
     found: list[str] = []
-    depth, at, operand = 0, 0, True  # operand: one is due
+    depth, at, whole, operand = 0, 0, 0, True  # operand: one is due; whole: tokens of the expression so far
     while m := _TOKEN.match(line, at):
         token = m[1]
         word = token.lower()
@@ -71,9 +71,9 @@ def tokens(line: str) -> list[str]:
             break
         found.append(token)
         at = m.end()
-    while found and (found[-1] in PRECEDENCE or found[-1] == "("):
-        found.pop()
-    return found
+        if not operand and not depth:
+            whole = len(found)
+    return found[:whole]
 
 
 def postfix(expression: Sequence[str]) -> list[str] | None:
