@@ -22,9 +22,11 @@ from tessella.llm.components import components
 TEXTS = [None, "", "a", "a ", "A", "a", "b" * 50_000, "b" * 50_000, "é", "é", "only"]
 
 
-@pytest.mark.parametrize("filter_rows", [exact_dedup.FILTER_ROWS, 0])
-def test_exact_dedup(spark, monkeypatch, filter_rows):
-    monkeypatch.setattr(exact_dedup, "FILTER_ROWS", filter_rows)  # 0: every row takes the shuffling path
+@pytest.mark.parametrize(("shard_rows", "bits"), [(exact_dedup.SHARD_ROWS, exact_dedup.FILTER_BITS), (50, 512), (60, 1)])
+def test_exact_dedup(spark, monkeypatch, shard_rows, bits):
+    """In one shard, in several with full filters, and with filters that let everything pass."""
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
     rng = random.Random(1)
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "a"), (50, "tie"), (50, "tie"), (None, "n"), (None, "n")] + [(100 + k, rng.choice(["hot", f"t{k}"])) for k in range(300)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, digest string").withColumn("row", F.lit(1))
@@ -32,10 +34,11 @@ def test_exact_dedup(spark, monkeypatch, filter_rows):
     groups = defaultdict(list)
     for id_, t in rows:
         groups[t or ""].append(-1 if id_ is None else id_)
-    assert len(found) == len(rows)
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    by_digest = {digest(t): own for t, own in groups.items()}
+    assert Counter((r.id, r.digest) for r in found) == Counter((id_, digest(t)) for id_, t in rows)
     for r in found:
-        own = groups[r.row.text or ""]
-        assert r.digest == hashlib.sha256((r.row.text or "").encode()).hexdigest()
+        own = by_digest[r.digest]
         assert (r.group_size, -1 if r.keep_id is None else r.keep_id) == (len(own), max(own))
     assert Counter(r.digest for r in found if r.kept) == {hashlib.sha256(t.encode()).hexdigest(): 1 for t in groups}
     kept = exact_dedup.drop_copies(df)
@@ -158,7 +161,7 @@ def brute_links(rows, threshold):
     return links, root
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 1024), (2048, 16), (30, 8)])
+@pytest.mark.parametrize("cell, block", [(8192, 8192), (8192, 16), (30, 8)])
 def test_embedding_near_duplicates(spark, monkeypatch, cell, block):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
@@ -175,7 +178,7 @@ def test_embedding_near_duplicates(spark, monkeypatch, cell, block):
     found = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     links, root = brute_links(rows, embedding_dedup.THRESHOLD)
     expected = {r[0]: (len(links[k]), root[k]) for k, r in enumerate(rows)}
-    if cell >= 2048:
+    if cell >= 8192:
         assert found == expected
     else:  # many small tables: recall is near one, and nothing below the threshold is linked
         assert all(found[k][0] <= expected[k][0] for k in expected)
@@ -183,6 +186,37 @@ def test_embedding_near_duplicates(spark, monkeypatch, cell, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def clustered(rng, n, dim=32):
+    """Vectors of which most are near copies of others, on both sides of the threshold."""
+    heads = rng.normal(size=(n // 10, dim))
+    return heads[rng.integers(0, len(heads), n)] + rng.normal(0, 1, (n, dim)) * rng.choice([0.08, 0.13, 0.2], (n, 1))
+
+
+@pytest.mark.parametrize("dim", [2, 12, 64])
+def test_collision_counting_misses_next_to_nothing(dim):
+    rng = np.random.default_rng(dim)
+    units = embedding_dedup.units(clustered(rng, 1_500, dim))
+    found = np.zeros((1_500, 900), bool)
+    for i, j in embedding_dedup.linked(units, units[600:], 0.98):
+        assert not found[i, j].any()
+        found[i, j] = True
+    true = units @ units[600:].T
+    assert not (found & (true < 0.98 - 1e-12)).any() and (found & (true >= 0.98)).sum() >= 0.999 * (true >= 0.98).sum() > 0
+
+
+def test_embedding_recall_over_many_cells(spark, monkeypatch):
+    """A label of 20 times the cell's size: the links of the vectors whose id is divisible by 20, and their components."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 200)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    vectors = clustered(np.random.default_rng(4), 4_000).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>")
+    found = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    units = embedding_dedup.units(vectors)
+    true = (units[::20] @ units.T >= 0.98).sum(axis=1) - 1
+    of_queries = np.array([found[k] for k in range(0, 4_000, 20)])
+    assert (of_queries <= true).all() and of_queries.sum() >= 0.995 * true.sum() > 1_000
+
+
 def test_components(spark):
     rng = random.Random(8)
     for n in (0, 1, 40, 150):

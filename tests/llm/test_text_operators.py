@@ -1,9 +1,11 @@
 """Licence scans, chat formatting, URL rules, WARC, toxicity: brute force, round trips and edge cases."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +43,22 @@ def test_shunting_yard():
     assert licenses.postfix(licenses.tokens("a or b and c with d")) == ["a", "b", "c", "d", "with", "and", "or"]
     assert licenses.postfix(licenses.tokens("(a or b) and c")) == ["a", "b", "or", "c", "and"]
     assert licenses.tokens("mit and and") == ["mit"] and licenses.postfix(["(", "a"]) is None
+    assert licenses.tokens("Apache-2.0 OR (MIT") == ["Apache-2.0"] and licenses.tokens("(MIT") == [] and licenses.tokens("(a or b) and (c") == ["(", "a", "or", "b", ")"]
+
+
+def test_license_labels_and_scores(spark):
+    """All labels against a plain search for the phrases and a plain reading of tags; repeated rows and null ids are rows of their own."""
+    tags = {"MIT": "mit", "Apache-2.0 OR (MIT": "apache-2.0", "(": "", "MPL-2.0 and MIT": "mpl-2.0,mit"}
+    texts = [f"{notice} // SPDX-License-Identifier: {tag}\nrest" for notice in ("", "the ISC license,", "All rights reserved; CC0") for tag in tags]
+    rows = [(None if k % 3 else k, t) for k, t in enumerate(texts)] * 2
+    found = Counter((r.id, r.labels) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    expected = Counter()
+    for id_, text in rows:
+        label = tags[text.partition(": ")[2].partition("\n")[0]]
+        words = " ".join(WORD.findall(text.translate(LOWER)))
+        own = {x for phrase, x in {**licenses.BASE, **licenses.NOTICES}.items() if f" {phrase} " in f" {words} "}
+        expected[id_, ",".join(sorted(own | set(filter(None, label.split(",")))))] += 1
+    assert found == expected
 
 
 CHATS = [
@@ -125,19 +143,40 @@ def test_shift_and_against_regex():
         assert [bool(regex.fullmatch(s)) for s in strings] == found[:, j].tolist(), glob
 
 
-def test_warc_round_trip(spark):
-    pages = [(1, "http://a.com/x y", "same"), (0, None, "same"), (2, "http://b.com", None), (5, "", ""), (3, "http://c.com/é", "ünï\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), (7, "u", "z" * 100_000), (9, "u", "same"), (9, "u", "same"), (None, "n", "null id"), (11, "m", "line\nend\n")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("type", F.lit("clash")).withColumn("id", F.lit(7))
-    found = [tuple(r) for r in warc.round_trip(df).collect()]
+def warc_expected(pages):
     expected = []
     for k, (page, _, html) in enumerate(pages):
         body = (html or "").encode()
         first = min((p is None, p or 0, j) for j, (p, _, h) in enumerate(pages) if (h or "") == (html or ""))[2]
         expected.append((page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if first == k else "revisit", None if first == k else pages[first][0]))
-    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    return sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("size", [1 << 25, 3_000])
+def test_warc_round_trip(spark, size):
+    """With one file and with several files to a task."""
+    pages = [(1, "http://a.com/x y", "same"), (0, None, "same"), (2, "http://b.com", None), (5, "", ""), (3, "http://c.com/é", "ünï\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), (7, "u", "z" * 100_000), (9, "u", "same"), (9, "u", "same"), (None, "n", "null id"), (11, "m", "line\nend\n")]
+    pages += [(100 + k, f"http://h.com/{k}", "hot" if k % 3 else f"own {k} " * 50) for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("type", F.lit("clash")).withColumn("id", F.lit(7))
+    assert sorted((tuple(r) for r in warc.round_trip(df, file_bytes=size).collect()), key=repr) == warc_expected(pages)
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_text(spark):
+    pages = [("", "u", "empty"), (None, "u", "null"), ("a\r\npayloadLength: 9\r\n", "u", "line end"), ("é +%2B", "u", "signs"), ("", "u", "again"), (" b ", "u", "line end")]
+    found = [tuple(r) for r in warc.round_trip(spark.createDataFrame(pages, "page_id string, url string, html string")).collect()]
+    assert sorted(r[0] or "-" for r in found) == sorted(p or "-" for p, *_ in pages) and sum(r[0] is None for r in found) == 1
+    assert [r[4] for r in found if r[3] == "revisit"] == [" b "] and len(found) == len(pages)
+
+
+def test_warc_files_are_bound_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"{k} " + "x" * 5_000) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", file_bytes=20_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 10 and max(sizes) < 21_000
+    assert warc.read_archives(spark, f"{tmp_path}/w").where("type = 'response' and length(payload) > 5000").count() == 40
+
+
 def test_warc_assembly_joins_either_way(spark):
     schema = "record_id string, concurrent_to string, refers_to string, type string, target_uri string, digest string, payload_bytes long, fields map<string,string>, payload binary"
     rows = [("r1", None, None, "response", "u", "d", 1, None, None), ("q1", "r1", None, "request", "u", None, 0, None, None), ("r2", "q2", None, "response", "u", "d", 1, None, None), ("q2", None, None, "request", "u", None, 0, None, None), ("m1", "r1", None, "metadata", "u", None, 0, {"a": "b"}, None), ("r3", None, None, "response", "u", "d", 1, None, None)]
@@ -152,11 +191,51 @@ def test_nnpu_finds_the_unlabelled_positives():
         words = rng.integers(100, 5000, 60).tolist() + ([int(rng.integers(0, 8))] if toxic else [])
         return np.unique(np.array(words, np.int32))
 
-    model = toxicity.fit([doc(True) for _ in range(300)], [doc(k % 10 == 0) for k in range(2000)], 0.1)
+    positive, unlabelled = [doc(True) for _ in range(300)], [doc(k % 10 == 0) for k in range(2000)]
+    counts = (np.bincount(np.concatenate(rows), minlength=toxicity.FEATURES) for rows in (positive, unlabelled))
+    model = toxicity.fit(positive, unlabelled, 0.1, toxicity.evidence(*counts, 300, 2000))
+    cut = np.median([model.weights[doc(True)].sum() for _ in range(50)]) / 2
+    model = toxicity.Model(model.weights, toxicity.placed(cut))
     score = lambda d: 1 / (1 + np.exp(-(model.weights[d].sum() + model.bias)))
     assert np.mean([score(doc(True)) >= 0.7 for _ in range(300)]) > 0.9 and np.mean([score(doc(False)) >= 0.7 for _ in range(300)]) < 0.05
 
 
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 3.0])
+def test_slopes_are_those_of_the_risk(shift):
+    """By finite differences: of the risk where the estimate for negatives is not below zero, else of that estimate, turned round."""
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(size=7) - shift, rng.normal(size=9) + shift
+    of_p, of_u, prior = (x / x.sum() for x in (rng.random(7), rng.random(9))), None, 0.4
+    of_p, of_u = of_p
+    loss = lambda z: np.log1p(np.exp(-z))
+    negative = lambda p, u: of_u @ loss(-u) - prior * (of_p @ loss(-p))
+    goal = (lambda p, u: prior * (of_p @ loss(p)) + negative(p, u)) if negative(p, u) >= 0 else (lambda p, u: -negative(p, u))
+    got, dp, du = toxicity.slopes(p, u, of_p, of_u, prior)
+    assert got == pytest.approx(negative(p, u))
+    for k, slope in enumerate(dp):
+        step = np.eye(7)[k] * 1e-6
+        assert slope == pytest.approx((goal(p + step, u) - goal(p - step, u)) / 2e-6, abs=1e-7)
+    for k, slope in enumerate(du):
+        step = np.eye(9)[k] * 1e-6
+        assert slope == pytest.approx((goal(p, u + step) - goal(p, u - step)) / 2e-6, abs=1e-7)
+
+
+def test_toxicity_of_held_out_rows_and_long_texts(spark):
+    """Labels of held-out rows change no score; a toxic document of many words is fitted on and found."""
+    rng = random.Random(2)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    rows = [(k, f"{filler(20_000 if k % 10 == 0 else 15)} {'vilest scum' if k < 60 else ''}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.doc_id for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).where("h").collect()}
+    assert 100 < len(held) < 300
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(k, int((k < 60) != (flip and k in held))) for k in range(300)], "doc_id long, toxic int")
+        scores.append({r.doc_id: r["__score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()})
+    assert scores[0] == scores[1]
+    assert all((scores[0][k] >= toxicity.THRESHOLD) == (k < 60) for k in range(600))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "idiot " * 5), (3, "idiot " * 5)], "doc_id long, text string").withColumn("score", F.lit(9))
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
