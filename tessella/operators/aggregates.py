@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.prefix import at_ranks
+
 
 def ordered_mode(df: DataFrame, by: Sequence[str], value: str, order: str, name: str = "mode") -> DataFrame:
     """The commonest non-null value of each group; ties go to the value seen first by order.  Counts combine before they shuffle."""
@@ -15,9 +17,9 @@ def ordered_mode(df: DataFrame, by: Sequence[str], value: str, order: str, name:
     return counts.groupBy(*by).agg(F.max(F.struct("__n", (-F.col("__first")).alias("__early"), value)).alias("__x")).select(*by, F.col(f"__x.{value}").alias(name), F.col("__x.__n").alias("n"))
 
 
-def lower_percentile(column: str, share: float) -> Column:
-    """The element at floor(share * (n - 1)) of the sorted values: never an interpolated one."""
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.lit(share) * (F.count(column) - 1)) + 1).cast("int"))
+def lower_percentiles(df: DataFrame, by: Sequence[str], column: str, shares: dict[str, float], width: int) -> DataFrame:
+    """(by, a column for each share: the element at floor(share * (n - 1)) of the sorted values, never an interpolated one)."""
+    return at_ranks(df, by, column, width, {name: F.floor(F.lit(share) * (F.col("n") - 1)) for name, share in shares.items()})
 
 
 def shares(df: DataFrame, by: Sequence[str], kind: str, weight: Column) -> DataFrame:
@@ -27,10 +29,21 @@ def shares(df: DataFrame, by: Sequence[str], kind: str, weight: Column) -> DataF
     return sums.withColumn("share", F.col("weight") * 100 / whole)
 
 
-def densify(df: DataFrame, rows: DataFrame, columns: DataFrame, value: str) -> DataFrame:
-    """df's value for every pair of rows and columns (a short list, broadcast), 0 where there is none."""
-    keys = [*rows.columns, *columns.columns]
-    return rows.crossJoin(F.broadcast(columns)).join(df, keys, "left").withColumn(value, F.coalesce(value, F.lit(0).cast("long")))
+def median_with_zeros(counts: DataFrame, column: str, value: str, n: DataFrame) -> DataFrame:
+    """Each column's median over all rows there are (n: one row, n), 0 where counts has none: (column, median, rows, used).
+
+    The zeros are only counted, so no row is made for them."""
+    by_value = counts.groupBy(column, value).agg(F.count("*").alias("__times")).crossJoin(F.broadcast(n))  # one row
+    own = W.partitionBy(column)
+    rows = by_value.withColumn("__used", F.sum("__times").over(own)).withColumn("__upto", F.sum("__times").over(own.orderBy(value)) + F.col("n") - F.col("__used"))
+
+    def at(rank: Column) -> Column:
+        return F.coalesce(F.min(F.when(F.col("__upto") > rank, F.col(value))), F.lit(0))
+
+    zeros = F.first("n") - F.first("__used")
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    found = [F.when(F.floor((F.first("n") - 1) / 2) < zeros, 0).otherwise(at(low)), F.when(F.floor(F.first("n") / 2) < zeros, 0).otherwise(at(high))]
+    return rows.groupBy(column).agg(((found[0] + found[1]) / 2).alias("median"), F.first("n").alias("rows"), F.first("__used").alias("used"))
 
 
 def weighted_mix(df: DataFrame, by: Sequence[str], path: str, value: str, weight: str) -> DataFrame:

@@ -12,21 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.prefix import running
 
-def union(df: DataFrame, by: Sequence[str], tolerance: int = 0) -> DataFrame:
+#: A day in microseconds: what of a key one task takes, unless the caller knows better.
+WIDTH = 86_400_000_000
+
+
+def _after(df: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """(by, b, e, before): before is the latest end of the key's earlier intervals."""
+    return running(df.select(*by, "b", "e"), by, "b", width, F.col("e"), "max", "before", ("e",))
+
+
+def with_period(df: DataFrame, by: Sequence[str], tolerance: int = 0, width: int = WIDTH) -> DataFrame:
+    """df with period: where the busy period begins that the interval is in; periods are more than tolerance apart."""
+    rows = running(df, by, "b", width, F.col("e"), "max", "__before", ("e",))
+    start = F.when(F.col("__before").isNull() | (F.col("b") > F.col("__before") + tolerance), F.col("b"))
+    return running(rows, by, "b", width, start, "last", "period", ("e",), itself=True).drop("__before")
+
+
+def union(df: DataFrame, by: Sequence[str], tolerance: int = 0, width: int = WIDTH) -> DataFrame:
     """Merged intervals (by, b, e, n): those that overlap, touch or are at most tolerance apart are one."""
-    w = W.partitionBy(*by).orderBy("b", "e")
-    before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    flag = F.when(before.isNull() | (F.col("b") > before + tolerance), 1).otherwise(0)
-    rows = df.select(*by, "b", "e").withColumn("__flag", flag).withColumn("__run", F.sum("__flag").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*by, "__run").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.count("*").alias("n")).drop("__run")
+    rows = with_period(df.select(*by, "b", "e"), by, tolerance, width)
+    return rows.groupBy(*by, "period").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.count("*").alias("n")).drop("period")
 
 
-def complement(df: DataFrame, by: Sequence[str], least: int = 1) -> DataFrame:
+def complement(df: DataFrame, by: Sequence[str], least: int = 1, width: int = WIDTH) -> DataFrame:
     """Gaps between the first and the last interval of each key: (by, b, e)."""
-    w = W.partitionBy(*by).orderBy("b", "e")
-    before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.select(*by, before.alias("__b"), F.col("b").alias("__e"))
+    rows = _after(df, by, width).select(*by, F.col("before").alias("__b"), F.col("b").alias("__e"))
     return rows.where(F.col("__e") - F.col("__b") >= least).select(*by, F.col("__b").alias("b"), F.col("__e").alias("e"))
 
 

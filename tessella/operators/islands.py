@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.intervals import union
+
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], breaks: Column, name: str = "island") -> DataFrame:
     """df with the number (from 1) of each row's island: a new one begins at the first row and where breaks holds.
@@ -26,11 +28,10 @@ def following(column: str, by: Sequence[str], order: Sequence[str], n: int = 1)
     return F.lead(column, n).over(W.partitionBy(*by).orderBy(*order))
 
 
-def integer_runs(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct consecutive integers as ranges: (by, lo, hi, n)."""
-    w = W.partitionBy(*by).orderBy(value)
-    rows = df.select(*by, value).distinct().withColumn("__run", F.col(value) - F.row_number().over(w))
-    return rows.groupBy(*by, "__run").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).drop("__run")
+def integer_runs(df: DataFrame, by: Sequence[str], value: str, width: int = 100_000) -> DataFrame:
+    """Distinct consecutive integers as ranges: (by, lo, hi, n); as intervals that are one apart at most."""
+    points = df.select(*by, F.col(value).alias("b"), F.col(value).alias("e")).distinct()
+    return union(points, by, 1, width).withColumnsRenamed({"b": "lo", "e": "hi"})
 
 
 def value_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:

@@ -6,11 +6,13 @@ a key's rows, only the state that the rule keeps."""
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Step = Callable[[dict[str, Any], tuple], Any]
@@ -70,7 +72,7 @@ def lanes(df: DataFrame, by: Sequence[str], tie: str, name: str = "lane") -> Dat
     return sequential(df, by, ["b", tie], make, name, "long")
 
 
-def shortlist(df: DataFrame, by: Sequence[str], score: str, tie: str, top: int, name: str = "kept") -> DataFrame:
+def shortlist(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], top: int, name: str = "kept") -> DataFrame:
     """Greedy choice of at most top intervals (b, e) that don't overlap, by falling score.  State: the chosen ones."""
 
     def make() -> Step:
@@ -83,45 +85,23 @@ def shortlist(df: DataFrame, by: Sequence[str], score: str, tie: str, top: int,
 
         return step
 
-    return sequential(df, by, [F.desc(score), tie], make, name, "boolean")
+    return sequential(df, by, [F.desc(score), *ties], make, name, "boolean")
 
 
-def deal(shares: dict[str, float], n: int) -> list[str | None]:
-    """n picks that follow the shares, spread out: smooth weighted round robin, the first key on ties."""
-    shares = {k: v for k, v in shares.items() if v and v > 0}
-    credit, whole = dict.fromkeys(shares, 0.0), sum(shares.values())
-    picks: list[str | None] = []
-    for _ in range(n):
-        if not shares:
-            picks.append(None)
-            continue
-        for k, v in shares.items():
-            credit[k] += v
-        best = max(credit, key=credit.__getitem__)
-        credit[best] -= whole
-        picks.append(best)
-    return picks
+def turns(shares: dict[str, int]) -> list[str]:
+    """One period of picks that follow the shares: each goes to the kind that is furthest behind its share of the picks so far, on a tie to the one named first."""
+    whole, had, out = sum(shares.values()), Counter(), []
+    for n in range(1, whole + 1):
+        out.append(max(shares, key=lambda kind: n * shares[kind] - whole * had[kind]))  # noqa: B023
+        had[out[-1]] += 1
+    return out
 
 
-def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str], shares: dict[str, float], name: str = "dealt") -> DataFrame:
-    """Each key's rows, in order, get the picks of deal(); state: the credits."""
-    shares = {k: v for k, v in shares.items() if v and v > 0}
-    whole = sum(shares.values())
-
-    def make() -> Step:
-        def step(state: dict, row: tuple) -> str | None:
-            if not shares:
-                return None
-            credit = state.setdefault("credit", dict.fromkeys(shares, 0.0))
-            for k, v in shares.items():
-                credit[k] += v
-            best = max(credit, key=credit.__getitem__)
-            credit[best] -= whole
-            return best
-
-        return step
-
-    return sequential(df, by, order, make, name, "string")
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str], shares: dict[str, int], name: str = "dealt") -> DataFrame:
+    """Each key's rows, in order, get the picks of turns() over and over: a pick depends on the row's number alone."""
+    period = turns(shares)
+    number = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
+    return df.withColumn(name, F.element_at(F.array(*map(F.lit, period)), (number % len(period) + 1).cast("int")) if period else F.lit(None).cast("string"))
 
 
 def segments(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, jump: float, window: int = 15, name: str = "segment") -> DataFrame:

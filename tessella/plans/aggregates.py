@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import aggregates as A
+from tessella.operators.asof import asof
+from tessella.operators.prefix import middle
 from tessella.sources.views import MEASURES_SQL, SPANS_SQL, VIDEOS_SQL, measures, spans, table, videos
 
 
@@ -18,7 +20,7 @@ def ordered_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lower_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = videos(spark, sf_dir)
-    return rows.groupBy("creator").agg(A.lower_percentile("views", 0.9).alias("p90"), A.lower_percentile("views", 0.99).alias("p99"), F.percentile("views", F.lit(0.5)).alias("median"))
+    return A.lower_percentiles(rows, ["creator"], "views", {"p90": 0.9, "p99": 0.99}, 100_000).join(middle(rows, ["creator"], "views", 100_000), "creator")
 
 
 def kind_time_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +31,9 @@ def kind_time_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_rates_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each category's median number of cards over all videos, 0 where a video has none."""
     rows = measures(spark, sf_dir)
-    counts = rows.groupBy("video", "category").agg(F.count("*").alias("n"))
-    dense = A.densify(counts, rows.select("video").distinct(), rows.select("category").distinct(), "n")
-    return dense.groupBy("category").agg(F.percentile("n", F.lit(0.5)).alias("median_n"), F.count("*").alias("videos"), F.count_if(F.col("n") > 0).alias("used"))
+    counts = rows.groupBy("video", "category").agg(F.count("*").alias("n_cards"))
+    found = A.median_with_zeros(counts, "category", "n_cards", rows.agg(F.count_distinct("video").alias("n")))
+    return found.withColumnsRenamed({"median": "median_n", "rows": "videos"})
 
 
 def median_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ def feature_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's medians against all customers' medians: pass, FAIL or n/a by a relative and an absolute tolerance."""
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("creator")).agg(F.count("*").cast("double").alias("orders"), F.percentile(F.floor("o_totalprice"), F.lit(0.5)).alias("price"))
     long = rows.unpivot("creator", ["orders", "price"], "feature", "value")
-    wanted = long.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("want"))
+    wanted = middle(long, ["feature"], "value", 5_000, "want")
     long = long.join(F.broadcast(wanted), "feature")  # one row per feature
     near = F.abs(F.col("want") - F.col("value")) <= F.greatest(F.when(F.col("feature") == "orders", 2.0).otherwise(5000.0), F.abs("want") * 0.25)
     return long.select("creator", "feature", "value", "want", F.when(F.col("value").isNull() | F.col("want").isNull(), "n/a").when(near, "pass").otherwise("FAIL").alias("verdict"))
@@ -135,8 +137,9 @@ def claimable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(spark, sf_dir)
     jobs = rows.where("kind = 'signup'").select("user_id", "id", "b")
     claims = rows.where("kind = 'purchase'").select("user_id", F.col("b").alias("claimed"))
-    taken = jobs.join(claims, "user_id").where("claimed >= b and claimed < b + 900000000").select("id").distinct()
-    return jobs.join(taken, "id", "left_anti").groupBy("user_id").agg(F.min(F.struct("b", "id")).alias("x"), F.count("*").alias("open")).select("user_id", F.col("x.id").alias("id"), "open")
+    found = asof(jobs, claims, ["user_id"], "b", "claimed", "claimed", "forward")  # the first purchase from the signup on
+    found = found.where(F.col("found").isNull() | (F.col("found.claimed") >= F.col("b") + 900_000_000))
+    return found.groupBy("user_id").agg(F.min(F.struct("b", "id")).alias("x"), F.count("*").alias("open")).select("user_id", F.col("x.id").alias("id"), "open")
 
 
 def regression_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +150,13 @@ def regression_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count_if("again").alias("regressions"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max(F.when(F.col("again"), F.col("event_id"))).alias("last"))
 
 
-def latest_forty(spark: SparkSession, sf_dir: str, most: int = 40) -> DataFrame:
-    """Each event type's last rows with a running number of the type."""
-    w = W.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w.orderBy("event_id")).alias("nr"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("nr") > F.col("n") - most).select("event_type", "event_id", F.col("nr").cast("long").alias("nr"))
+def latest_forty(spark: SparkSession, sf_dir: str, most: int = 40, slices: int = 64) -> DataFrame:
+    """Each event type's last rows with a running number of the type: the last ones of each slice of a type first, then of those."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id").withColumn("slice", F.pmod(F.xxhash64("event_id"), F.lit(slices)))
+    rows_of = rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    for by in (["event_type", "slice"], ["event_type"]):
+        rows = rows.withColumn("from_last", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("event_id")))).where(F.col("from_last") <= most)
+    return rows.join(rows_of, "event_type").select("event_type", "event_id", (F.col("n") - F.col("from_last") + 1).alias("nr"))
 
 
 def plan_row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

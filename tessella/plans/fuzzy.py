@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import fuzzy, sequential
+from tessella.operators.intervals import with_period
 from tessella.operators.islands import islands
-from tessella.plans.texts import grams
+from tessella.plans.texts import grams, hashed_grams
 from tessella.plans.words import PHRASE_GAP_MS, sentence_spans
 from tessella.sources.views import SPANS_SQL, spans, table, words
 
@@ -52,10 +53,10 @@ def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def script_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark lines and the documents that say most of their 5-word runs: the share said."""
-    lines = grams(table(spark, sf_dir, "benchmark"), "item_id", 5).distinct()
+    lines = hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", 5).distinct()
     size = lines.groupBy("item_id").agg(F.count("*").alias("size"))
-    docs = grams(table(spark, sf_dir, "documents"), "doc_id", 5).distinct()
-    hits = docs.join(lines, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(size, "item_id")
+    docs = hashed_grams(table(spark, sf_dir, "documents"), "doc_id", 5)
+    hits = docs.join(lines, "gram").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(size, "item_id")
     return hits.where("hits * 2 >= size").select("item_id", "doc_id", "hits", (F.col("hits") / F.col("size")).alias("share"))
 
 
@@ -97,14 +98,15 @@ def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a kind on as few lanes as they need."""
-    return sequential.lanes(spans(spark, sf_dir).select("kind", "id", "b", "e"), ["kind"], "id").select("kind", "id", "lane")
+    """Spans of a kind on as few lanes as they need.  All lanes are free where a busy period begins, so periods are dealt out by themselves."""
+    rows = with_period(spans(spark, sf_dir).select("kind", "id", "b", "e"), ["kind"])
+    return sequential.lanes(rows, ["kind", "period"], "id").select("kind", "id", "lane")
 
 
 def clip_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's eight best sentences (most words, then the earliest) at least partly apart."""
-    rows = sentence_spans(spark, sf_dir).select("conv_id", F.col("start_ms").alias("b"), F.col("end_ms").alias("e"), F.col("n_words").alias("score"))
-    return sequential.shortlist(rows, ["conv_id"], "score", "b", 8).where("kept").select("conv_id", "b", "e", "score")
+    """Each user's eight longest spans (on a tie the earliest) that don't overlap a longer one of the list."""
+    rows = spans(spark, sf_dir).select("user_id", "id", "b", "e", (F.col("e") - F.col("b")).alias("score"))
+    return sequential.shortlist(rows, ["user_id"], "score", ["b", "id"], 8).where("kept").select("user_id", "id", "b", "e")
 
 
 def deal_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,27 @@ def _oracle() -> dict[str, str]:
             h AS (SELECT item_id, doc_id, count(*) AS hits FROM g JOIN l USING (gram) GROUP BY 1, 2) SELECT item_id, doc_id, hits, hits / size AS share FROM h JOIN s USING (item_id) WHERE hits * 2 >= size""",
         "names_said": f"""WITH {_GAP_SQL}, n AS (SELECT conv_id, norm, count(*) AS n, min(start_ms) AS first_ms FROM gaps WHERE regexp_matches(word, '^[A-Z][a-z]') AND NOT coalesce(after_sentence, true) GROUP BY 1, 2)
             SELECT * FROM n ANTI JOIN (SELECT conv_id, norm FROM gaps WHERE regexp_matches(word, '^[a-z]')) USING (conv_id, norm)""",
-        "clip_shortlist": f"WITH s AS ({words_sql['sentence_spans']}) SELECT conv_id, start_ms AS b, end_ms AS e, n_words AS score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n_words DESC, start_ms) <= 8",
+        "clip_shortlist": f"""WITH RECURSIVE {SPANS_SQL}, n AS (SELECT user_id, id, b, e, row_number() OVER (PARTITION BY user_id ORDER BY e - b DESC, b, id) AS k FROM spans),
+            r AS (SELECT user_id, 1 AS k, [{{'id': id, 'b': b, 'e': e}}] AS chosen FROM n WHERE k = 1
+                  UNION ALL SELECT r.user_id, n.k, CASE WHEN len(chosen) < 8 AND len(list_filter(chosen, lambda x: x.b < n.e AND n.b < x.e)) = 0 THEN list_append(chosen, {{'id': n.id, 'b': n.b, 'e': n.e}}) ELSE chosen END
+                  FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1),
+            f AS (SELECT user_id, unnest(chosen) AS c FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1) SELECT user_id, c.id AS id, c.b AS b, c.e AS e FROM f""",
+        "deal_shares": f"""WITH RECURSIVE s AS ({words_sql['sentence_spans']}), p AS (SELECT 0 AS n, CAST(NULL AS VARCHAR) AS pick, 0 AS cards, 0 AS shots, 0 AS charts
+                  UNION ALL SELECT n + 1, k, cards + CAST(k = 'card' AS INT), shots + CAST(k = 'shot' AS INT), charts + CAST(k = 'chart' AS INT)
+                  FROM (SELECT *, CASE WHEN 55 * (n + 1) - 100 * cards >= greatest(40 * (n + 1) - 100 * shots, 5 * (n + 1) - 100 * charts) THEN 'card' WHEN 40 * (n + 1) - 100 * shots >= 5 * (n + 1) - 100 * charts THEN 'shot' ELSE 'chart' END AS k FROM p WHERE n < 100)),
+            d AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY sentence) - 1) % 100 + 1 AS n FROM s)
+            SELECT conv_id, pick AS dealt, count(*) AS n FROM d JOIN p USING (n) GROUP BY 1, 2""",
+        "value_segments": """WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL),
+            r AS (SELECT user_id, k, 0 AS nr, [value] AS recent FROM v WHERE k = 1
+                  UNION ALL SELECT user_id, k, nr + CAST(jump AS INT), CASE WHEN jump THEN [value] ELSE list_append(recent, value)[-15:] END
+                  FROM (SELECT v.user_id, v.k, r.nr, v.value, r.recent, abs(v.value - list_sort(r.recent)[len(r.recent) // 2 + 1]) > 60 AS jump FROM r JOIN v ON v.user_id = r.user_id AND v.k = r.k + 1))
+            SELECT user_id, CAST(max(nr) + 1 AS BIGINT) AS segments FROM r GROUP BY user_id""",
+        "interval_lanes": f"""WITH RECURSIVE {SPANS_SQL}, v AS (SELECT kind, id, b, e, row_number() OVER (PARTITION BY kind ORDER BY b, id) AS k FROM spans),
+            r AS (SELECT kind, id, k, 1 AS spot, [e] AS ends FROM v WHERE k = 1
+                  UNION ALL SELECT kind, id, k, CASE WHEN free > 0 THEN free ELSE len(ends) + 1 END,
+                    CASE WHEN free > 0 THEN list_concat(list_append(ends[:free - 1], e), ends[free + 1:]) ELSE list_append(ends, e) END
+                  FROM (SELECT v.*, r.ends, coalesce(list_position(list_transform(r.ends, lambda x: x <= v.b), true), 0) AS free FROM r JOIN v ON v.kind = r.kind AND v.k = r.k + 1))
+            SELECT kind, id, CAST(spot - 1 AS BIGINT) AS lane FROM r""",
         "greedy_spacing": f"""WITH RECURSIVE {SPANS_SQL}, c AS (SELECT user_id, id, b FROM spans WHERE kind = 'click'),
             r AS (SELECT user_id, id, b FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b, id) = 1
                   UNION ALL SELECT user_id, id, b FROM (SELECT c.user_id, c.id, c.b, row_number() OVER (PARTITION BY c.user_id ORDER BY c.b, c.id) AS k FROM r JOIN c ON c.user_id = r.user_id AND c.b - r.b >= 172800000000) WHERE k = 1)

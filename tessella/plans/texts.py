@@ -63,10 +63,12 @@ def page_rank_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many placeholders of each sort redaction puts into a document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text")).alias("t"))
+    """How many placeholders of each sort redaction puts into a document.  The generators keep the redaction from being repeated for each count."""
     kinds = {"mails": "<email>", "links": "<link>", "creators": "@creator", "paths": "<path>", "files": "<file>", "domains": "<domain>"}
-    return rows.select("doc_id", *[F.regexp_count("t", F.lit(word)).cast("long").alias(name) for name, word in kinds.items()]).where(" + ".join(kinds) + " > 0")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.scrub(F.col("text")))).alias("t"))
+    counts = F.struct(*[F.regexp_count("t", F.lit(word)).cast("long").alias(name) for name, word in kinds.items()])
+    rows = rows.select("doc_id", F.explode(F.array(counts)).alias("x")).select("doc_id", "x.*")
+    return rows.where(" + ".join(kinds) + " > 0")
 
 
 def copy_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +114,17 @@ def grams(df: DataFrame, key: str, n: int) -> DataFrame:
     return rows.select(key, F.explode(T.shingled(F.col("words"), n)).alias("gram"))
 
 
+def hashed_grams(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The same, each n words as 128 bits of hash instead of a text."""
+    rows = df.select(key, F.explode(F.array(T.tokens(F.col("text")))).alias("words")).where(F.size("words") >= n)
+    places = F.sequence(F.lit(1), F.size("words") - n + 1)
+    return rows.select(key, F.explode(F.transform(places, lambda k: F.struct(*[F.xxhash64(F.slice("words", k, n), F.lit(seed)) for seed in (1, 2)]))).alias("gram"))
+
+
 def site_phrase_semi(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """Benchmark lines of which n words in a row stand in a document: an equi-join on n-grams."""
-    lines = grams(table(spark, sf_dir, "benchmark"), "item_id", n).distinct()
-    docs = grams(table(spark, sf_dir, "documents"), "doc_id", n)
+    """Benchmark lines of which n words in a row stand in a document: an equi-join on hashed n-grams."""
+    lines = hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", n).distinct()
+    docs = hashed_grams(table(spark, sf_dir, "documents"), "doc_id", n)
     found = docs.join(lines, "gram").select("item_id", "doc_id").distinct()
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
@@ -194,21 +203,15 @@ _PAGES_SQL = f"""parts AS (SELECT page_id, url, regexp_replace(lower(regexp_extr
 kinds AS (SELECT page_id, CASE WHEN contains(host, '.') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site, {_case(0, 'END')} AS kind,
   CAST(length(list_filter(string_split(path, '/'), lambda x: x <> '')) AS BIGINT) AS depth, {_case(2, 'END')} AS points, {_case(3, 'END')} AS most FROM parts)"""
 _SCRUB = "text"
-for _pattern, _word in (
-    (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"https?://\S+", "<link>"), (r"(^|[^\w])@[\w.]{2,}", r"\1@creator"), (r"(^|\s)(~|\.{1,2})?(/[\w.-]+){2,}/?", r"\1<path>"),
-    (r"\b[\w-]+\.(mp4|mov|mkv|webm|mp3|wav|m4a|png|jpg|jpeg|gif)\b", "<file>"), (r"\b([a-z0-9-]+\.)+(com|net|org|io|dev|ai|co)\b", "<domain>"),
-):
-    _SCRUB = f"regexp_replace({_SCRUB}, '{_pattern}', '{_word}', 'g')"
+for _pattern, _word in T.PRIVATE:
+    _SCRUB = f"regexp_replace({_SCRUB}, '{_pattern}', '{_word.replace('$', chr(92))}', 'g')"
+_MOTION = " ".join(f"WHEN length(regexp_extract_all(text, '{pattern}')) >= {least} THEN '{kind}'" for kind, pattern, least in T.MOTIONS)
 _LUM = " + ".join(f"{w}::DOUBLE * CASE WHEN {c} / 255.0::DOUBLE <= 0.03928 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END" for c, w in (("red", 0.2126), ("green", 0.7152), ("blue", 0.0722)))
 _N8 = f"list_transform(range(1, greatest(length(w) - 6, 1)), lambda k: array_to_string(w[k:k + 7], ' '))"
 
 ORACLE_SQL = {
     "normalized_words": f"WITH w AS (SELECT item_id, {_tokens_sql('text')} AS w FROM benchmark) SELECT item_id, CAST(length(w) AS BIGINT) AS n, CAST(length(list_distinct(w)) AS BIGINT) AS n_distinct, CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest, array_to_string(w, ' ') AS line FROM w",
-    "motion_kinds": r"""SELECT role, CASE WHEN regexp_matches(text, '(?i)\b(?:before|after|instead|versus|vs|used to|compared|better than|worse than|faster than)\b') THEN 'before_after'
-        WHEN regexp_matches(text, '(?i)\b[0-9][0-9,.]*\b|\b(?:hundred|thousand|million|billion|percent|half|double|twice|times)\b') THEN 'counter'
-        WHEN length(regexp_extract_all(text, '(?i)\b(?:first|second|third|then|next|finally|step)\b')) >= 2 OR length(text) - length(replace(text, ',', '')) >= 2 THEN 'list'
-        WHEN regexp_matches(text, '(?i)\b(?:sends?|goes to|passes|hands?|from \w+ to|into|pipeline|workflow|connects?)\b') THEN 'flow'
-        WHEN regexp_matches(text, '(?i)\b(?:drag|click|type|upload|render(?:s|ing)?|cut(?:s|ting)?|open|install|run(?:s|ning)?|press)\b') THEN 'ui_demo' END AS kind, count(*) AS n FROM conversations GROUP BY 1, 2""",
+    "motion_kinds": f"SELECT role, CASE {_MOTION} END AS kind, count(*) AS n FROM conversations GROUP BY 1, 2",
     "url_classify": f"WITH {_PAGES_SQL} SELECT page_id, site, kind, depth FROM kinds",
     "page_rank_capped": f"""WITH {_PAGES_SQL}, s AS (SELECT *, CAST(points * 10 - greatest(0, depth - 1) * CASE WHEN kind = 'blog' THEN 3 ELSE 12 END AS BIGINT) AS score FROM kinds WHERE kind IS NOT NULL)
         SELECT site, kind, page_id, score, row_number() OVER (PARTITION BY site, kind ORDER BY score DESC, page_id) AS rank FROM s QUALIFY rank <= most""",

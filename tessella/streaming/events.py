@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -16,10 +15,13 @@ TTL_US = 900_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """A new folder in the shared one that spark.checkpoint.dir names."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured)
     return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 

@@ -1,13 +1,14 @@
 """Operators on small inputs against brute force."""
 
 import random
+import statistics
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import colour, text
-from tessella.operators import aggregates, fuzzy, intervals, sequential
+from tessella.operators import aggregates, fuzzy, intervals, prefix, sequential
 from tessella.operators.asof import asof
 from tessella.operators.islands import integer_runs
 from tessella.plans import fuzzy as fuzzy_plans
@@ -108,7 +109,7 @@ def test_lanes_and_spacing(spark, spans):
 
 
 def test_shortlist_is_greedy(spark, spans):
-    rows = sequential.shortlist(frame(spark, spans).withColumn("score", (F.col("id") * 37) % 101), ["k"], "score", "id", 5).where("k = 0").collect()
+    rows = sequential.shortlist(frame(spark, spans).withColumn("score", (F.col("id") * 37) % 101), ["k"], "score", ["id"], 5).where("k = 0").collect()
     chosen = []
     for r in sorted(rows, key=lambda r: (-r.score, r.id)):
         keep = len(chosen) < 5 and all(r.e <= b or e <= r.b for b, e in chosen)
@@ -117,10 +118,36 @@ def test_shortlist_is_greedy(spark, spans):
             chosen.append((r.b, r.e))
 
 
-def test_deal():
-    picks = sequential.deal({"card": 55, "shot": 40, "chart": 5}, 100)
-    assert {k: picks.count(k) for k in ("card", "shot", "chart")} == {"card": 55, "shot": 40, "chart": 5}
-    assert sequential.deal({}, 2) == [None, None]
+def test_turns():
+    """Every kind as often as its share, and never a whole pick ahead of it or behind."""
+    shares = {"card": 55, "shot": 40, "chart": 5}
+    picks = sequential.turns(shares)
+    assert {k: picks.count(k) for k in shares} == shares and sequential.turns({}) == []
+    for n in range(1, 101):
+        assert all(abs(picks[:n].count(k) - n * s / 100) < 1 for k, s in shares.items())
+
+
+@pytest.mark.parametrize("kind", ["max", "sum", "last"])
+@pytest.mark.parametrize("itself", [False, True])
+def test_running_values_over_buckets(spark, kind, itself):
+    rng = random.Random(3)
+    rows = [(rng.randrange(2), rng.randrange(200), k, rng.choice([None, rng.randrange(50)])) for k in range(300)]
+    found = {r.id: r.x for r in prefix.running(spark.createDataFrame(rows, "k long, at long, id long, v long"), ["k"], "at", 30, F.col("v"), kind, "x", ["id"], itself).collect()}
+    for key, at, id_, v in rows:
+        before = [x for k, a, i, x in sorted(rows, key=lambda r: r[:3]) if k == key and x is not None and ((a, i) < (at, id_) or itself and i == id_)]
+        expected = {"max": max, "sum": sum, "last": lambda x: x[-1]}[kind](before) if before else None
+        assert found[id_] == expected, (key, at, id_)
+
+
+def test_order_statistics(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.choice([None, rng.randrange(-40, 40)])) for _ in range(200)] + [(7, None), (8, 5)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    medians = {r.k: r.median for r in prefix.middle(df, ["k"], "v", 10).collect()}
+    tops = {r.k: r.p90 for r in aggregates.lower_percentiles(df, ["k"], "v", {"p90": 0.9}, 7).collect()}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        assert medians.get(k) == (statistics.median(own) if own else None) and tops.get(k) == (own[int(0.9 * (len(own) - 1))] if own else None)
 
 
 @pytest.mark.parametrize("said, expected", [("fifteen hundred", "1500"), ("eighty percent", "80 percent"), ("one of the best", "one of the best"), ("two thousand twenty four", "2024"), ("twenty one", "21"), ("three", "three")])
@@ -138,7 +165,7 @@ def test_text_functions(spark):
     assert (row.stamp, row.srt, row.secs, row.one, round(row.contrast, 3), row.bad) == ("1:02:05", "01:02:05,007", 3725, "story", 21.0, None)
 
 
-@pytest.mark.parametrize("said, kind", [("I built a router with Jev.", None), ("It is 40 times faster than Claude.", "before_after"), ("first this, then that, finally", "list"), ("it sends mail", "flow"), ("click it", "ui_demo"), ("double it", "counter")])
+@pytest.mark.parametrize("said, kind", [("My cat sleeps on the red sofa", None), ("Now it boots quicker, versus last week", "before_after"), ("take one step, then the next", "list"), ("salt, flour, and eggs", "list"), ("the queue sends a note", "flow"), ("click here", "ui_demo"), ("that is half of it", "counter"), ("", None)])
 def test_motion_kind(spark, said, kind):
     assert spark.range(1).select(text.motion_kind(F.lit(said)).alias("k")).first().k == kind
 
