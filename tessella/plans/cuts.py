@@ -115,7 +115,7 @@ def budgeted_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = _cuts(rows).select("conv_id", "span", "b", "e")
     kept = with_cover(rows, cuts).where("covered is null")
     found = asof(_snapped(rows, cuts), kept.select("conv_id", F.col("start_ms").cast("double").alias("at"), "idx", F.col("end_ms").alias("until")), ["conv_id"], "b", "at", "idx", strict=True)
-    found = found.withColumn("prev", F.least(F.col("found.until").cast("double"), F.col("b"))).drop("found").where("e is not null")
+    found = found.withColumn("prev", F.when(F.col("found").isNotNull(), F.least(F.col("found.until").cast("double"), F.col("b")))).drop("found").where("e is not null")
     found = asof(found, kept.select("conv_id", F.col("end_ms").cast("double").alias("at"), "idx", F.col("start_ms").alias("next")), ["conv_id"], "e", "at", "idx", "forward", strict=True).where("prev is not null and found is not null")
     left, right = F.greatest(F.lit(0.0), F.col("b") - F.col("prev")), F.greatest(F.lit(0.0), F.col("found.next") - F.col("e"))
     found = found.select("conv_id", "span", "b", "e", "prev", F.col("found.next").alias("next"), (F.col("found.at") - F.col("found.next") < SHORT).alias("short"), left.alias("left"), right.alias("right"))
