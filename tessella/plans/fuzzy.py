@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import fuzzy, sequential
+from tessella.operators.alignment import aligned
 from tessella.operators.intervals import with_period
 from tessella.operators.islands import islands
 from tessella.plans.texts import grams, hashed_grams
@@ -122,7 +123,25 @@ def value_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg((F.max("segment") + 1).alias("segments"))
 
 
-QUERIES = {q.__name__: q for q in (restarts, script_match, fuzzy_groups, similar_lines, numbers_folded, names_said, greedy_spacing, interval_lanes, clip_shortlist, deal_shares, value_segments)}
+def heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against a second hearing of them (every 11th heard otherwise, every 17th missed, one more after every 23rd), lined up."""
+    rows = words(spark, sf_dir).select("conv_id", "idx", F.col("norm").alias("key"), F.col("start_ms").alias("b"), F.col("end_ms").alias("e"))
+    other = rows.where("idx % 17 != 0").withColumn("key", F.when(F.col("idx") % 11 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
+    more = rows.where("idx % 23 = 0").select("conv_id", "idx", F.lit("well").alias("key"), F.col("e").alias("b"), F.col("e").alias("e"))
+    other = other.unionByName(more).withColumn("idx", F.row_number().over(W.partitionBy("conv_id").orderBy("b", "e", "idx")).cast("long"))
+    return aligned(rows, other, "conv_id")
+
+
+def verified_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each removed or kept word in the second hearing, by the kind of difference: hesitations, spelling (four of five letters alike), other."""
+    found = heard_again(spark, sf_dir).where("what != 'same'")
+    said = words(spark, sf_dir).select("conv_id", F.col("idx").alias("left"), "norm")
+    found = found.join(said, ["conv_id", "left"], "left")
+    kind = F.when(F.col("norm").isin(*T.HARD_FILLERS), "hesitation").when(F.col("what") == "differ", "spelling").when(F.col("what") == "gone", "missing").otherwise("more")
+    return found.groupBy("conv_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("left").alias("first"))
+
+
+QUERIES = {q.__name__: q for q in (restarts, script_match, fuzzy_groups, similar_lines, numbers_folded, names_said, greedy_spacing, interval_lanes, clip_shortlist, deal_shares, value_segments, heard_again, verified_words)}
 
 _GRAMS = "list_transform(range(1, greatest(length(w) - 3, 1)), lambda k: array_to_string(w[k:k + 4], ' '))"
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import colour, text
-from tessella.operators import aggregates, fuzzy, intervals, prefix, sequential
+from tessella.operators import aggregates, alignment, fuzzy, intervals, prefix, sequential
 from tessella.operators.asof import asof
 from tessella.operators.islands import integer_runs
 from tessella.plans import fuzzy as fuzzy_plans
@@ -150,11 +150,43 @@ def test_order_statistics(spark):
         assert medians.get(k) == (statistics.median(own) if own else None) and tops.get(k) == (own[int(0.9 * (len(own) - 1))] if own else None)
 
 
-@pytest.mark.parametrize("said, expected", [("fifteen hundred", "1500"), ("eighty percent", "80 percent"), ("one of the best", "one of the best"), ("two thousand twenty four", "2024"), ("twenty one", "21"), ("three", "three")])
+@pytest.mark.parametrize("said, expected", [
+    ("fifteen hundred", "1500"), ("eighty percent", "80 percent"), ("one of the best", "one of the best"), ("two thousand twenty four", "2024"), ("twenty one", "21"), ("three", "three"), ("thirteen", "13"), ("twenty", "20"),
+    ("five five", "10"), ("hundred of them", "hundred of them"), ("three million two hundred thousand and six", "3200000 and six"), ("i gotta go", "i got to go"), ("one hundred five", "105"), ("", ""),
+    (" ".join(["one"] * 14 + ["thousand"]), "14000"),
+])
 def test_numbers_folded(said, expected):
     assert " ".join(fuzzy.folded(said.split())) == expected
 
 
+def test_canonical_words_know_their_places():
+    assert fuzzy.canonical("we gonna sell twenty one cars".split()) == [("we", 0), ("going", 1), ("to", 1), ("sell", 2), ("21", 3), ("cars", 5)]
+
+
+def test_line_up():
+    """Equal words, words heard otherwise at the same time, words that only one side has, and a stretch that is far off in time."""
+    heard = lambda text, at=0: [(w, at + 400 * k, at + 400 * k + 300) for k, w in enumerate(text.split())]
+    assert alignment.line_up(heard("a b c"), heard("a b c")) == [("same", k, k) for k in range(3)]
+    assert alignment.line_up(heard("a jev c"), heard("a jeff c")) == [("same", 0, 0), ("differ", 1, 1), ("same", 2, 2)]
+    assert alignment.line_up(heard("a b c"), heard("a c")) == [("same", 0, 0), ("gone", 1, None), ("same", 2, 1)]
+    assert alignment.line_up(heard("a c"), heard("a b c")) == [("same", 0, 0), ("new", None, 1), ("same", 1, 2)]
+    assert alignment.line_up(heard("x y"), heard("v w", 90_000)) == [("gone", 0, None), ("gone", 1, None), ("new", None, 0), ("new", None, 1)]
+    assert alignment.line_up([], heard("a")) == [("new", None, 0)] and alignment.line_up([], []) == []
+
+
+def test_aligned_rows_cover_both_sides(spark):
+    rng = random.Random(9)
+    left = [(k % 3, k, rng.choice("abcd"), k * 300, k * 300 + 250) for k in range(150)]
+    right = [(k, i, w if rng.random() < 0.8 else "z", b, e) for k, i, w, b, e in left if rng.random() < 0.9] + [(7, 1, "only", 0, 9)]
+    schema = "k long, idx long, key string, b long, e long"
+    found = alignment.aligned(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k").collect()
+    key = {(s, r[0], r[1]): r[2] for s, rows in (("l", left), ("r", right)) for r in rows}
+    assert {(r.k, r.left) for r in found if r.left is not None} == {(r[0], r[1]) for r in left}
+    assert {(r.k, r.right) for r in found if r.right is not None} == {(r[0], r[1]) for r in right}
+    for r in found:
+        assert (r.what == "same") == (r.left is not None and r.right is not None and key["l", r.k, r.left] == key["r", r.k, r.right])
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("1,500 Cats: 80%!", "mail me@x.org or https://a.b/c at @someone")], "a string, b string").select(
         text.norm(F.col("a")).alias("norm"), text.scrub(F.col("b")).alias("scrubbed"), text.stamp(F.lit(3725)).alias("stamp"), text.srt_time(F.lit(3725007)).alias("srt"),
