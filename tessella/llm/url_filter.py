@@ -1,30 +1,43 @@
 """URL rules by a bit-parallel wildcard automaton.
 
-Each rule is a glob over the canonical URL `host + path`: `**` is any run of characters, `*` any run
-without a slash, `?` one character other than a slash, all else stands for itself.  The globs'
-positions are packed side by side into the bits of 64-bit words, as many words as the rules need, and
-one Shift-And step per character moves all rules of all URLs of a batch at once: a position is reached
-from the one before it if the character fits, and a wildcard's position keeps itself.
+Each rule is a glob: `**` is any run of characters, `*` any run without a slash, `?` one character other
+than a slash, all else stands for itself.  The globs' positions are packed side by side into the bits of
+64-bit words, as many words as the rules need, and one Shift-And step per character moves all rules of
+all URLs of a batch at once: a position is reached from the one before it if the character fits, and a
+wildcard's position keeps itself.
+
+Rules of a host and path are matched against both as they are; the globs of the block list against the
+canonical URL, that is `host + path` without user, default port and dots at the host's end, with
+percent-encoded letters, digits and `-._~` decoded, dot segments resolved and repeated slashes as one.
+Both can come as tables (`rules_from`, `globs_from`), of at most `MOST_RULES` rows: their masks go to all tasks.
 
 Defined cases: a URL that is null or has no `://` has an empty host and path and no rule of a host
-fits; of the rules that fit, the longest wins (ties: the one given first); where none fits, the globs
-of `BLOCKED` decide, else the verdict is allow.  URLs of any length take memory in proportion.
+fits; of the rules that fit, the longest wins (ties: the one given first); where none fits, the block
+list decides, else the verdict is allow; a percent sign that encodes nothing stands for itself.  URLs of
+any length take memory in proportion.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Globs of URLs that are blocked where no rule fits.
-BLOCKED = ("spam-farm.**", "*.spam-farm.**", "casino.**", "*casino.*/**", "**/wp-login.php", "**.exe", "**.zip")
+#: Globs of canonical URLs that are blocked where no rule fits: hosts, paths that are no content, files that are no text.
+BLOCKED = (
+    "spam-farm.**", "*.spam-farm.**", "casino.**", "*casino.*/**", "**/wp-login.php", "**/xmlrpc.php", "**/cgi-bin/**", "**/cart/**", "**/checkout/**",
+    "**.exe", "**.zip", "**.tar.gz", "**.7z", "**.iso", "**.apk", "**.mp3", "**.mp4", "**.png", "**.jpg", "**.jpeg", "**.gif", "**.woff2",
+)
+#: Rules of a table at most; the masks of so many take about 30 MB.
+MOST_RULES = 10_000
+_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
 
 def host_of(url: Column) -> Column:
@@ -128,23 +141,61 @@ class ShiftAnd:
         return out
 
 
+def _decoded(match: re.Match) -> str:
+    letter = chr(int(match[1], 16))
+    return letter if letter in _UNRESERVED else match[0].upper()
+
+
+def canonical(host: str, path: str) -> str:
+    """host + path in one spelling."""
+    host = re.sub(r":(80|443)?$", "", host.rpartition("@")[2]).rstrip(".")
+    kept: list[str] = []
+    parts = re.sub(r"%([0-9A-Fa-f]{2})", _decoded, path).split("/")
+    for part in parts:
+        if part == "..":
+            del kept[-1:]
+        elif part not in ("", "."):
+            kept.append(part)
+    return f"{host}/{'/'.join(kept)}" + ("/" if kept and parts[-1] in ("", ".", "..") else "")
+
+
 def _judge(batches: Iterator[pa.RecordBatch], rules: Sequence[tuple[str, str, str]], blocked: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    machine = ShiftAnd([*(glob for _, host, path in rules for glob in rule_globs(host, path)), *map(parse_glob, blocked)])
-    ranked = sorted(range(len(rules)), key=lambda r: len((rules[r][1] + rules[r][2]).encode()))  # the later one wins
-    ranked = [r for _, r in sorted(((len((rules[r][1] + rules[r][2]).encode()), -r), r) for r in ranked)]
+    machine = ShiftAnd([glob for _, host, path in rules for glob in rule_globs(host, path)])
+    listed = ShiftAnd([parse_glob(glob) for glob in blocked])
+    ranked = [r for _, _, r in sorted((len((host + path).encode()), -r, r) for r, (_, host, path) in enumerate(rules))]  # the later one wins
     names = np.array([None, *(host + path for _, host, path in rules)], object)
     verdicts = np.array(["allow", *(verdict for verdict, _, _ in rules)], object)
     for batch in batches:
         hosts, paths = batch.column("host"), batch.column("path")
-        fits = machine.match([(h + p).encode() for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)])
+        urls = list(zip(hosts.to_pylist(), paths.to_pylist(), strict=True))
+        fits = machine.match([(host + path).encode() for host, path in urls])
         best = np.zeros(batch.num_rows, np.int64)
         for r in ranked:
             best[fits[:, 2 * r] | fits[:, 2 * r + 1]] = r + 1
         verdict = verdicts[best]
-        verdict[(best == 0) & fits[:, 2 * len(rules) :].any(axis=1)] = "block"
+        free = np.nonzero(best == 0)[0]
+        verdict[free[listed.match([canonical(*urls[k]).encode() for k in free]).any(axis=1)]] = "block"
         yield pa.RecordBatch.from_arrays([batch.column("id"), hosts, paths, pa.array(names[best], pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
 
+def _few(table: DataFrame) -> list[Row]:
+    rows = table.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return rows
+
+
+def rules_from(table: DataFrame) -> list[tuple[str, str, str]]:
+    """Rules of a table (verdict, host, path), in the order of host and path; hosts in lower case.  Rows with a null are left out."""
+    rows = table.select("verdict", F.lower("host").alias("host"), "path").dropna().distinct()
+    return [tuple(r) for r in _few(rows.orderBy("host", "path", "verdict"))]
+
+
+def globs_from(table: DataFrame) -> list[str]:
+    """Globs of a table (glob)."""
+    return [r.glob for r in _few(table.select("glob").dropna().distinct().orderBy("glob"))]
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = BLOCKED) -> DataFrame:
     """(id, host, path, rule, verdict), one row per row of pages.  Nothing shuffles."""
     urls = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))

@@ -121,6 +121,37 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+@pytest.mark.parametrize("url, spelling", [
+    ("http://u:p@a.com.:80//x/./y/../z", "a.com/x/z"), ("https://a.com:443", "a.com/"), ("http://a.com:8080/b/", "a.com:8080/b/"), ("http://a.com/%41%2fb%7E%c3%a9%zz", "a.com/A%2Fb~%C3%A9%zz"),
+    ("http://a.com/../../x", "a.com/x"), ("http://a.com/x/..", "a.com/"), ("http://a.com/x/.", "a.com/x/"), ("http://a%2Ecom/", "a%2Ecom/"),
+])
+def test_canonical_urls(url, spelling):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    assert url_filter.canonical(m[1], m[2]) == spelling
+    assert url_filter.canonical(*spelling.partition("/")[::2]).rstrip("/") in (spelling.rstrip("/"), spelling.rstrip("/").replace("//", "/"))
+
+
+def test_block_list_sees_canonical_urls(spark):
+    urls = ["http://a.com/x/../%77p-login.php", "http://spam-farm.com:80/", "http://b.com/%2e%2e/f.zip", "http://b.com/f.zip/more", "http://x@casino.net", "http://a.com/wp-login.php5"]
+    found = {r.id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [found[k] for k in range(6)] == ["block", "block", "block", "allow", "block", "allow"]
+
+
+def test_rules_from_tables(spark, monkeypatch):
+    """Ties between rules of equal length go to the one given first; tables come in the order of host and path."""
+    urls = spark.createDataFrame([(1, "http://a.com/xy"), (2, "http://b.org/q")], "page_id long, url string")
+    tie = [("block", "a.com", "/x"), ("allow", "a.com", "/x")]
+    assert {r.id: r.verdict for r in url_filter.judge_urls(urls, rules=tie).collect()} == {1: "block", 2: "allow"}
+    assert {r.id: r.verdict for r in url_filter.judge_urls(urls, rules=tie[::-1], blocked=["b.org/?"]).collect()} == {1: "allow", 2: "block"}
+    table = spark.createDataFrame([("block", "A.com", "/x"), ("block", "A.com", "/x"), ("allow", None, "/")], "verdict string, host string, path string")
+    assert url_filter.rules_from(table) == [("block", "a.com", "/x")]
+    assert url_filter.globs_from(spark.createDataFrame([("b*",), ("a?",), (None,)], "glob string")) == ["a?", "b*"]
+    assert url_filter.rules_from(table.limit(0)) == [] and {r.verdict for r in url_filter.judge_urls(urls, rules=[], blocked=[]).collect()} == {"allow"}
+    monkeypatch.setattr(url_filter, "MOST_RULES", 1)
+    with pytest.raises(ValueError, match="more than 1 rules"):
+        url_filter.globs_from(spark.createDataFrame([("b*",), ("a?",)], "glob string"))
+
+
 def glob_regex(glob):
     out = ""
     k = 0
