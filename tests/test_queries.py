@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import aggregates, boxes, cuts, findings, fuzzy, intervals, jobs, series, streams, strings, texts, videos, words
+from tessella.plans import aggregates, boxes, cuts, findings, fuzzy, intervals, jobs, reports, series, streams, strings, texts, videos, words
 
 SF = "/root/testdata/sf0.001"
-PLANS = (videos, words, intervals, cuts, series, boxes, findings, jobs, strings, aggregates, texts, fuzzy, streams)
+PLANS = (videos, words, intervals, cuts, series, boxes, findings, jobs, strings, reports, aggregates, texts, fuzzy, streams)
 NAMES = [(plan, name) for plan in PLANS for name in plan.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
