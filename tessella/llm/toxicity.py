@@ -52,7 +52,7 @@ WHOLE = 1 << 20
 #: Logits are counted in this many steps a unit, up to FARTHEST either way.
 STEPS, FARTHEST = 1024, 60
 #: Words whose weights a Python worker remembers for one task.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
