@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.operators import intervals
@@ -15,12 +16,15 @@ from tessella.operators.prefix import at_ranks
 from tessella.sources.views import WORDS_SQL, table, words
 
 BY = ["user_id"]
-ORDER = W.partitionBy("user_id").orderBy("i")
 QUIET, LOUD = 40, 10
 #: Families of easing curves as powers of what is still to go: value = 1 - (1 - t)^power; "in" is the reverse.
 EASES = {"linear": 1, "quad": 2, "cubic": 3, "quart": 4}
 
 
+def in_order() -> WindowSpec:
+    return W.partitionBy("user_id").orderBy("i")
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, i from 0, v, w): two aligned series of whole numbers."""
     rows = table(spark, sf_dir, "events").where("value is not null")
@@ -33,7 +37,7 @@ LEVELS_SQL = "levels AS (SELECT user_id, row_number() OVER (PARTITION BY user_id
 
 def steps(rows: DataFrame) -> DataFrame:
     """rows with dv and dw: each value less the one before it; null at the start."""
-    return rows.withColumn("dv", F.col("v") - F.lag("v").over(ORDER)).withColumn("dw", F.col("w") - F.lag("w").over(ORDER))
+    return rows.withColumn("dv", F.col("v") - F.lag("v").over(in_order())).withColumn("dw", F.col("w") - F.lag("w").over(in_order()))
 
 
 _STEPS_SQL = f"{LEVELS_SQL}, steps AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY i) AS dv, w - lag(w) OVER (PARTITION BY user_id ORDER BY i) AS dw FROM levels)"
@@ -47,15 +51,15 @@ def _median(sorted_: Column) -> Column:
 def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that none within three places exceeds and that are above 1.5 times the median of those places."""
     rows = levels(spark, sf_dir)
-    around = F.concat(F.collect_list("v").over(ORDER.rowsBetween(-3, -1)), F.collect_list("v").over(ORDER.rowsBetween(1, 3)))
+    around = F.concat(F.collect_list("v").over(in_order().rowsBetween(-3, -1)), F.collect_list("v").over(in_order().rowsBetween(1, 3)))
     rows = rows.withColumn("near", F.array_sort(around)).withColumn("base", _median(F.col("near")))
     return rows.where((F.size("near") > 0) & (F.col("v") >= F.element_at("near", -1)) & (F.col("v") > F.greatest(F.col("base") * 1.5, F.lit(1.5)))).select("user_id", "i", "v", "base")
 
 
 def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values three median deviations or more above the running median of eight places either side, and the largest within two."""
-    wide = ORDER.rowsBetween(-8, 8)
-    rows = levels(spark, sf_dir).withColumn("near", F.collect_list("v").over(wide)).withColumn("top", F.max("v").over(ORDER.rowsBetween(-2, 2)))
+    wide = in_order().rowsBetween(-8, 8)
+    rows = levels(spark, sf_dir).withColumn("near", F.collect_list("v").over(wide)).withColumn("top", F.max("v").over(in_order().rowsBetween(-2, 2)))
     rows = rows.withColumn("middle", _median(F.array_sort("near")))
     rows = rows.withColumn("spread", _median(F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("middle"))))))
     return rows.where("spread > 0 and v = top and v - middle >= 3 * spread").select("user_id", "i", "v", "middle", "spread")
@@ -64,16 +68,16 @@ def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frozen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs in which one series stands still while the other moves."""
     rows = steps(levels(spark, sf_dir)).withColumn("frozen", F.coalesce((F.abs("dv") <= 12) & (F.abs("dw") >= 30), F.lit(False)))
-    runs = islands(rows, BY, ["i"], ~F.lag("frozen").over(ORDER).eqNullSafe(F.col("frozen")), "run").where("frozen")
+    runs = islands(rows, BY, ["i"], ~F.lag("frozen").over(in_order()).eqNullSafe(F.col("frozen")), "run").where("frozen")
     return runs.groupBy("user_id", "run").agg(F.min("i").alias("first"), F.count("*").alias("length")).drop("run")
 
 
 def flashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One value far from both neighbours, which are near each other, while the other series changes by less than half as much."""
     rows = levels(spark, sf_dir)
-    before, after = F.lag("v").over(ORDER), F.lead("v").over(ORDER)
+    before, after = F.lag("v").over(in_order()), F.lead("v").over(in_order())
     side = F.least(F.abs(F.col("v") - before), F.abs(after - F.col("v")))
-    under = F.least(F.abs(F.col("w") - F.lag("w").over(ORDER)), F.abs(F.lead("w").over(ORDER) - F.col("w")))
+    under = F.least(F.abs(F.col("w") - F.lag("w").over(in_order())), F.abs(F.lead("w").over(in_order()) - F.col("w")))
     rows = rows.select("user_id", "i", side.alias("side"), F.abs(after - before).alias("back"), under.alias("under"))
     return rows.where("side >= 40 and 2 * back < side and 2 * under < side").select("user_id", "i", "side")
 
@@ -81,14 +85,14 @@ def flashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of values under 20 where the other series is at 20 or more."""
     rows = levels(spark, sf_dir).withColumn("dark", (F.col("v") < 20) & (F.col("w") >= 20))
-    runs = islands(rows, BY, ["i"], ~F.lag("dark").over(ORDER).eqNullSafe(F.col("dark")), "run").where("dark")
+    runs = islands(rows, BY, ["i"], ~F.lag("dark").over(in_order()).eqNullSafe(F.col("dark")), "run").where("dark")
     return runs.groupBy("user_id", "run").agg(F.min("i").alias("first"), F.count("*").alias("length")).drop("run")
 
 
 def hard_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of 40 or more that are twice every step within three places: cuts; of 15 to 40 and three times: jumps."""
     rows = steps(levels(spark, sf_dir)).withColumn("d", F.abs("dv"))
-    peak = F.greatest(F.max("d").over(ORDER.rowsBetween(-3, -1)), F.max("d").over(ORDER.rowsBetween(1, 3)))
+    peak = F.greatest(F.max("d").over(in_order().rowsBetween(-3, -1)), F.max("d").over(in_order().rowsBetween(1, 3)))
     rows = rows.withColumn("peak", F.coalesce(peak, F.lit(0)))
     kind = F.when((F.col("d") >= 40) & (F.col("d") >= 2 * F.col("peak")), "cut").when((F.col("d") >= 15) & (F.col("d") < 40) & (F.col("d") >= 3 * F.greatest(F.col("peak"), F.lit(1))), "jump")
     return rows.withColumn("kind", kind).where("kind is not null").select("user_id", "i", "kind", "d", "peak")
@@ -96,16 +100,16 @@ def hard_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of four or more steps of at least 15 that end 20 or more from where they began."""
-    rows = steps(levels(spark, sf_dir)).withColumn("from", F.lag("v").over(ORDER)).withColumn("moving", F.coalesce(F.abs("dv") >= 15, F.lit(False)))
-    runs = islands(rows, BY, ["i"], ~F.lag("moving").over(ORDER).eqNullSafe(F.col("moving")), "run").where("moving")
+    rows = steps(levels(spark, sf_dir)).withColumn("from", F.lag("v").over(in_order())).withColumn("moving", F.coalesce(F.abs("dv") >= 15, F.lit(False)))
+    runs = islands(rows, BY, ["i"], ~F.lag("moving").over(in_order()).eqNullSafe(F.col("moving")), "run").where("moving")
     runs = runs.groupBy("user_id", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min_by("from", "i").alias("a"), F.max_by("v", "i").alias("b"))
     return runs.where("last - first >= 3 and abs(b - a) >= 20").select("user_id", "first", "last", (F.col("b") - F.col("a")).alias("moved"))
 
 
 def _one_way_runs(rows: DataFrame) -> DataFrame:
     """Runs of steps with one sign, steps of 0 passed over: (user_id, nr, way, steps, first, from, last, speed of the first and of the last step)."""
-    rows = steps(rows).withColumn("start", F.lag("v").over(ORDER)).where("dv != 0").withColumn("way", F.signum("dv").cast("int"))
-    rows = islands(rows, BY, ["i"], F.lag("way").over(ORDER) != F.col("way"), "nr")
+    rows = steps(rows).withColumn("start", F.lag("v").over(in_order())).where("dv != 0").withColumn("way", F.signum("dv").cast("int"))
+    rows = islands(rows, BY, ["i"], F.lag("way").over(in_order()) != F.col("way"), "nr")
     return rows.groupBy("user_id", "nr", "way").agg(F.count("*").alias("steps"), F.min("i").alias("first"), F.max("i").alias("last"), F.min_by(F.abs("dv"), "i").alias("speed_in"), F.max_by(F.abs("dv"), "i").alias("speed_out"), F.sum("dv").alias("moved"))
 
 
@@ -133,7 +137,7 @@ def speed_and_jerk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest speed, change of speed and jerk between consecutive keys (every fourth value)."""
     keys = levels(spark, sf_dir).where("i % 4 = 0")
     for name, of in (("speed", "v"), ("turn", "speed"), ("jerk", "turn")):
-        keys = keys.withColumn(name, F.col(of) - F.lag(of).over(ORDER))
+        keys = keys.withColumn(name, F.col(of) - F.lag(of).over(in_order()))
     return keys.groupBy("user_id").agg(*[F.max(F.abs(c)).alias(c) for c in ("speed", "turn", "jerk")], F.count("jerk").alias("n"))
 
 
@@ -169,7 +173,7 @@ def window_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_in_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh place is an edge: those with both windows beside it more than LOUD above the quiet level."""
-    rows = levels(spark, sf_dir).withColumn("before", F.lag("v").over(ORDER))
+    rows = levels(spark, sf_dir).withColumn("before", F.lag("v").over(in_order()))
     return rows.where(F.col("i") % 7 == 0).where(F.least("before", "v") > QUIET + LOUD).where("before is not null").select("user_id", "i")
 
 
@@ -188,7 +192,7 @@ def histogram_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lag from 2 to 8 at which rises repeat best (sum of products; ties: the shortest), and the phase at which most of the rises lie."""
     rows = steps(levels(spark, sf_dir)).withColumn("rise", F.when(F.col("dv").isNotNull(), F.greatest("dv", F.lit(0))))
-    rows = rows.select("user_id", "i", "rise", *[(F.col("rise") * F.lag("rise", k).over(ORDER)).alias(f"p{k}") for k in range(2, 9)])
+    rows = rows.select("user_id", "i", "rise", *[(F.col("rise") * F.lag("rise", k).over(in_order())).alias(f"p{k}") for k in range(2, 9)])
     sums = rows.groupBy("user_id").agg(*[F.coalesce(F.sum(f"p{k}"), F.lit(0)).alias(f"p{k}") for k in range(2, 9)])
     best = sums.select("user_id", F.array_max(F.array(*[F.struct(F.col(f"p{k}").alias("score"), F.lit(-k).alias("lag")) for k in range(2, 9)])).alias("x")).select("user_id", F.col("x.score").alias("score"), (-F.col("x.lag")).cast("long").alias("lag"))
     phases = rows.join(best, "user_id").groupBy("user_id", "lag", "score", (F.col("i") % F.col("lag")).alias("phase")).agg(F.coalesce(F.sum("rise"), F.lit(0)).alias("weight"))
@@ -202,13 +206,13 @@ def projection_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place where the running sum reaches 80% of the whole."""
-    rows = levels(spark, sf_dir).withColumn("upto", F.sum("v").over(ORDER.rowsBetween(W.unboundedPreceding, 0))).withColumn("whole", F.sum("v").over(W.partitionBy("user_id")))
+    rows = levels(spark, sf_dir).withColumn("upto", F.sum("v").over(in_order().rowsBetween(W.unboundedPreceding, 0))).withColumn("whole", F.sum("v").over(W.partitionBy("user_id")))
     return rows.where("upto * 5 >= whole * 4").groupBy("user_id").agg(F.min("i").alias("landed"), F.first("whole").alias("whole"))
 
 
 def ease_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curve that best fits each user's first ten running maxima as a way from 0 to 1: over families and durations, the least squared error; none where it lands at once."""
-    rows = levels(spark, sf_dir).where("i < 10").withColumn("top", F.max("v").over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    rows = levels(spark, sf_dir).where("i < 10").withColumn("top", F.max("v").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     ends = rows.groupBy("user_id").agg(F.min("top").alias("a"), F.max("top").alias("b"), F.count("*").alias("n")).where("n >= 4 and b > a")
     grid = F.explode(F.array(*[F.struct(F.lit(name).alias("ease"), F.lit(power).alias("power"), F.lit(d).alias("duration")) for name, power in EASES.items() for d in range(1, 10)])).alias("g")
     rows = rows.join(ends, "user_id").select("user_id", "i", ((F.col("top") - F.col("a")) / (F.col("b") - F.col("a"))).alias("p"), grid).select("user_id", "i", "p", "g.*")
@@ -221,8 +225,8 @@ def ease_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def camera_path(spark: SparkSession, sf_dir: str, gap: int = 5) -> DataFrame:
     """Every fifth value is a key: in between, the way from one to the next with a slow start and end, in thousandths."""
     rows = levels(spark, sf_dir)
-    rows = rows.withColumn("a", F.last(F.when(F.col("i") % gap == 0, F.col("v")), ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("b", F.coalesce(F.first(F.when(F.col("i") % gap == 0, F.col("v")), ignorenulls=True).over(ORDER.rowsBetween(1, W.unboundedFollowing)), F.col("a")))
+    rows = rows.withColumn("a", F.last(F.when(F.col("i") % gap == 0, F.col("v")), ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("b", F.coalesce(F.first(F.when(F.col("i") % gap == 0, F.col("v")), ignorenulls=True).over(in_order().rowsBetween(1, W.unboundedFollowing)), F.col("a")))
     k = F.col("i") % gap  # t = k / gap; t * t * (3 - 2 t) in whole numbers
     share = F.floor(k * k * (3 * gap - 2 * k) * 1000 / gap**3)
     return rows.select("user_id", "i", (F.col("a") * 1000 + (F.col("b") - F.col("a")) * share).cast("long").alias("at"))
