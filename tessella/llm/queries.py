@@ -13,9 +13,8 @@ from tessella.llm.tables import read
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, columns=("doc_id",)).withColumnRenamed("__score", "score")
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    found = toxicity.scored(docs, read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

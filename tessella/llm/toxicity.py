@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import cut
+from tessella.llm.tables import cut, without, written
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -191,8 +191,8 @@ def fitted(rows: DataFrame, prior: float) -> Model:
     return fit(*([x for x, _ in side[k]] for k in (True, False)), prior, scale, *(np.array([w for _, w in side[k]], float) for k in (True, False)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from docs and labels (doc_id, toxic), without the held-out rows."""
+def untuned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame | None]:
+    """A model from docs and labels (doc_id, toxic), without the held-out rows and without its cut; and of the training folds (id, positive), one row per id (none: nothing to learn from)."""
     ids = docs.select(docs[id_col].alias("id")).where(~held_out(F.col("id"))).distinct()
     known = labels.select(labels["doc_id"].alias("label_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null")
     known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = ids.agg(F.count("*"), F.count("toxic"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     total, labelled, toxic = counts
     if not toxic or total == toxic:
-        return fit([], [], 0, np.zeros(FEATURES))
+        return fit([], [], 0, np.zeros(FEATURES)), None
     prior = toxic / labelled * (total - labelled) / (total - toxic)
     positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
     order = F.xxhash64("id", F.lit(SEED))
@@ -208,27 +208,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(chosen.select(F.col("id").alias("chosen"), positive.alias("positive")))  # POSITIVES + UNLABELLED rows at most
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("chosen")))
     texts = texts.groupBy("id", "positive").agg(F.min("text").alias("text"))  # one row per chosen id
-    model = fitted(texts.select("positive", "text"), prior)
-    counts = logit_counts(docs, ids.select("id", positive.alias("positive")), model, id_col, text_col)
-    return replace(model, bias=placed(cut_off(*counts, 1 / STEPS))) if counts[1].any() else model
+    return fitted(texts.select("positive", "text"), prior), ids.select("id", positive.alias("positive"))
 
 
-def _steps(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _logit_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     words = _Words(model)
     for batch in batches:
-        steps = np.floor(np.clip(words.logits(batch.column("__text")), -FARTHEST, FARTHEST) * STEPS)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(steps.astype(np.int32))], names=["id", "step"])
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("id"), pa.array(words.logits(batch.column("text")), pa.float64())], names=["nth", "id", "logit"])
+
 
+def logits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(nth, id, logit) of all rows, written down; nth is the row's monotonically_increasing_id().  Texts go to Python once and don't come back."""
+    rows = docs.select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return written(rows.mapInArrow(partial(_logit_rows, model=model), f"nth long, id {rows.schema['id'].dataType.simpleString()}, logit double"))
 
-def logit_counts(docs: DataFrame, ids: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits in steps, and how many P and U of all rows of the training folds have each; ids (id, positive) has one row per id."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text")).where(~held_out(F.col("id")))
-    steps = rows.mapInArrow(partial(_steps, model=model), f"id {rows.schema['id'].dataType.simpleString()}, step int").groupBy("id", "step").agg(F.count("*").alias("n"))
+
+def tuned(model: Model, found: DataFrame, ids: DataFrame | None) -> Model:
+    """The model with its cut, from the logits (id, logit) of all rows of the training folds, in steps."""
+    if ids is None:
+        return model
+    step = F.floor(F.greatest(F.lit(-float(FARTHEST)), F.least(F.lit(float(FARTHEST)), F.col("logit"))) * STEPS).alias("step")
+    steps = found.where(~held_out(F.col("id"))).groupBy("id", step).agg(F.count("*").alias("n"))
     known = ids.select(F.col("id").alias("own"), "positive")
     both = steps.join(known, F.col("id").eqNullSafe(F.col("own"))).groupBy("step").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n"))
-    found = both.toArrow().sort_by("step")  # 2 * FARTHEST * STEPS + 1 rows at most
-    step, p, n = (found.column(c).to_numpy() for c in ("step", "p", "n"))
-    return step / STEPS, p, n - p
+    counts = both.toArrow().sort_by("step")  # 2 * FARTHEST * STEPS + 1 rows at most
+    at, p, n = (counts.column(c).to_numpy() for c in ("step", "p", "n"))
+    return replace(model, bias=placed(cut_off(at / STEPS, p, n - p, 1 / STEPS))) if p.any() else model
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from docs and labels (doc_id, toxic), without the held-out rows."""
+    model, ids = untuned(docs, labels, id_col, text_col)
+    return tuned(model, logits(docs, model, id_col, text_col), ids)
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(nth, id, score) of all rows of docs by a model trained on them: each text is read by Python once for its score."""
+    model, ids = untuned(docs, labels, id_col, text_col)
+    found = logits(docs, model, id_col, text_col)
+    bias = tuned(model, found, ids).bias
+    logit = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("logit") + F.lit(float(bias) if ids is not None else -60.0)))
+    return found.select("nth", "id", F.when(F.lit(ids is None), 0.0).otherwise(1 / (1 + F.exp(-logit))).alias("score"))
 
 
 # ---- scoring
@@ -266,5 +286,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: tuple[
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with a score under THRESHOLD, with all their columns."""
-    model = train(docs, labels, id_col, text_col)
-    return score(docs, model, text_col).where(F.col("__score") < THRESHOLD).drop("__score")
+    found = scored(docs, labels, id_col, text_col).where(F.col("score") >= THRESHOLD).select("nth")
+    return without(docs, cut(found))
