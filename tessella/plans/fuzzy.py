@@ -31,13 +31,11 @@ def clause_openings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return rows, rows.groupBy("conv_id", "clause").agg(F.min("idx").alias("idx"), F.min("start_ms").alias("start_ms"), F.slice(own, 1, OPENING).alias("opening"))
 
 
-def _repeats(rows: pd.DataFrame, clauses: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("idx")
-    said = [(w, int(k)) for k, own in zip(rows["idx"], rows["said"], strict=True) for w in own]
+def _chosen(repeats: pd.DataFrame, clauses: pd.DataFrame) -> pd.DataFrame:
     taken = {k for a, b in zip(clauses["before"], clauses["again"], strict=True) for k in range(a, b)}
-    found = pd.DataFrame(fuzzy.repeats(said, taken), columns=["before", "again"], dtype="int64").assign(kind="words")
-    every = pd.concat([clauses[["before", "again"]].assign(kind="clause"), found])
-    return every.assign(conv_id=rows["conv_id"].iloc[0])[["conv_id", "before", "again", "kind"]]
+    spans = [tuple(map(int, r)) for r in repeats[["n", "k", "before", "again"]].itertuples(index=False)]
+    found = pd.DataFrame(fuzzy.first_free(spans, taken), columns=["before", "again"], dtype="int64")
+    return found.assign(conv_id=repeats["conv_id"].iloc[0] if len(repeats) else 0)[["conv_id", "before", "again"]]
 
 
 def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +45,15 @@ def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     earlier = later.select("conv_id", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("idx").alias("before"), F.col("start_ms").alias("at"), F.col("opening").alias("other"))
     pairs = later.join(earlier, ["conv_id", "bucket"]).where(F.col("before") < F.col("idx")).where(F.col("start_ms") - F.col("at") <= RESTART_MS)
     nearest = pairs.where(fuzzy.alike(F.col("other"), F.col("opening"))).groupBy("conv_id", F.col("idx").alias("again")).agg(F.max("before").alias("before"))
+    nearest = nearest.select("conv_id", "before", "again")
+    said = rows.select("conv_id", "idx", F.posexplode("said").alias("nth", "word"))
+    said = said.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("idx", "nth")).cast("long"))
+    where = said.select("conv_id", "place", "idx")
+    found = fuzzy.repeats(said.select("conv_id", "place", "word"), "conv_id")
+    found = found.join(where.withColumnsRenamed({"place": "m", "idx": "before"}), ["conv_id", "m"]).join(where.withColumnsRenamed({"place": "n", "idx": "again"}), ["conv_id", "n"])
     kind = rows.schema["conv_id"].dataType.simpleString()
-    nearest = nearest.select(F.col("conv_id").alias("own"), "before", "again")
-    return rows.select("conv_id", "idx", "said").groupBy("conv_id").cogroup(nearest.groupBy("own")).applyInPandas(_repeats, f"conv_id {kind}, before long, again long, kind string")
+    found = found.select("conv_id", "n", "k", "before", "again").groupBy("conv_id").cogroup(nearest.select(F.col("conv_id").alias("own"), "before", "again").groupBy("own")).applyInPandas(_chosen, f"conv_id {kind}, before long, again long")
+    return nearest.withColumn("kind", F.lit("clause")).unionByName(found.withColumn("kind", F.lit("words")))
 
 
 def script_match(spark: SparkSession, sf_dir: str) -> DataFrame:

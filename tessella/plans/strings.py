@@ -57,7 +57,7 @@ def cased_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of a turn: split after a full stop, exclamation or question mark and white space."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "role", F.posexplode(F.split(F.regexp_replace(F.trim("text"), r"([.!?])\s+", "$1\u0001"), "\u0001")).alias("nr", "sentence"))
-    return rows.where("trim(sentence) != ''").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"), F.max(F.length("sentence")).alias("longest"))
+    return rows.where("trim(sentence) != ''").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"), F.max(F.length("sentence")).cast("long").alias("longest"))
 
 
 def hue_saturation_value(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,11 +127,11 @@ def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_locate(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """Where the first n words of each conversation are said again later in any conversation: an equi-join on n-grams."""
+    """Where the first n words of conversations are said again: each opening once, with how many conversations begin so and the first of them, an equi-join on n-grams."""
     w = W.partitionBy("conv_id").orderBy("idx")
-    rows = words(spark, sf_dir).select("conv_id", "idx", "start_ms", F.concat_ws(" ", "norm", *[F.lead("norm", k).over(w) for k in range(1, n)]).alias("gram"), F.lead("norm", n - 1).over(w).alias("last")).where("last is not null")
-    needles = rows.where("idx = 1").select(F.col("conv_id").alias("needle"), "gram")
-    return rows.join(needles, "gram").where("conv_id != needle or idx > 1").select("needle", "conv_id", "idx", "start_ms")
+    rows = words(spark, sf_dir).select("conv_id", "idx", "start_ms", F.concat_ws(" ", "norm", *[F.lead("norm", k).over(w) for k in range(1, n)]).alias("phrase"), F.lead("norm", n - 1).over(w).alias("last")).where("last is not null")
+    openings = rows.where("idx = 1").groupBy("phrase").agg(F.count("*").alias("openers"), F.min("conv_id").alias("opener"))
+    return rows.join(openings, "phrase").where("openers > 1 or idx > 1").select("phrase", "openers", "opener", "conv_id", "idx", "start_ms")
 
 
 def emphasis_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +211,8 @@ ORACLE_SQL = {
         SELECT conv_id, gram, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, length(gram) DESC, gram) AS rank FROM c QUALIFY rank <= 12""",
     "doubled_words": f"""WITH {WORDS_SQL}, l AS (SELECT *, lead(norm) OVER (PARTITION BY conv_id ORDER BY idx) AS nxt FROM words WHERE norm NOT IN ({_IN(T.HARD_FILLERS)}))
         SELECT conv_id, idx, norm, start_ms FROM l WHERE norm = nxt""",
-    "phrase_locate": f"""WITH {WORDS_SQL}, g AS (SELECT conv_id, idx, start_ms, norm || ' ' || lead(norm, 1) OVER o || ' ' || lead(norm, 2) OVER o AS gram FROM words WINDOW o AS (PARTITION BY conv_id ORDER BY idx))
-        SELECT n.conv_id AS needle, g.conv_id, g.idx, g.start_ms FROM g JOIN g n ON n.gram = g.gram AND n.idx = 1 WHERE g.conv_id <> n.conv_id OR g.idx > 1""",
+    "phrase_locate": f"""WITH {WORDS_SQL}, g AS (SELECT conv_id, idx, start_ms, norm || ' ' || lead(norm, 1) OVER o || ' ' || lead(norm, 2) OVER o AS phrase FROM words WINDOW o AS (PARTITION BY conv_id ORDER BY idx)),
+        o AS (SELECT phrase, count(*) AS openers, min(conv_id) AS opener FROM g WHERE idx = 1 AND phrase IS NOT NULL GROUP BY 1) SELECT phrase, openers, opener, conv_id, idx, start_ms FROM g JOIN o USING (phrase) WHERE openers > 1 OR idx > 1""",
     "emphasis_words": f"""WITH {_PHRASES}, d AS (SELECT *, end_ms - start_ms AS ms, count(*) OVER (PARTITION BY conv_id, island) AS n,
             row_number() OVER (PARTITION BY conv_id, island ORDER BY end_ms - start_ms, idx) AS up, row_number() OVER (PARTITION BY conv_id, island ORDER BY end_ms - start_ms DESC, idx) AS down FROM phr),
         m AS (SELECT *, max(CASE WHEN up = n // 2 + 1 THEN ms END) OVER (PARTITION BY conv_id, island) AS middle FROM d)

@@ -260,18 +260,53 @@ def test_job_queue_takes_events_in_order(spark, tmp_path):
     assert sorted(found) == sorted(expected) and len(expected) > 50
 
 
-@pytest.mark.parametrize("before, after, alike", [("jev is this new", "jv is this new", True), ("it's 40 to 200 times", "40 to 200 times", True), ("it is a", "it is not", False), ("the rent was", "I moved to", False), ("one", "one", False)])
+@pytest.mark.parametrize("before, after, alike", [
+    ("kafka moves data quickly", "kafca moves data safely", True), ("from 3 to 9 miles", "3 to 9 miles", True), ("in the", "in the", False), ("it is so", "it is so", True),
+    ("red", "red", False), ("red kites fly over town", "red herrings swim under ice", False), ("the plans we made", "the plan we made", True), ("", "", False),
+])
 def test_similar_openings(before, after, alike):
     assert fuzzy.similar_openings(before.split(), after.split()) == alike
 
 
+def brute_repeats(said):
+    """For each place, the nearest earlier one with an allowed repeat, by comparing stretches of words."""
+    light = lambda ws: all(w in fuzzy.STOP for w in ws)
+    out = []
+    for n in range(len(said)):
+        for m in range(n - 1, max(-1, n - fuzzy.LOOK_BACK), -1):
+            k = next((x for x in range(n - m, 0, -1) if n + x <= len(said) and said[m : m + x] == said[n : n + x]), 0)
+            between = said[m + k : n]
+            links = [x for x, w in enumerate(between) if w in ("and", "or")]
+            listed = bool(links) and not light(between[: links[-1]]) and light(between[links[-1] :])
+            if (k > 2 or k == 2 and n - m <= fuzzy.NEAR) and (k > 3 or not light(said[n : n + k])) and not listed:
+                out.append((m, n, k))
+                break
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = {c: [rng.choice(["we", "the", "and", "or", "a", "plan", "cost", "of", "x", "y"]) for _ in range(rng.choice([0, 1, 40, 120]))] for c in range(40)}
+    for c in range(40, 50):
+        base = [f"w{k}" for k in range(rng.randrange(2, 29))]
+        texts[c] = ["so", *base, *base, "and", *base[:2], "then"]
+    rows = [(c, k, w) for c, own in texts.items() for k, w in enumerate(own)]
+    found = sorted(map(tuple, fuzzy.repeats(spark.createDataFrame(rows, "c long, place long, word string"), "c").collect()))
+    assert found == sorted((c, *x) for c, own in texts.items() for x in brute_repeats(own)) and len(found) > 200
+
+
+def test_first_free_spans():
+    assert fuzzy.first_free([(5, 2, 1, 3), (6, 2, 2, 4), (7, 3, 4, 9), (20, 2, 30, 29)], {8}) == [(1, 3)]
+    assert fuzzy.first_free([(7, 3, 4, 9), (5, 2, 1, 3)], set()) == [(1, 3), (4, 9)]
+
+
 def test_restarts(spark, tmp_path):
     rng = random.Random(10)
-    said = [(1, 0, "jev is this new. jv is this new thing."), (2, 0, "it's 40 to 200 times, 40 to 200 times."), (3, 0, "the thing about the thing about money is simple."), (4, 0, "a lot of tokens and a lot of money"), (5, 0, "the main idea- the main ideas are um the main idea again")]
+    said = [(1, 0, "kafka moves all data. kafca moves all data now."), (2, 0, "from 3 to 9 miles away, 3 to 9 miles away."), (3, 0, "the part about the part about rain is short."), (4, 0, "a cup of tea and a cup of coffee"), (5, 0, "the main idea- the main ideas are um the main idea again")]
     said += [(6, k, " ".join(rng.choice(["we", "the", "plan", "plans", "costs", "cost", "um", "moves"]) for _ in range(rng.randrange(2, 9))) + rng.choice(".,;")) for k in range(60)]
     spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {tuple(r) for r in fuzzy_plans.restarts(spark, str(tmp_path)).collect()}
-    assert {r for r in found if r[0] < 5} == {(1, 1, 5, "clause"), (2, 1, 6, "clause"), (3, 1, 4, "words")}
+    assert {r for r in found if r[0] < 5} == {(1, 1, 5, "clause"), (2, 1, 7, "clause"), (3, 1, 4, "words")}
     assert {r for r in found if r[0] == 5} == {(5, 1, 4, "clause"), (5, 4, 9, "clause")}
     clauses = sorted((r.idx, r.start_ms, r.opening) for r in fuzzy_plans.clause_openings(spark, str(tmp_path))[1].where("conv_id = 6").collect())
     expected = set()
