@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Two words overlap in time if they are no further apart than this, in milliseconds.
 NEAR_MS = 250
@@ -32,12 +33,13 @@ def aligned(left: DataFrame, right: DataFrame, by: str, near: int = NEAR_MS) ->
     """(by, what, left, right) of words (by, idx, key, b, e): the idx on each side."""
     kind = left.schema[by].dataType.simpleString()
     columns = [by, "idx", "key", "b", "e"]
+    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for df, side in ((left, "left"), (right, "right")))  # columns of their own, if both come of one table
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("idx"), b.sort_values("idx")
+        a, b = (x.set_axis(columns, axis=1).sort_values("idx") for x in (a, b))
         rows = line_up(*([*zip(x["key"], x["b"].tolist(), x["e"].tolist(), strict=True)] for x in (a, b)), near)
         ids_a, ids_b = a["idx"].tolist(), b["idx"].tolist()
         found = pd.DataFrame([(key[0], what, None if m is None else ids_a[m], None if n is None else ids_b[n]) for what, m, n in rows], columns=[by, "what", "left", "right"])
         return found.astype({"left": "Int64", "right": "Int64"})
 
-    return left.select(columns).groupBy(by).cogroup(right.select(columns).groupBy(by)).applyInPandas(run, SCHEMA.format(by=by, kind=kind))
+    return left.groupBy(f"left_{by}").cogroup(right.groupBy(f"right_{by}")).applyInPandas(run, SCHEMA.format(by=by, kind=kind))
