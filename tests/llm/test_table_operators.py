@@ -125,6 +125,38 @@ def test_packing(spark, tokenizer):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_in_several_shards(spark):
+    """Sequences of different shards have different ids; each is gapless, and no piece is lost."""
+    docs = spark.createDataFrame([(k, f"word{k} " * (k % 37)) for k in range(200)], "doc_id long, text string")
+    pieces = packing.cut_documents(docs)
+    rows = packing.pack(pieces, shard_pieces=30).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 3 and Counter((r.id, r.start, r.length) for r in rows) == Counter((r.id, r.start, r.length) for r in pieces.collect())
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_mixing_many_sources_and_long_texts(spark, monkeypatch):
+    """Budgets joined by shuffling, a source whose only text is very long, and one without words next to the null source."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    docs = [(k, "w " * (k % 9), f"s{k % 40}") for k in range(400)] + [(900, "long " * 100_000, "z"), (901, " ", "empty"), (902, "a b", None)]
+    found = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    sizes = Counter({s: 0 for *_, s in docs})
+    for _, t, s in docs:
+        sizes[s] += len(t.split())
+    targets, taken = brute_targets(sizes), Counter()
+    for r in found:
+        assert 0 <= r.taken <= 2 * r.size and math.isclose(r.target, targets[r.row.source], rel_tol=1e-9, abs_tol=1e-9)
+        taken[r.row.source] += r.taken
+    assert len(found) == len(docs) and all(abs(taken[s] - t) <= 2 for s, t in targets.items())
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(7)
     lengths = np.array([rng.randrange(1, 65) for _ in range(500)])
@@ -186,6 +218,13 @@ def test_embedding_near_duplicates(spark, monkeypatch, cell, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_ids_of_vectors(spark):
+    """A null id is larger than any other, and a row of its own."""
+    rows = [(None, 1, [1.0, 0.0]), (5, 1, [1.0, 0.001]), (None, 1, [0.0, 1.0]), (7, 2, [1.0, 0.0])]
+    found = Counter((r.id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert found == Counter([(None, 1, 5), (5, 1, 5), (None, 0, None), (7, 0, 7)])
+
+
 def clustered(rng, n, dim=32):
     """Vectors of which most are near copies of others, on both sides of the threshold."""
     heads = rng.normal(size=(n // 10, dim))
