@@ -49,7 +49,7 @@ from tessella.llm.tables import among, cut, join_groups, without
 #: The band holds so many times the elements that prefixes take.
 SLACK = 1.5
 #: N-grams and sets of a block.
-BLOCK, BLOCK_SETS = 200_000, 1_000
+BLOCK, BLOCK_SETS = 100_000, 400
 #: Row numbers to look up that are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
