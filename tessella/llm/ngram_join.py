@@ -44,7 +44,7 @@ from tessella.llm.components import components
 from tessella.llm.measure import Measure
 from tessella.llm.prefix_tree import spanning_links
 from tessella.llm.shingles import fingerprint, sets_of
-from tessella.llm.tables import among, cut, join_groups, without
+from tessella.llm.tables import among, cut, join_groups, texts_in_small_batches, without
 
 #: The band holds so many times the elements that prefixes take.
 SLACK = 1.5
@@ -215,7 +215,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(nth, id, n_shingles, component_id, stays), one row per row of docs.
 
     nth is the row's monotonically_increasing_id(); stays: whether it is the first of its component by id."""
-    texts = docs.select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = texts_in_small_batches(docs).select(F.monotonically_increasing_id().alias("nth"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     features = cut(texts.mapInArrow(partial(_describe, measure=measure), f"nth long, id {kind}, size long, key string, inside long, grams array<long>"))
     rows = features.select("nth", "id", "size", "key")

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from tessella.llm.tables import cut
+from tessella.llm.tables import cut, texts_in_small_batches
 
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 20_000
-#: Words whose ids a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+#: Words whose ids a Python worker remembers at most, and the longest of them.
+REMEMBERED, LONGEST = 700_000, 64
 
 _SPACE = re.compile(r"[ \t\r\n]+")
 #: Words that the vocabulary's normalizer only lower-cases, and their parts as its pre-tokenizer cuts them.
@@ -52,22 +52,28 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """ids of words, as little-endian 32-bit integers; of words not seen before by the tokenizer, its model alone where that is all a word needs."""
+    """ids of words, as little-endian 32-bit integers; of words not seen lately by the tokenizer, its model alone where that is all a word needs.
+
+    Half of what is remembered goes at a time, and words in use come over from it, so frequent ones stay."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.earlier: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 
     def _part(self, part: str) -> bytes:
-        if (ids := self.get(part)) is None:
+        if (ids := self.get(part) or self.earlier.get(part)) is None:
             letters = part.encode().decode("latin-1").translate(self.letters)
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         return ids
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.earlier.get(word)) is not None:
+            self[word] = ids
+            return ids
         if _PLAIN.fullmatch(word):
             first, *rest = _PARTS.findall(word.lower())
             ids = self._part(first)
@@ -81,7 +87,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
+            self.earlier = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, _SPACE.split(text)))
 
@@ -126,7 +133,7 @@ def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, ids): full windows and a rest of each document; ids are little-endian 32-bit integers, null unless with_ids."""
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = texts_in_small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = texts.schema["id"].dataType
     schema = f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     return texts.mapInArrow(partial(_cut, path=path, kind=to_arrow_type(kind), window=window, end_id=end_id, with_ids=with_ids), schema)

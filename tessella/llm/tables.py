@@ -30,6 +30,19 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a batch of whole texts on its way to Python, unless the session has a number of its own (Spark's is 10,000).
+TEXT_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_in_small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends TEXT_ROWS rows at a time to Python, where that number hasn't been set."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that lost executors don't bring back its lineage."""
     shared_dir(df.sparkSession)

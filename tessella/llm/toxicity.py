@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import cut, without, written
+from tessella.llm.tables import cut, texts_in_small_batches, without, written
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -193,6 +193,7 @@ def fitted(rows: DataFrame, prior: float) -> Model:
 
 def untuned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame | None]:
     """A model from docs and labels (doc_id, toxic), without the held-out rows and without its cut; and of the training folds (id, positive), one row per id (none: nothing to learn from)."""
+    texts_in_small_batches(docs)
     ids = docs.select(docs[id_col].alias("id")).where(~held_out(F.col("id"))).distinct()
     known = labels.select(labels["doc_id"].alias("label_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null")
     known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -254,14 +255,19 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 # ---- scoring
 
 class _Words(dict):
+    """Words' weights; half of what is remembered goes at a time, and words in use come over from it."""
+
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.earlier: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
+            self.earlier = dict(self)
             self.clear()
-        self[word] = value = self.model.word(word)
+        value = self.earlier.get(word)
+        self[word] = value = self.model.word(word) if value is None else value
         return value
 
     def logits(self, texts: pa.Array) -> np.ndarray:
