@@ -168,7 +168,7 @@ def lead_first(spark: SparkSession, sf_dir: str, a: int = 2_000, b: int = 4_000)
     """The kept pieces with what lies from a to b moved to the front, cut at a and b: in playing order."""
     pieces = _kept_pieces(spark, sf_dir)
     parts = F.array(*[F.struct(F.greatest("b", F.lit(low)).alias("b"), F.least("e", F.lit(high)).alias("e")) for low, high in ((-1, a), (a, b), (b, 1 << 60))])
-    pieces = pieces.select("conv_id", F.explode(F.transform(parts, lambda x: x)).alias("x")).select("conv_id", "x.*").where("b < e")
+    pieces = pieces.select("conv_id", F.explode(parts).alias("x")).select("conv_id", "x.*").where("b < e")
     front = (F.col("b") >= a) & (F.col("e") <= b)
     return pieces.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy(F.when(front, 0).otherwise(1), "b")).cast("long"))
 
