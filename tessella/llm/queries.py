@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, embedding_dedup, exact_dedup, licenses, mixing, ngram_join, packing, toxicity, url_filter, warc
+from tessella.llm import byte_bpe, chat, clustering, embedding_dedup, exact_dedup, licenses, mixing, ngram_join, packing, toxicity, url_filter, warc
 from tessella.llm.tables import read
 
 
@@ -59,6 +59,37 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").drop("centroid")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id").drop("ids")
+
+
+def lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
+    """SQL of cluster_vectors, its rounds one after the other."""
+    steps = [f"""
+        WITH kept AS (SELECT row_number() OVER () AS v, vec_id, embedding FROM embeddings
+                      WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS (SELECT v, generate_subscripts(embedding, 1) AS i, CAST(floor({scale} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+        firsts AS (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), embedding) - 1 AS c FROM kept QUALIFY c < {k}),
+        c0 AS (SELECT c, i, x FROM firsts JOIN cells USING (v))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        d{n} AS (SELECT v, c, sum((cells.x - c{n}.x) * (cells.x - c{n}.x)) AS d FROM cells JOIN c{n} USING (i) GROUP BY v, c),
+        a{n} AS (SELECT v, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY v ORDER BY d, c) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+        s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS m FROM a{n} JOIN cells USING (v) GROUP BY c, i),
+        c{n + 1} AS (SELECT c, i, CASE WHEN m IS NULL THEN x ELSE (s - ((s % m) + m) % m) // m END AS x FROM c{n} LEFT JOIN s{n} USING (c, i))""")
+    return ",".join(steps) + f""",
+        digests AS (SELECT c, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (v) JOIN digests USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op12_centroid_clustering": lloyd_sql(clustering.CENTROIDS, clustering.ROUNDS, clustering.DIM, clustering.SCALE, clustering.SEED),
 }

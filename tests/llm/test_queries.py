@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tessella.llm import embedding_dedup, toxicity
+from tessella.llm import byte_bpe, embedding_dedup, toxicity
 from tessella.llm.measure import Measure
 from tessella.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_ngram_join import brute_components, brute_set
@@ -41,7 +42,7 @@ def rows(spark):
 
 def test_every_query_is_registered():
     assert [n for n in __spark_entry__.queries() if n in QUERIES or n == "pipeline"] == [*QUERIES, "pipeline"]
-    assert len(QUERIES) == 10 and [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_toxicity(rows, docs):
@@ -75,11 +76,13 @@ def test_chat_format(rows, table):
         assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and r["formatted_chars"] > sum(len(text) for *_, text in own)
 
 
-def test_exact_dedup(rows):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(rows, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    expected = con.sql(ORACLE_SQL["op4_exact_dedup"])
-    found = rows("op4_exact_dedup")
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    expected = con.sql(ORACLE_SQL[name])
+    found = rows(name)
     assert Counter(tuple(r[c] for c in expected.columns) for r in found) == Counter(expected.fetchall())
 
 
@@ -164,6 +167,17 @@ def test_embedding_dedup(rows, table):
     assert found == {r[0]: (len(links[k]), root[k], root[k] == r[0]) for k, r in enumerate(vectors)}
 
 
+def test_byte_bpe(rows, docs):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = byte_bpe.read_ranks(byte_bpe.ranks_path())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r["doc_id"]: r for r in rows("op13_byte_bpe")}
+    assert found.keys() == docs.keys()
+    for k, r in found.items():
+        ids, text = library.encode_ordinary(docs[k][1] or ""), (docs[k][1] or "").encode()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+
+
 # ---- the pipeline
 
 def brute_pipeline(docs, toxic):
