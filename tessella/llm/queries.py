@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, chat, clustering, embedding_dedup, exact_dedup, licenses, mixing, ngram_join, packing, toxicity, url_filter, warc
+from tessella.llm import byte_bpe, chat, clustering, collocations, embedding_dedup, exact_dedup, licenses, mixing, ngram_join, packing, toxicity, url_filter, warc
 from tessella.llm.tables import read
 
 
@@ -59,6 +59,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").drop("centroid")
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -111,5 +116,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op11_phrase_mining": r"""
+        WITH pieces AS (
+          SELECT lang, row_number() OVER () AS p, ws FROM (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM (
+              SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+          WHERE len(ws) > 0),
+        places AS (SELECT lang, p, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+        n AS (SELECT lang, sum(len(ws)) AS n FROM pieces GROUP BY lang),
+        grams AS (SELECT lang, ws[i : i + k - 1] AS g FROM places, range(1, 6) AS t(k) WHERE i + k - 1 <= len(ws)),
+        f AS (SELECT lang, g, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+        c AS (SELECT * FROM f WHERE len(g) >= 2),
+        inner_parts AS (SELECT DISTINCT lang, g[i : i + k - 1] AS g, a FROM c, range(1, 5) AS s(i), range(2, 5) AS t(k) WHERE i + k - 1 <= len(g) AND k < len(g)),
+        kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_parts x WHERE x.lang = c.lang AND x.g = c.g AND 100 * x.a >= 100 * c.a)),
+        cuts AS (SELECT kept.lang, kept.g, kept.a, k, x.a AS l, y.a AS r, n, (1000 * kept.a * n) // (x.a * y.a) AS score
+                 FROM kept JOIN n ON n.lang = kept.lang JOIN range(1, 5) AS t(k) ON k < len(kept.g)
+                 JOIN f x ON x.lang = kept.lang AND x.g = kept.g[1 : k] JOIN f y ON y.lang = kept.lang AND y.g = kept.g[k + 1 :]),
+        lowest AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+               CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM lowest QUALIFY rank <= 2000""",
     "op12_centroid_clustering": lloyd_sql(clustering.CENTROIDS, clustering.ROUNDS, clustering.DIM, clustering.SCALE, clustering.SEED),
 }
