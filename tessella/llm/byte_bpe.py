@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Matches that a Python worker remembers at most, and the longest of them; pairs of tokens that it remembers.
-REMEMBERED, LONGEST, PAIRS = 800_000, 64, 1_000_000
+REMEMBERED, LONGEST, PAIRS = 1_200_000, 64, 1_000_000
 #: Characters that are matched in one go, matches taken at a time of a longer text, and texts taken at a time.
-WHOLE, MATCHES, ROWS = 1 << 20, 100_000, 500
+WHOLE, MATCHES, ROWS = 1 << 21, 100_000, 1_000
 #: So many characters after its end can decide where a match of the pattern ends.
 AHEAD = 2
 #: The rank of a merge that never comes.
@@ -65,7 +65,11 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.size = list(map(len, self.tokens))
+        self.decimal = list(map(str, range(len(self.tokens))))
         self.reach: dict[bytes, int] = {}  # the longest token that ends in these three bytes
         for token in ranks:
             if len(token) > self.reach.get(token[-3:], 2):
@@ -132,9 +136,20 @@ class Vocabulary:
                 b, taken_b = next(other)
 
     def extend(self, piece: bytes, last: list[int]) -> None:
-        """Add to last, which holds the last tokens of the shorter prefixes of piece, those of the others."""
-        ranks, pairs, reach = self.ranks, self.pairs, self.reach
+        """Add to last, which holds the last tokens of the shorter prefixes of piece, those of the others.
+
+        As there is only one, they can be tried in any order: first the token before, one byte longer, then the others from the longest on."""
+        ranks, pairs, reach, size = self.ranks, self.pairs, self.reach, self.size
         for end in range(len(last) + 1, len(piece) + 1):
+            if last:
+                start = end - 1 - size[last[-1]]
+                token = ranks.get(piece[start:end])
+                if token is not None:
+                    before = last[start - 1] if start else -1
+                    known = pairs.get((before, token))
+                    if known or (known is None and self.compatible(before, token)):
+                        last.append(token)
+                        continue
             for start in range(max(0, end - reach.get(piece[max(0, end - 3) : end], 2)), end):
                 token = ranks.get(piece[start:end])
                 if token is not None:
@@ -154,7 +169,7 @@ class Vocabulary:
         ids, end = [], len(piece)
         while end:
             ids.append(last[end - 1])
-            end -= len(self.tokens[ids[-1]])
+            end -= self.size[ids[-1]]
         return ids[::-1]
 
     def learn(self, matches: Iterable[str]) -> list[str]:
@@ -205,8 +220,8 @@ class Vocabulary:
         for match in long:
             del self.recent[match]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -277,9 +292,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
             listed, decoded = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
             packed: list[list[bytes]] = [[] for _ in texts]
             for k, ids in own.encode(texts):
-                listed[k].update(b"," * (count[k] > 0) + ",".join(map(str, ids.tolist())).encode())
-                decoded[k].update(own.decode(ids))
-                count[k] += len(ids)
+                numbers = ids.tolist()
+                listed[k].update(b"," * (count[k] > 0) + ",".join(map(own.decimal.__getitem__, numbers)).encode())
+                decoded[k].update(own.decode(numbers))
+                count[k] += len(numbers)
                 if with_ids:
                     packed[k].append(ids.tobytes())
             columns = [part.column("id"), pa.array(count, pa.int64()), pa.array([x.hexdigest() for x in listed], pa.string()), pa.array([x.hexdigest() for x in decoded], pa.string())]
@@ -297,7 +313,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = vocabulary(path, pattern)
     for batch in batches:
-        decoded = [None if ids is None else own.decode(np.frombuffer(ids, "<u4")) for ids in batch.column("ids").to_pylist()]
+        decoded = [None if ids is None else own.decode(np.frombuffer(ids, "<u4").tolist()) for ids in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(decoded, pa.binary())], names=["id", "bytes"])
 
 

@@ -57,7 +57,7 @@ def test_long_texts_and_forgotten_matches(own, library, monkeypatch):
 
 def test_compatible_is_what_merging_says(own):
     rng = random.Random(3)
-    tokens = sorted(own.tokens)
+    tokens = range(len(own.tokens))
     for _ in range(20_000):
         a, b = rng.choice(tokens), rng.choice(tokens[: rng.choice([300, 3_000, 50_000])])
         assert own._compatible(a, b) == (own.merged(own.tokens[a] + own.tokens[b])[0] == [own.tokens[a], own.tokens[b]])
