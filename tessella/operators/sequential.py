@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, groupby, islice
 from typing import Any
 
 import pandas as pd
@@ -40,6 +41,21 @@ def sequential(df: DataFrame, by: Sequence[str], order: Sequence, step: Callable
     return ordered.mapInPandas(run, schema)
 
 
+def streamed(df: DataFrame, by: Sequence[str], order: Sequence, rule: Callable[[Iterator[Any]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What rule makes of each key's rows in order: it takes an iterator of them (named tuples) and yields rows of schema, any number at any time.
+
+    A key's rows aren't held but by the rule, which looks ahead and back as far as it needs to."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(batch.itertuples(index=False, name="Row") for batch in batches)
+        made = chain.from_iterable(rule(own) for _, own in groupby(rows, key=lambda row: tuple(getattr(row, c) for c in by)))
+        while part := list(islice(made, 10_000)):
+            yield pd.DataFrame(part, columns=names, dtype="object")
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def spaced(df: DataFrame, by: Sequence[str], at: str, tie: str, spacing: int, name: str = "kept") -> DataFrame:
     """Greedy choice with a minimum distance: a row is kept if it comes at least spacing after the last kept one."""
 

@@ -12,7 +12,7 @@ from tessella.operators import fuzzy, sequential
 from tessella.operators.alignment import aligned
 from tessella.operators.intervals import with_period
 from tessella.operators.islands import islands
-from tessella.plans.texts import grams, hashed_grams
+from tessella.plans.texts import grams, line_grams
 from tessella.plans.words import PHRASE_GAP_MS, sentence_spans
 from tessella.sources.views import SPANS_SQL, spans, table, words
 
@@ -58,10 +58,10 @@ def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def script_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark lines and the documents that say most of their 5-word runs: the share said."""
-    lines = hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", 5).distinct()
+    lines, docs = line_grams(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", 5)
+    lines = lines.drop("place").distinct()
     size = lines.groupBy("item_id").agg(F.count("*").alias("size"))
-    docs = hashed_grams(table(spark, sf_dir, "documents"), "doc_id", 5)
-    hits = docs.join(lines, "gram").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(size, "item_id")
+    hits = docs.drop("place").join(lines, "gram").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(size, "item_id")
     return hits.where("hits * 2 >= size").select("item_id", "doc_id", "hits", (F.col("hits") / F.col("size")).alias("share"))
 
 

@@ -19,6 +19,8 @@ BY = ["user_id"]
 QUIET, LOUD = 40, 10
 #: Families of easing curves as powers of what is still to go: value = 1 - (1 - t)^power; "in" is the reverse.
 EASES = {"linear": 1, "quad": 2, "cubic": 3, "quart": 4}
+#: Durations that a fit tries: so many equal parts of a series.
+EASE_STEPS = 32
 
 
 def in_order() -> WindowSpec:
@@ -178,15 +180,16 @@ def edges_in_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histogram_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the histogram (bins of 25) of each 20 values is from that of the 20 before: the sum of differences in hundredths of their sizes."""
+    """How far the histogram (bins of 25) of each 20 values is from that of the 20 before: the sum of differences in hundredths of their sizes, rounded half up, in whole numbers throughout."""
     bins = levels(spark, sf_dir).groupBy("user_id", F.floor(F.col("i") / 20).alias("part"), F.floor(F.col("v") / 25).alias("bin")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy("user_id", "part"))
-    bins = bins.select("user_id", "part", "bin", share.alias("share"))
-    after = bins.select("user_id", (F.col("part") + 1).alias("part"), "bin", F.col("share").alias("was"))
-    parts = bins.groupBy("user_id").agg(F.max("part").alias("last"))
-    both = bins.join(after, ["user_id", "part", "bin"], "full_outer").join(parts, "user_id").where("part between 1 and last")
-    jump = F.floor(F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))) * 100 + 0.5).cast("long")
-    return both.groupBy("user_id", "part").agg(jump.alias("jump"))
+    bins = bins.withColumn("size", F.sum("n").over(W.partitionBy("user_id", "part")))
+    sizes = bins.select("user_id", "part", "size").distinct()
+    both = sizes.join(sizes.select("user_id", (F.col("part") + 1).alias("part"), F.col("size").alias("size_before")), ["user_id", "part"])
+    after = bins.select("user_id", (F.col("part") + 1).alias("part"), "bin", F.col("n").alias("was"))
+    found = bins.drop("size").join(after, ["user_id", "part", "bin"], "full_outer").join(both, ["user_id", "part"])
+    apart = F.sum(F.abs(F.coalesce("n", F.lit(0)) * F.col("size_before") - F.coalesce("was", F.lit(0)) * F.col("size")))
+    found = found.groupBy("user_id", "part", "size", "size_before").agg(apart.alias("apart"))
+    return found.select("user_id", "part", F.expr("(200 * apart + size * size_before) div (2 * size * size_before)").alias("jump"))
 
 
 def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,13 +214,17 @@ def landings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ease_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve that best fits each user's first ten running maxima as a way from 0 to 1: over families and durations, the least squared error; none where it lands at once."""
-    rows = levels(spark, sf_dir).where("i < 10").withColumn("top", F.max("v").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
+    """The curve that best fits each user's running maxima as a way from 0 to 1: over families and durations (in 32 steps of the series), the least squared error; none where it lands at once.
+
+    Curve and way are in thousandths, so errors are whole numbers and their order doesn't matter."""
+    rows = levels(spark, sf_dir).withColumn("top", F.max("v").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     ends = rows.groupBy("user_id").agg(F.min("top").alias("a"), F.max("top").alias("b"), F.count("*").alias("n")).where("n >= 4 and b > a")
-    grid = F.explode(F.array(*[F.struct(F.lit(name).alias("ease"), F.lit(power).alias("power"), F.lit(d).alias("duration")) for name, power in EASES.items() for d in range(1, 10)])).alias("g")
-    rows = rows.join(ends, "user_id").select("user_id", "i", ((F.col("top") - F.col("a")) / (F.col("b") - F.col("a"))).alias("p"), grid).select("user_id", "i", "p", "g.*")
-    made = 1 - F.pow(1 - F.least(F.lit(1.0), F.col("i") / F.col("duration")), F.col("power"))
-    errors = rows.groupBy("user_id", "ease", "power", "duration").agg(F.floor(F.sum((made - F.col("p")) * (made - F.col("p"))) * 1_000_000 + 0.5).alias("error"))
+    grid = F.explode(F.array(*[F.struct(F.lit(name).alias("ease"), F.lit(power).alias("power"), F.lit(d).alias("part")) for name, power in EASES.items() for d in range(1, EASE_STEPS + 1)])).alias("g")
+    rows = rows.join(ends, "user_id").select("user_id", "i", F.expr("1000 * (top - a) div (b - a)").alias("p"), "n", grid).select("user_id", "i", "p", "n", "g.*")
+    rows = rows.withColumn("duration", F.greatest(F.lit(1), F.expr(f"n * part div {EASE_STEPS}")))
+    rows = rows.withColumn("left", 1000 - F.least(F.lit(1000), F.expr("1000 * i div duration")))
+    raised = F.expr("CASE power WHEN 1 THEN left WHEN 2 THEN left * left div 1000 WHEN 3 THEN left * left * left div 1000000 ELSE left * left * left * left div 1000000000 END")
+    errors = rows.groupBy("user_id", "ease", "power", "part", "duration").agg(F.sum((1000 - raised - F.col("p")) * (1000 - raised - F.col("p"))).alias("error"))
     best = errors.groupBy("user_id").agg(F.min(F.struct("error", "power", "duration", "ease")).alias("x"))
     return best.select("user_id", F.when(F.col("x.duration") <= 1, "none").otherwise(F.col("x.ease")).alias("ease"), F.when(F.col("x.duration") <= 1, 0).otherwise(F.col("x.duration")).cast("long").alias("duration"), "x.error")
 
@@ -288,9 +295,10 @@ ORACLE_SQL = {
     "window_energy": f"""WITH {LEVELS_SQL}, m AS (SELECT user_id, median(v) AS median FROM levels GROUP BY 1)
         SELECT user_id, i // 12 AS part, coalesce(CAST(sum(v) FILTER (WHERE v > median - 15) AS BIGINT) / count(*) FILTER (WHERE v > median - 15), CAST(sum(v) AS BIGINT) / count(*)) - any_value(median) AS energy FROM levels JOIN m USING (user_id) GROUP BY 1, 2""",
     "edges_in_speech": f"WITH {LEVELS_SQL}, b AS (SELECT *, lag(v) OVER {_O} AS before FROM levels) SELECT user_id, i FROM b WHERE i % 7 = 0 AND before > {QUIET + LOUD} AND v > {QUIET + LOUD}",
-    "histogram_jumps": f"""WITH {LEVELS_SQL}, b AS (SELECT user_id, i // 20 AS part, v // 25 AS bin, count(*) AS n FROM levels GROUP BY 1, 2, 3), s AS (SELECT user_id, part, bin, n / sum(n) OVER (PARTITION BY user_id, part) AS share FROM b),
-        a AS (SELECT user_id, part, bin, share AS now_, 0.0::DOUBLE AS was FROM s UNION ALL SELECT user_id, part + 1, bin, 0, share FROM s), d AS (SELECT user_id, part, bin, abs(sum(now_) - sum(was)) AS d FROM a GROUP BY 1, 2, 3), l AS (SELECT user_id, max(part) AS last FROM b GROUP BY 1)
-        SELECT user_id, part, CAST(floor(sum(d) * 100 + 0.5) AS BIGINT) AS jump FROM d JOIN l USING (user_id) WHERE part BETWEEN 1 AND last GROUP BY 1, 2""",
+    "histogram_jumps": f"""WITH {LEVELS_SQL}, b AS (SELECT user_id, i // 20 AS part, v // 25 AS bin, count(*) AS n FROM levels GROUP BY 1, 2, 3), z AS (SELECT user_id, part, CAST(sum(n) AS BIGINT) AS size FROM b GROUP BY 1, 2),
+        y AS (SELECT z.user_id, z.part, z.size, p.size AS before FROM z JOIN z p ON p.user_id = z.user_id AND p.part = z.part - 1),
+        a AS (SELECT user_id, part, bin, n AS now_, 0 AS was FROM b UNION ALL SELECT user_id, part + 1, bin, 0, n FROM b), d AS (SELECT user_id, part, bin, CAST(sum(now_) AS BIGINT) AS now_, CAST(sum(was) AS BIGINT) AS was FROM a GROUP BY 1, 2, 3)
+        SELECT user_id, part, CAST((200 * sum(abs(now_ * before - was * size)) + size * before) // (2 * size * before) AS BIGINT) AS jump FROM d JOIN y USING (user_id, part) GROUP BY user_id, part, size, before""",
     "tempo": f"""WITH {_STEPS_SQL}, r AS (SELECT user_id, i, CASE WHEN dv IS NULL THEN NULL ELSE greatest(dv, 0) END AS rise FROM steps), k AS (SELECT unnest(range(2, 9)) AS lag),
         p AS (SELECT a.user_id, k.lag, CAST(coalesce(sum(a.rise * b.rise), 0) AS BIGINT) AS score FROM r a CROSS JOIN k LEFT JOIN r b ON b.user_id = a.user_id AND b.i = a.i - k.lag GROUP BY 1, 2),
         o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, lag) = 1), h AS (SELECT user_id, lag, score, i % lag AS phase, coalesce(sum(rise), 0) AS weight FROM r JOIN o USING (user_id) GROUP BY 1, 2, 3, 4)
@@ -298,9 +306,10 @@ ORACLE_SQL = {
     "projection_gain": f"WITH {LEVELS_SQL} SELECT user_id, CAST(sum(v * w) AS BIGINT) / nullif(CAST(sum(w * w) AS BIGINT), 0) AS gain FROM levels GROUP BY user_id",
     "landings": f"""WITH {LEVELS_SQL}, u AS (SELECT user_id, i, sum(v) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum(v) OVER (PARTITION BY user_id) AS whole FROM levels)
         SELECT user_id, min(i) AS landed, CAST(any_value(whole) AS BIGINT) AS whole FROM u WHERE upto * 5 >= whole * 4 GROUP BY user_id""",
-    "ease_fits": f"""WITH {LEVELS_SQL}, t AS (SELECT user_id, i, max(v) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS top FROM levels WHERE i < 10), e AS (SELECT user_id, min(top) AS a, max(top) AS b FROM t GROUP BY 1 HAVING count(*) >= 4 AND max(top) > min(top)),
-        g AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {power})" for name, power in EASES.items())}) f(ease, power) CROSS JOIN (SELECT unnest(range(1, 10)) AS duration)),
-        m AS (SELECT user_id, ease, power, duration, 1 - pow(1 - least(1.0::DOUBLE, i / duration), power) - (top - a) / (b - a) AS x FROM t JOIN e USING (user_id) CROSS JOIN g), s AS (SELECT user_id, ease, power, duration, CAST(floor(sum(x * x) * 1000000 + 0.5) AS BIGINT) AS error FROM m GROUP BY 1, 2, 3, 4)
+    "ease_fits": f"""WITH {LEVELS_SQL}, t AS (SELECT user_id, i, max(v) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS top FROM levels), e AS (SELECT user_id, min(top) AS a, max(top) AS b, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 4 AND max(top) > min(top)),
+        g AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {power})" for name, power in EASES.items())}) f(ease, power) CROSS JOIN (SELECT unnest(range(1, {EASE_STEPS + 1})) AS part)),
+        m AS (SELECT user_id, ease, power, part, greatest(1, n * part // {EASE_STEPS}) AS duration, i, 1000 * (top - a) // (b - a) AS p FROM t JOIN e USING (user_id) CROSS JOIN g), l AS (SELECT *, 1000 - least(1000, 1000 * i // duration) AS l FROM m),
+        x AS (SELECT *, 1000 - CASE power WHEN 1 THEN l WHEN 2 THEN l * l // 1000 WHEN 3 THEN l * l * l // 1000000 ELSE l * l * l * l // 1000000000 END - p AS x FROM l), s AS (SELECT user_id, ease, power, part, duration, CAST(sum(x * x) AS BIGINT) AS error FROM x GROUP BY 1, 2, 3, 4, 5)
         SELECT user_id, CASE WHEN duration <= 1 THEN 'none' ELSE ease END AS ease, CASE WHEN duration <= 1 THEN 0 ELSE duration END AS duration, error FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY error, power, duration, ease) = 1""",
     "camera_path": f"""WITH {LEVELS_SQL}, k AS (SELECT a.user_id, a.i, a.i % 5 AS k, x.v AS a, coalesce(y.v, x.v) AS b FROM levels a JOIN levels x ON x.user_id = a.user_id AND x.i = a.i - a.i % 5 LEFT JOIN levels y ON y.user_id = a.user_id AND y.i = a.i - a.i % 5 + 5)
         SELECT user_id, i, CAST(a * 1000 + (b - a) * floor(k * k * (15 - 2 * k) * 1000 / 125) AS BIGINT) AS at FROM k""",

@@ -12,8 +12,7 @@ from tessella.plans.words import ORACLE_SQL as WORDS_ORACLE
 from tessella.plans.words import sentence_spans
 from tessella.sources.views import VIDEOS_SQL, WORDS_SQL, table, videos, words
 
-# Words that say little, and those that a title doesn't end on.
-STOP = ("a", "an", "the", "and", "or", "but", "so", "of", "to", "in", "on", "at", "it", "is", "i", "you", "we", "that", "this", "for", "with", "be", "was", "are", "my", "me", "if")
+# Words that a title doesn't end on.
 DANGLING = ("and", "or", "but", "the", "a", "an", "of", "to", "in", "with", "for", "so", "that")
 #: Width of a stroke over its height, and the font weight drawn so; in between by proportion.
 WEIGHTS = ((80, 300), (110, 400), (140, 500), (180, 700), (220, 900))
@@ -21,13 +20,13 @@ WEIGHTS = ((80, 300), (110, 400), (140, 500), (180, 700), (220, 900))
 
 def content_words(text: Column) -> Column:
     """The distinct words that aren't stop words, apostrophes out."""
-    return F.array_distinct(F.filter(F.transform(T.tokens(text), lambda w: F.replace(w, F.lit("'"), F.lit(""))), lambda w: ~w.isin(*STOP) & (w != "")))
+    return F.array_distinct(F.filter(F.transform(T.tokens(text), lambda w: F.replace(w, F.lit("'"), F.lit(""))), lambda w: ~w.isin(*T.STOP) & (w != "")))
 
 
 def keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's content words: how many distinct ones, how many over two letters, and their share of all words."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"), content_words(F.col("text")).alias("c"))
-    said = F.size(F.filter("w", lambda w: ~w.isin(*STOP)))
+    said = F.size(F.filter("w", lambda w: ~w.isin(*T.STOP)))
     return rows.groupBy("conv_id", "turn").agg(F.sum(F.size("c")).alias("content"), F.sum(F.size(F.filter("c", lambda w: F.length(w) > 2))).alias("longer"), (F.sum(said) * 100 / F.nullif(F.sum(F.size("w")), F.lit(0))).alias("share"))
 
 
@@ -102,8 +101,8 @@ def eased_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def untracked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs behind analytics redirects (here one prefix for every third page, two for every sixth): all prefixes off, however many."""
-    tracked = F.concat(F.when(F.col("page_id") % 6 == 0, "https://pdst.fm/e/").otherwise(""), F.when(F.col("page_id") % 3 == 0, "https://www.podtrac.com/pts/redirect.mp3/").otherwise(""), F.col("url"))
-    bare = F.regexp_replace(tracked, r"^(https?://(pdst\.fm/e|www\.podtrac\.com/pts/redirect\.mp3)/)+", "")
+    tracked = F.concat(F.when(F.col("page_id") % 6 == 0, "https://hop.example/e/").otherwise(""), F.when(F.col("page_id") % 3 == 0, "https://count.example/go/").otherwise(""), F.col("url"))
+    bare = F.regexp_replace(tracked, r"^(https?://(hop\.example/e|count\.example/go)/)+", "")
     return table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.when(bare.rlike("^[a-z]+://"), bare).otherwise(F.concat(F.lit("https://"), bare)).alias("url"))
 
 
@@ -219,7 +218,7 @@ def preferred_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (keyword_shares, clean_keyterms, swapped_words, cased_words, split_sentences, hue_saturation_value, frame_times, extracted_fields, eased_values, untracked_urls, rate_rules, cache_keys, clipped_texts, font_weights, share_texts, nearest_presets, letterbox_titles, similar_rules, reading_chunks, highlights, creator_groups, preferred_routes)}
 
-_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP)
 _CONTENT = "list_distinct(list_filter(list_transform(w, lambda x: replace(x, '''', '')), lambda x: x NOT IN (" + _STOP_SQL + ") AND x <> ''))"
 _WEIGHT = " ".join(f"WHEN r <= {r1} THEN floor(({w0} * {r1 - r0} + {w1 - w0} * greatest(0, r - {r0})) / (100 * {r1 - r0}) + 0.5) * 100" for (r0, w0), (r1, w1) in zip(WEIGHTS, WEIGHTS[1:]))
 

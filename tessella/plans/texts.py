@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour as C
 from tessella.functions import text as T
+from tessella.operators import membership
 from tessella.plans.words import sentence_spans
 from tessella.plans.words import ORACLE_SQL as WORDS_ORACLE
 from tessella.sources.views import table
@@ -114,18 +115,28 @@ def grams(df: DataFrame, key: str, n: int) -> DataFrame:
     return rows.select(key, F.explode(T.shingled(F.col("words"), n)).alias("gram"))
 
 
-def hashed_grams(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The same, each n words as 128 bits of hash instead of a text."""
-    rows = df.select(key, F.explode(F.array(T.tokens(F.col("text")))).alias("words")).where(F.size("words") >= n)
-    places = F.sequence(F.lit(1), F.size("words") - n + 1)
-    return rows.select(key, F.explode(F.transform(places, lambda k: F.struct(*[F.xxhash64(F.slice("words", k, n), F.lit(seed)) for seed in (1, 2)]))).alias("gram"))
+def hashed_grams(df: DataFrame, key: str, n: int, among: DataFrame | None = None) -> DataFrame:
+    """(key, place from 0, gram): every n words in a row, as 128 bits of hash; among: only those whose first 64 bits (gram.h1) can be in it.
+
+    Words are hashed once, and an n-gram's hash is made of theirs; a filter comes before any exchange."""
+    rows = df.select(F.col(key), F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= n)
+    rows = rows.select(key, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - n)).alias("place"))
+    own = [F.get("hashes", F.col("place") + k) for k in range(n)]
+    rows = rows.select(key, F.col("place").cast("long").alias("place"), F.xxhash64(*own).alias("h1"), F.xxhash64(*own[::-1], F.lit(n)).alias("h2"))
+    rows = rows if among is None else membership.among(rows, "h1", among)
+    return rows.select(key, "place", F.struct("h1", "h2").alias("gram"))
+
+
+def line_grams(lines: DataFrame, docs: DataFrame, line: str, doc: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """hashed_grams of lines, and those of docs that can be among them."""
+    own = hashed_grams(lines, line, n)
+    return own, hashed_grams(docs, doc, n, own.select("gram.h1").distinct())
 
 
 def site_phrase_semi(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
     """Benchmark lines of which n words in a row stand in a document: an equi-join on hashed n-grams."""
-    lines = hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", n).distinct()
-    docs = hashed_grams(table(spark, sf_dir, "documents"), "doc_id", n)
-    found = docs.join(lines, "gram").select("item_id", "doc_id").distinct()
+    lines, docs = line_grams(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", n)
+    found = docs.join(lines.drop("place").distinct(), "gram").select("item_id", "doc_id").distinct()
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
 
@@ -204,7 +215,7 @@ kinds AS (SELECT page_id, CASE WHEN contains(host, '.') THEN array_to_string(str
   CAST(length(list_filter(string_split(path, '/'), lambda x: x <> '')) AS BIGINT) AS depth, {_case(2, 'END')} AS points, {_case(3, 'END')} AS most FROM parts)"""
 _SCRUB = "text"
 for _pattern, _word in T.PRIVATE:
-    _SCRUB = f"regexp_replace({_SCRUB}, '{_pattern}', '{_word.replace('$', chr(92))}', 'g')"
+    _SCRUB = f"regexp_replace({_SCRUB}, '{_pattern}', '{_word}', 'g')"
 _MOTION = " ".join(f"WHEN length(regexp_extract_all(text, '{pattern}')) >= {least} THEN '{kind}'" for kind, pattern, least in T.MOTIONS)
 _LUM = " + ".join(f"{w}::DOUBLE * CASE WHEN {c} / 255.0::DOUBLE <= 0.03928 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END" for c, w in (("red", 0.2126), ("green", 0.7152), ("blue", 0.0722)))
 _N8 = f"list_transform(range(1, greatest(length(w) - 6, 1)), lambda k: array_to_string(w[k:k + 7], ' '))"

@@ -1,6 +1,7 @@
 """Operators on small inputs against brute force."""
 
 import random
+from itertools import combinations
 import statistics
 from difflib import SequenceMatcher
 
@@ -264,24 +265,43 @@ def test_job_queue_takes_events_in_order(spark, tmp_path):
     ("kafka moves data quickly", "kafca moves data safely", True), ("from 3 to 9 miles", "3 to 9 miles", True), ("in the", "in the", False), ("it is so", "it is so", True),
     ("red", "red", False), ("red kites fly over town", "red herrings swim under ice", False), ("the plans we made", "the plan we made", True), ("", "", False),
 ])
-def test_similar_openings(before, after, alike):
-    assert fuzzy.similar_openings(before.split(), after.split()) == alike
+def test_open_alike(before, after, alike):
+    assert fuzzy.open_alike(before.split(), after.split()) == alike
+
+
+def test_in_common():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (rng.choices("abc", k=rng.randrange(8)) for _ in range(2))
+        found = fuzzy.in_common(a, b)
+        common = [c for n in range(len(a) + 1) for c in combinations(range(len(a)), n) if is_within([a[k] for k in c], b)]
+        assert tuple(found) in common and len(found) == max(map(len, common))
+    assert fuzzy.one_word("kafka", "kafca") and fuzzy.one_word("plans", "plan") and not fuzzy.one_word("a", "an") and not fuzzy.one_word("kites", "herrings")
+
+
+def is_within(part, whole):
+    rest = iter(whole)
+    return all(x in rest for x in part)
 
 
 def brute_repeats(said):
-    """For each place, the nearest earlier one with an allowed repeat, by comparing stretches of words."""
-    light = lambda ws: all(w in fuzzy.STOP for w in ws)
-    out = []
-    for n in range(len(said)):
-        for m in range(n - 1, max(-1, n - fuzzy.LOOK_BACK), -1):
-            k = next((x for x in range(n - m, 0, -1) if n + x <= len(said) and said[m : m + x] == said[n : n + x]), 0)
-            between = said[m + k : n]
-            links = [x for x, w in enumerate(between) if w in ("and", "or")]
-            listed = bool(links) and not light(between[: links[-1]]) and light(between[links[-1] :])
-            if (k > 2 or k == 2 and n - m <= fuzzy.NEAR) and (k > 3 or not light(said[n : n + k])) and not listed:
-                out.append((m, n, k))
-                break
-    return out
+    """All repeats by the rule's text: of all triples (m, n, k) those that hold, then the nearest m of each n with its longest k."""
+
+    def content(words):
+        return not set(words) <= set(text.STOP)
+
+    def is_list(between):
+        ands = [k for k, w in enumerate(between) if w in {"and", "or"}]
+        return ands != [] and content(between[: ands[-1]]) and not content(between[ands[-1] :])
+
+    nearest = {}
+    for m, n in combinations(range(len(said)), 2):
+        if n - m < fuzzy.LOOK_BACK and said[m] == said[n]:
+            longest = max(k for k in range(1, n - m + 1) if said[m : m + k] == said[n : n + k])
+            enough = longest >= 3 or (longest == 2 and n - m <= fuzzy.NEAR)
+            if enough and (longest >= 4 or content(said[n : n + longest])) and not is_list(said[m + longest : n]):
+                nearest[n] = (m, n, longest)  # m rises, so the last one is the nearest
+    return list(nearest.values())
 
 
 def test_repeats_against_brute_force(spark):
@@ -314,7 +334,7 @@ def test_restarts(spark, tmp_path):
         for a, before, other in reversed(clauses[:k]):
             if at - before > 40_000:
                 break
-            if fuzzy.similar_openings(other, own):
+            if fuzzy.open_alike(other, own):
                 expected.add((6, a, b, "clause"))
                 break
     assert {r for r in found if r[0] == 6 and r[3] == "clause"} == expected and len(expected) > 10
