@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import aggregates, boxes, cuts, edits, findings, fuzzy, intervals, jobs, matching, pages, placement, reports, series, streams, strings, texts, videos, words
+from tessella.plans import aggregates, boxes, cuts, edits, findings, fuzzy, intervals, jobs, matching, openings, pages, placement, reports, rules, series, streams, strings, texts, videos, words
 
 SF = "/root/testdata/sf0.001"
-PLANS = (videos, words, intervals, cuts, series, boxes, findings, jobs, strings, reports, pages, aggregates, texts, fuzzy, placement, matching, edits, streams)
+PLANS = (videos, words, intervals, cuts, series, boxes, findings, jobs, strings, reports, pages, aggregates, texts, fuzzy, placement, matching, edits, rules, openings, streams)
 NAMES = [(plan, name) for plan in PLANS for name in plan.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
