@@ -7,7 +7,11 @@ slots.  Pass two tests each row against that filter: a row with one slot that no
 have no copy and passes straight through, and only the other rows shuffle, to be grouped by digest.
 
 A filter has eight bits a row and takes 8 MB at most, whatever the input; with more rows there are more
-shards.  One shard's filter is broadcast at a time in each join.
+shards.  Shards are tested one after the other, each in a job of its own that writes its outcome down, so that only one
+filter is broadcast at a time and plans don't grow with the number of shards.
+
+What pass one shuffles are slots (two numbers a row, those that a task has twice once), not rows.  Whole bitmaps of each task instead
+would be more bytes as soon as a shard has over three tasks (8 bits a row of the *shard* from each task), and no built-in aggregate marks what it has seen twice.
 
 Defined cases: a null text counts as empty; a null id is smaller than any other; of rows with the same
 text and the same id exactly one is kept; other columns, whatever their names, are carried as they are;
@@ -18,12 +22,12 @@ table, with the same rows in the same partitions each time.
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import bit, bitmaps, cut, join_groups, without, written
+from tessella.llm.tables import bit, bitmaps, cut, join_groups, shared_dir, without, written
 
 FILTER_BITS = 1 << 26
 SHARD_ROWS = FILTER_BITS // 8
@@ -64,12 +68,24 @@ def _shards(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[DataFrame
     return [rows.where(F.col("shard") == k).drop("shard") for k in range(shards)], total
 
 
+def _tested(shards: list[DataFrame]) -> DataFrame:
+    """All shards with suspicion, one after the other."""
+    if len(shards) == 1:
+        return _with_suspicion(shards[0])
+    spark = shards[0].sparkSession
+    at = f"{shared_dir(spark)}/tested-{uuid.uuid4().hex}"
+    for rows in shards:
+        tested = _with_suspicion(rows)
+        tested.write.mode("append").parquet(at)
+    return spark.read.schema(tested.schema).parquet(at)
+
+
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: nth (its monotonically_increasing_id()), id, digest (lower-case hex), keep_id, group_size, kept.
 
     Of equal texts, the row with the largest id is kept."""
     shards, total = _shards(docs, id_col, text_col)
-    tested = reduce(DataFrame.unionByName, [_with_suspicion(rows) for rows in shards])
+    tested = _tested(shards)
     single = tested.where("not suspect").select("nth", "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = tested.where("suspect").select("nth", "id", F.hex("digest").alias("digest"))
     groups = cut(maybe.groupBy("digest").agg(F.max(F.struct("id", "nth")).alias("best"), F.count("*").alias("group_size")))
