@@ -159,3 +159,16 @@ def test_edges(spark):
     assert sorted((tuple(r)[1:4] for r in ngram_join.near_components(rows).collect()), key=repr) == sorted([(None, 2, 5), (5, 2, 5), (5, 2, 5), (None, 0, None)], key=repr)
     assert ngram_join.drop_near_copies(rows).count() == 2
     assert ngram_join.near_components(rows.limit(0)).count() == 0
+
+
+def test_texts_by_row_numbers(spark, monkeypatch, tmp_path):
+    """With more wanted rows than are broadcast, bitmaps of row numbers go before the join: the same components."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    base = [rng.choices(words, k=30) for _ in range(12)]
+    rows = [(k, " ".join(rng.choice(base)[: rng.choice([30, 30, 29, 28])])) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    expected = sorted(map(tuple, ngram_join.near_components(df).select("id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, ngram_join.near_components(df).select("id", "n_shingles", "component_id").collect())) == expected

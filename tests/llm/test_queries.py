@@ -194,8 +194,7 @@ def brute_pipeline(docs, toxic):
 def test_pipeline(spark, docs):
     found = [r.asDict() for r in corpus_pipeline.run(spark, SF).collect()]
     frame = spark.read.parquet(f"{SF}/documents.parquet")
-    model = toxicity.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
-    toxic = {r.doc_id for r in toxicity.score(frame, model).where(f"__score >= {toxicity.THRESHOLD}").collect()}
+    toxic = {r.id for r in toxicity.scored(frame, spark.read.parquet(f"{SF}/labels.parquet")).where(f"score >= {toxicity.THRESHOLD}").collect()}
     left = brute_pipeline(docs, toxic)
     assert 0 < len(left) < len(docs)
     times, used = packed_well(found, tokens(docs))

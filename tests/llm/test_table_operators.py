@@ -46,6 +46,19 @@ def test_exact_dedup(spark, monkeypatch, shard_rows, bits):
     assert exact_dedup.mark_copies(df.limit(0)).count() == 0
 
 
+def test_shards_come_one_after_the_other(spark, monkeypatch):
+    """Twenty shards: the plan of the result has no filter of any of them, and the result is that of one."""
+    rows = [(k, f"t{k % 700}") for k in range(1_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(tuple, exact_dedup.mark_copies(df).select("id", "keep_id", "group_size", "kept").collect()))
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 4_096)
+    many = exact_dedup.mark_copies(df)
+    assert sorted(map(tuple, many.select("id", "keep_id", "group_size", "kept").collect())) == one
+    plan = many._jdf.queryExecution().toString()
+    assert "bitmap" not in plan and plan.count("BroadcastExchange") <= 4
+
+
 # ---- mixing
 
 def brute_targets(sizes):
@@ -270,3 +283,34 @@ def test_components(spark):
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
         assert found == root
+
+
+def test_exact_embedding_links(spark, monkeypatch):
+    """exact=True: a label of several blocks, windows that nothing can miss; no link is lost, even with a cell that would be small."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 50)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    vectors = clustered(np.random.default_rng(8), 300, 16)
+    df = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>")
+    found = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, exact=True).collect()}
+    units = embedding_dedup.units(vectors)
+    expected = ((units @ units.T >= embedding_dedup.THRESHOLD).sum(axis=1) - 1).tolist()
+    assert [found[k] for k in range(len(vectors))] == expected and sum(expected) > 0
+    assert embedding_dedup.window(16, 0.98, True)[0] == pytest.approx(0.2) and embedding_dedup.tables(10**6, 0.98, None) == (0, 1)
+
+
+def test_sieve_leaves_few_pairs():
+    """Of random vectors, windows along the first directions leave under 5% of the pairs to be counted."""
+    units = embedding_dedup.units(np.random.default_rng(9).standard_normal((3_000, 64)))
+    at = units @ embedding_dedup.directions(64)[:, : embedding_dedup.SIEVE]
+    wide, _, _ = embedding_dedup.window(64, 0.98)
+    near = np.ones((3_000, 3_000), bool)
+    for k in range(embedding_dedup.SIEVE):
+        near &= np.abs(at[:, None, k] - at[None, :, k]) <= wide
+    assert near.mean() < 0.05
+
+
+def test_quality_of_texts(spark):
+    texts = ["plain words of a usual length make up this text, and there are some forty of them or so in all, which is " * 2, "a b c d", "%%% $$$ *** &&& ### @@@ ^^^ ~~~ || <>", None, "", "one\ntwo\nthree\nfour"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    found = {r.k: r.q for r in rows.select("k", mixing.quality(F.col("t"), mixing.count_words(F.col("t"))).alias("q")).collect()}
+    assert all(0.25**4 <= q <= 1 for q in found.values()) and found[0] > 0.8 and found[0] > max(v for k, v in found.items() if k) and found[2] < 0.2 and found[5] < 0.2

@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
+import zlib
 import re
 from collections import Counter
 
@@ -262,7 +264,7 @@ def test_toxicity_of_held_out_rows_and_long_texts(spark):
     scores = []
     for flip in (False, True):
         labels = spark.createDataFrame([(k, int((k < 60) != (flip and k in held))) for k in range(300)], "doc_id long, toxic int")
-        scores.append({r.doc_id: r["__score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()})
+        scores.append({r.id: r.score for r in toxicity.scored(docs, labels).collect()})
     assert scores[0] == scores[1]
     assert all((scores[0][k] >= toxicity.THRESHOLD) == (k < 60) for k in range(600))
 
@@ -270,12 +272,38 @@ def test_toxicity_of_held_out_rows_and_long_texts(spark):
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "idiot " * 5), (3, "idiot " * 5)], "doc_id long, text string").withColumn("score", F.lit(9))
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs, empty)
-    assert {r["__score"] for r in toxicity.score(docs, model).collect()} == {0.0} or all(r["__score"] < 1e-20 for r in toxicity.score(docs, model).collect())
-    assert toxicity.drop_toxic(docs, empty).columns == docs.columns and toxicity.drop_toxic(docs, empty).count() == 5
+    assert sorted((str(r.id), r.score) for r in toxicity.scored(docs, empty).collect()) == sorted((str(k), 0.0) for k in (1, 2, None, 3, 3))
+    kept = toxicity.drop_toxic(docs, empty)
+    assert kept.columns == docs.columns and kept.count() == 5
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
-    assert toxicity.drop_toxic(docs, labels).count() <= 5
-    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+    scores = sorted((str(r.id), r.score) for r in toxicity.scored(docs, labels).collect())
+    assert [k for k, _ in scores] == ["1", "2", "3", "3", "None"] and scores[2] == scores[3] and all(0 <= x <= 1 for _, x in scores)
+    assert scores[0][1] == scores[1][1]  # a null text is an empty one
+    left = sorted(str(r.doc_id) for r in toxicity.drop_toxic(docs, labels).collect())
+    assert left == [k for k, x in scores if x < toxicity.THRESHOLD]
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0 and toxicity.scored(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_scores_are_sums_of_weights(spark):
+    """Every score by plain loops: a document's distinct words, each with its beginnings, through the model's weights and the cut that splits the training rows best."""
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n))
+    rows = [(k, f"{noise(rng.randrange(30))} {'Vilest scum' if k % 6 == 0 else ''} {noise(3)}") for k in range(240)] + [(500, "scum, SCUM: 7"), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(0, 200)], "doc_id long, toxic int")
+    model, ids = toxicity.untuned(docs, labels)
+    plain = {}
+    for k, text in rows:
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        features = [zlib.crc32(part.encode()) % toxicity.FEATURES for w in words for part in [w, *(w[:n] + "~" for n in (4, 5, 6) if len(w) > n)]]
+        plain[k] = sum(float(model.weights[f]) for f in features)
+    bias = toxicity.tuned(model, toxicity.logits(docs, model), ids).bias
+    found = {r.id: r.score for r in toxicity.scored(docs, labels).collect()}
+    assert found == pytest.approx({k: 1 / (1 + math.exp(-(x + model.bias + bias))) for k, x in plain.items()})
+    train = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    toxic = {k for k in train if k % 6 == 0 and k < 200}
+    assert toxic and all(found[k] >= toxicity.THRESHOLD for k in toxic)
+    assert sum(found[k] >= toxicity.THRESHOLD for k in train if k % 6 or k >= 240) <= 2
 
 
 def test_toxicity_cut_does_not_depend_on_the_sample(spark, monkeypatch):
@@ -287,6 +315,6 @@ def test_toxicity_cut_does_not_depend_on_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k < 200)) for k in range(3000)], "doc_id long, toxic int")
     for sample in (150, 6000):
         monkeypatch.setattr(toxicity, "UNLABELLED", sample)
-        scores = {r.doc_id: r["__score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+        scores = {r.id: r.score for r in toxicity.scored(docs, labels).collect()}
         assert all(scores[k] >= toxicity.THRESHOLD for k in range(1, 200, 2)), sample
         assert sum(scores[k] >= toxicity.THRESHOLD for k in range(200, 6000)) < 20, sample
