@@ -44,7 +44,7 @@ from tessella.llm.components import components
 from tessella.llm.measure import Measure
 from tessella.llm.prefix_tree import spanning_links
 from tessella.llm.shingles import fingerprint, sets_of
-from tessella.llm.tables import among, cut, join_groups, texts_in_small_batches, without
+from tessella.llm.tables import among, cut, join_groups, numbered, texts_in_small_batches, without
 
 #: The band holds so many times the elements that prefixes take.
 SLACK = 1.5
@@ -84,9 +84,11 @@ def _describe(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[p
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """wanted (nth, ..) with the text of each row number."""
     wanted = cut(wanted)
-    numbers = wanted.select(F.col("nth").alias("wanted")).distinct()
+    numbers = wanted.select("nth").distinct()
     if numbers.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(numbers), F.col("nth") == F.col("wanted"), "left_semi")
+        texts = texts.join(F.broadcast(numbers.withColumnRenamed("nth", "wanted")), F.col("nth") == F.col("wanted"), "left_semi")
+    else:
+        texts = numbered(texts, "nth", numbers)
     return wanted.join(texts.select("nth", "text"), "nth")
 
 
