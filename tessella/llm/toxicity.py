@@ -21,7 +21,8 @@ does not depend on the sizes of the sample.  Scoring covers every document and s
 Held out: rows whose crc32 of the id as text leaves 1 on division by 3; they are never fitted on.
 Defined cases: a null text is empty, and an empty text gets the score of the bias; a null id counts as
 an empty text in the hash; a document with several labels is toxic if one of them says so; without
-positives or without others in the training folds every score is 0; other columns are carried along.
+positives or without others in the training folds every score is 0; of rows with the same id the smallest text is
+fitted on, and each is scored for itself; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -237,12 +238,6 @@ def tuned(model: Model, found: DataFrame, ids: DataFrame | None) -> Model:
     return replace(model, bias=placed(cut_off(at / STEPS, p, n - p, 1 / STEPS))) if p.any() else model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from docs and labels (doc_id, toxic), without the held-out rows."""
-    model, ids = untuned(docs, labels, id_col, text_col)
-    return tuned(model, logits(docs, model, id_col, text_col), ids)
-
-
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(nth, id, score) of all rows of docs by a model trained on them: each text is read by Python once for its score."""
     model, ids = untuned(docs, labels, id_col, text_col)
@@ -274,22 +269,6 @@ class _Words(dict):
         return np.array([self.model.bias + sum(map(self.__getitem__, sorted(words_of(t.as_py() or "")))) for t in texts])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    words = _Words(model)
-    for batch in batches:
-        logits = words.logits(batch.column("__text"))
-        kept = [batch.column(n) for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(_sigmoid(logits), pa.float64())], names=[*(n for n in batch.schema.names if n != "__text"), "__score"])
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns of docs (or those named) and __score, from 0 to 1."""
-    names = docs.columns if columns is None else columns
-    rows = docs.select(*[docs[c] for c in names], docs[text_col].alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__score double"])
-    return rows.mapInArrow(partial(_score, model=model), schema)
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with a score under THRESHOLD, with all their columns."""
     found = scored(docs, labels, id_col, text_col).where(F.col("score") >= THRESHOLD).select("nth")
