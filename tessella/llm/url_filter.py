@@ -37,6 +37,8 @@ BLOCKED = (
 )
 #: Rules of a table at most; the masks of so many take about 30 MB.
 MOST_RULES = 10_000
+#: Bytes of the automaton's states at a time: a batch is matched in slices of rows.
+STATE_BYTES = 1 << 23
 _UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
 
@@ -165,7 +167,8 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: Sequence[tuple[str, str, st
     ranked = [r for _, _, r in sorted((len((host + path).encode()), -r, r) for r, (_, host, path) in enumerate(rules))]  # the later one wins
     names = np.array([None, *(host + path for _, host, path in rules)], object)
     verdicts = np.array(["allow", *(verdict for verdict, _, _ in rules)], object)
-    for batch in batches:
+    rows = max(1, STATE_BYTES // (8 * max(len(machine.start), len(listed.start))))
+    for batch in (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows)):
         hosts, paths = batch.column("host"), batch.column("path")
         urls = list(zip(hosts.to_pylist(), paths.to_pylist(), strict=True))
         fits = machine.match([(host + path).encode() for host, path in urls])
