@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,22 +127,39 @@ def value_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg((F.max("segment") + 1).alias("segments"))
 
 
-def heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words against a second hearing of them (every 11th heard otherwise, every 17th missed, one more after every 23rd), lined up."""
+def _hearings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Canonical words (conv_id, idx, word, key, b, e), and those of a second hearing: every 11th heard otherwise (every 22nd cut short), every 17th missed, one more after every 23rd."""
     rows = words(spark, sf_dir).select("conv_id", "idx", F.col("norm").alias("key"), F.col("start_ms").alias("b"), F.col("end_ms").alias("e"))
-    other = rows.where("idx % 17 != 0").withColumn("key", F.when(F.col("idx") % 11 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
+    key = F.when((F.col("idx") % 22 == 0) & (F.length("key") > 1), F.expr("substring(key, 1, length(key) div 2)")).when(F.col("idx") % 11 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key"))
+    other = rows.where("idx % 17 != 0").withColumn("key", key)
     more = rows.where("idx % 23 = 0").select("conv_id", "idx", F.lit("well").alias("key"), F.col("e").alias("b"), F.col("e").alias("e"))
     other = other.unionByName(more).withColumn("idx", F.row_number().over(W.partitionBy("conv_id").orderBy("b", "e", "idx")).cast("long"))
-    return aligned(rows, other, "conv_id")
+    return fuzzy.canonical_rows(rows, "conv_id"), fuzzy.canonical_rows(other, "conv_id")
+
+
+def heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against a second hearing of them, lined up by what they say (numbers as digits, contractions spoken out): (conv_id, what, left, right), the words' numbers."""
+    rows, other = _hearings(spark, sf_dir)
+    found = aligned(rows, other, "conv_id")
+    found = found.join(rows.select("conv_id", F.col("idx").alias("left"), F.col("word").alias("left_word")), ["conv_id", "left"], "left").join(other.select("conv_id", F.col("idx").alias("right"), F.col("word").alias("right_word")), ["conv_id", "right"], "left")
+    return found.select("conv_id", "what", F.col("left_word").alias("left"), F.col("right_word").alias("right"))
 
 
 def verified_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of each removed or kept word in the second hearing, by the kind of difference: hesitations, spelling (four of five letters alike), other."""
-    found = heard_again(spark, sf_dir).where("what != 'same'")
-    said = words(spark, sf_dir).select("conv_id", F.col("idx").alias("left"), "norm")
-    found = found.join(said, ["conv_id", "left"], "left")
-    kind = F.when(F.col("norm").isin(*T.HARD_FILLERS), "hesitation").when(F.col("what") == "differ", "spelling").when(F.col("what") == "gone", "missing").otherwise("more")
-    return found.groupBy("conv_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("left").alias("first"))
+    """What became of words in the second hearing, by the kind of difference, with how many and the first: a hesitation on either side, a fragment (one is the start of the other), spelling
+    (at most a fifth of the letters edited), heard otherwise, missing, or more."""
+    rows, other = _hearings(spark, sf_dir)
+    found = aligned(rows, other, "conv_id").where("what != 'same'")
+    found = found.join(rows.select("conv_id", F.col("idx").alias("left"), "word", F.col("key").alias("was")), ["conv_id", "left"], "left").join(other.select("conv_id", F.col("idx").alias("right"), F.col("key").alias("now")), ["conv_id", "right"], "left")
+    return found.withColumn("kind", difference(F.col("what"), F.col("was"), F.col("now"))).groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+
+
+def difference(what: Column, was: Column, now: Column) -> Column:
+    """The kind of a difference between a word and how it was heard again."""
+    hesitation = F.coalesce(was.isin(*T.HARD_FILLERS), F.lit(False)) | F.coalesce(now.isin(*T.HARD_FILLERS), F.lit(False))
+    differ = F.when(was.startswith(now) | now.startswith(was), F.when(F.abs(F.length(was) - F.length(now)) == 1, "spelling").otherwise("fragment"))
+    differ = differ.when(F.levenshtein(was, now) * 5 <= F.greatest(F.length(was), F.length(now)), "spelling").otherwise("heard otherwise")
+    return F.when(hesitation, "hesitation").when(what == "gone", "missing").when(what == "new", "more").otherwise(differ)
 
 
 QUERIES = {q.__name__: q for q in (restarts, script_match, fuzzy_groups, similar_lines, numbers_folded, names_said, greedy_spacing, interval_lanes, clip_shortlist, deal_shares, value_segments, heard_again, verified_words)}

@@ -14,6 +14,8 @@ from tessella.sources.views import VIDEOS_SQL, WORDS_SQL, table, videos, words
 
 # Words that a title doesn't end on.
 DANGLING = ("and", "or", "but", "the", "a", "an", "of", "to", "in", "with", "for", "so", "that")
+#: As many presets are compared with each row.
+MOST_PRESETS = 1_000
 #: Width of a stroke over its height, and the font weight drawn so; in between by proportion.
 WEIGHTS = ((80, 300), (110, 400), (140, 500), (180, 700), (220, 900))
 
@@ -155,7 +157,9 @@ def nearest_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nation whose mean customer balance is nearest to each supplier's (ties: the lowest key)."""
     means = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.floor(F.avg("c_acctbal")).cast("long").alias("mean"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor("s_acctbal").cast("long").alias("own"))
-    pairs = suppliers.crossJoin(F.broadcast(means))  # a nation a row, 25 at most
+    if means.count() > MOST_PRESETS:
+        raise ValueError(f"more than {MOST_PRESETS} presets to compare with")
+    pairs = suppliers.crossJoin(F.broadcast(means))
     return pairs.groupBy("s_suppkey").agg(F.min(F.struct(F.abs(F.col("own") - F.col("mean")).alias("apart"), "c_nationkey")).alias("x")).select("s_suppkey", F.col("x.c_nationkey").alias("nation"), F.col("x.apart").alias("apart"))
 
 

@@ -48,6 +48,21 @@ def line_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", f"struct<{_fields(schema)}>", {"mode": "PERMISSIVE"}).alias("row")).select("row.*").dropna("all")
 
 
+def optional_json(spark: SparkSession, folder: str, names: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be missing or broken, one file `name`.json each, anywhere below folder: (name, document), one row per row of names (name), and rejects (name, file, text).
+
+    A file that isn't there or is empty, and one that isn't JSON of this schema, is a null document and no error; what couldn't be read is among the rejects."""
+    corrupt = "_corrupt_record"
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1)).alias("name"), "value")
+    parsed = F.from_json("value", f"struct<{_fields(schema)}, {corrupt}: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = raw.withColumn("parsed", parsed)
+    broken = F.col("parsed").isNull() | F.col(f"parsed.{corrupt}").isNotNull()
+    documents = rows.where(~broken).select("name", F.col("parsed").dropFields(corrupt).alias("document"))
+    one = documents.groupBy("name").agg(F.first("document").alias("document"))
+    return names.join(one, "name", "left"), rows.where(broken).select("name", "file", F.col("value").alias("text"))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

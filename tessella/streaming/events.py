@@ -65,7 +65,8 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "12 hours", late: str
 def _claims(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A user's queue: a signup queues a job, a purchase claims the oldest job that is at most TTL_US old, others have gone stale.
 
-    Rows come in any order, so they wait in the state and are taken in order of time once the watermark has passed them."""
+    Rows come in any order, so they wait in the state and are taken in order of time once the watermark has passed them.
+    A job that no row to come can claim leaves the state, and a user without jobs and waiting rows has none; a timer sees to it."""
     queue, at, ids, signups = (list(x) for x in state.get) if state.exists else ([], [], [], [])
     for batch in batches:
         batch = batch[batch["event_type"].isin(["signup", "purchase"])]
@@ -84,9 +85,13 @@ def _claims(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             if queue:
                 out.append((key[0], queue.pop(0), now))
     waiting = waiting[ready:]
-    state.update((queue, *([int(row[k]) for row in waiting] for k in range(2)), [bool(row[2]) for row in waiting]))
-    if waiting:
-        state.setTimeoutTimestamp(max(passed, waiting[0][0] // 1000) + 1)
+    queue = [t for t in queue if passed * 1000 - t <= TTL_US]
+    if queue or waiting:
+        state.update((queue, *([int(row[k]) for row in waiting] for k in range(2)), [bool(row[2]) for row in waiting]))
+        due = min([row[0] // 1000 for row in waiting[:1]] + [(t + TTL_US) // 1000 + 1 for t in queue[-1:]])
+        state.setTimeoutTimestamp(max(passed, due) + 1)
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["user_id", "queued", "claimed"])
 
 

@@ -338,3 +338,27 @@ def test_restarts(spark, tmp_path):
                 expected.add((6, a, b, "clause"))
                 break
     assert {r for r in found if r[0] == 6 and r[3] == "clause"} == expected and len(expected) > 10
+
+
+def test_differences_of_hearings(spark):
+    rows = [("differ", "plan", "plans", "spelling"), ("differ", "hello", "hel", "fragment"), ("differ", "colour", "colours", "spelling"), ("differ", "organise", "organize", "spelling"), ("differ", "cat", "dog", "heard otherwise"),
+            ("gone", "cat", None, "missing"), ("new", None, "cat", "more"), ("new", None, "um", "hesitation"), ("gone", "uh", None, "hesitation"), ("differ", "a", "um", "hesitation")]
+    found = spark.createDataFrame(rows, "what string, was string, now string, kind string").withColumn("found", fuzzy_plans.difference(F.col("what"), F.col("was"), F.col("now")))
+    assert all(r.found == r.kind for r in found.collect())
+
+
+def test_verified_words(spark, tmp_path):
+    said = " ".join(f"{a}{b}{a}{b}" for a in "bcdfg" for b in "aeiou") + "."
+    spark.createDataFrame([(1, 0, said)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.kind: (r.n, r["first"]) for r in fuzzy_plans.verified_words(spark, str(tmp_path)).collect()}
+    assert found == {"spelling": (1, 11), "fragment": (1, 22), "missing": (1, 17), "more": (1, None)}
+
+
+def test_canonical_rows(spark):
+    said = "we wanna pay twenty five thousand dollars for two hundred cats now".split()
+    rows = [(1, k + 1, w, 10 * k, 10 * k + 9) for k, w in enumerate(said)] + [(2, 4, "gonna", 0, 5)]
+    found = {(r.c, r.idx): (r.word, r.key, r.b, r.e) for r in fuzzy.canonical_rows(spark.createDataFrame(rows, "c long, idx long, key string, b long, e long"), "c").collect()}
+    assert found[2, 1] == (4, "going", 0, 5) and found[2, 2] == (4, "to", 0, 5)
+    own = [found[1, k] for k in range(1, 11)]
+    assert [k for _, k, _, _ in own] == ["we", "want", "to", "pay", "25000", "dollars", "for", "200", "cats", "now"]
+    assert own[4] == (4, "25000", 30, 59) and own[7] == (9, "200", 80, 99) and len(found) == 12
