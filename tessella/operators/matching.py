@@ -17,34 +17,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessella.operators import fuzzy, sequential
+from tessella.operators.lineage import cut
 
 #: Rows that are broadcast at most: words or pairs in a filter, each some tens of bytes.
 BROADCAST_ROWS = 200_000
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """df, written down, and to be broadcast if it has few rows."""
+    df = cut(df)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 # ---- windows like a phrase
 
 def anchors(phrases: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
-    """(phrase, word): of each phrase (phrase, words) its rarest words, so many that a window with num / den of the phrase's words has one of them.
+    """(phrase, word, size, least): of each phrase (phrase, words) its rarest words, so many that a window with num / den of the phrase's words has `least` of them (two, or one if one is all it needs).
 
     counts: (word, n) of the texts; a word that they don't have can't be in a window and counts as the rarest."""
     rows = phrases.select("phrase", F.size("words").alias("size"), F.explode("words").alias("word")).join(counts, "word", "left")
     rank = F.row_number().over(W.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "word"))
     need = F.ceil(F.col("size") * num / den)
-    return rows.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - need + 1) & F.col("n").isNotNull()).select("phrase", "word").distinct()
+    rows = rows.withColumn("rank", rank).withColumn("least", F.least(F.lit(2), need).cast("int"))
+    return rows.where((F.col("rank") <= F.col("size") - need + F.col("least")) & F.col("n").isNotNull()).select("phrase", "word", "size", "least").distinct()
 
 
-def _best_around(words: pd.Series, phrase: pd.Series, at: pd.Series, least: pd.Series) -> pd.Series:
-    """Of each row: the windows that hold a place of `at`, as [start, hits in thousandths]."""
+def _best_among(words: pd.Series, phrase: pd.Series, least: pd.Series) -> pd.Series:
+    """Of each stretch of words: the windows in it that are as long as the phrase (all of it, if it is shorter), as [offset, score in thousandths], from the least score on."""
     out = []
-    for own, said, places, low in zip(words, phrase, at, least, strict=True):
+    for own, said, low in zip(words, phrase, least, strict=True):
         own, said = list(own), list(said)
         n, wanted, found = len(said), Counter(said), []
-        for start in sorted({s for p in places for s in range(max(0, p - n + 1), p + 1) if s + n <= max(n, len(own))}):
+        for start in range(max(0, len(own) - n) + 1):
             window = own[start : start + n]
             bag = sum(min(k, wanted[w]) for w, k in Counter(window).items())
             if 2 * bag * 1000 >= low * (n + len(window)):
@@ -56,16 +60,28 @@ def _best_around(words: pd.Series, phrase: pd.Series, at: pd.Series, least: pd.S
 
 
 def phrase_windows(texts: DataFrame, phrases: DataFrame, num: int = 6, den: int = 10, top: int = 3, apart: int = 3_000) -> DataFrame:
-    """Where texts (doc, words, starts: arrays) say phrases (phrase, words): (phrase, doc, place, start, score), of windows as long as the phrase and at least num / den like it the `top` best whose starts are over `apart` apart; ties go to the earliest.
+    """Where texts (doc, words, starts: arrays) say phrases (phrase, words): (phrase, doc, place, start, score), of windows as long as the phrase (the whole text, if that is shorter) and at least num / den like it the `top` best whose starts are over `apart` apart; ties go to the earliest.
 
-    Equi-join on a phrase's rarest words, then windows around these alone."""
-    said = texts.select("doc", F.posexplode("words").alias("place", "word"))
+    Equi-join on a phrase's rarest words; only windows that hold two of them are looked at.  The texts are read several times, so they are written down as words once."""
+    texts = cut(texts)
+    said = texts.select("doc", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "word"))
     counts = said.groupBy("word").agg(F.count("*").alias("n"))
     rare = anchors(phrases, counts, num, den)
-    hits = said.join(_small(rare), "word").groupBy("doc", "phrase").agg(F.collect_set("place").alias("at"))
-    rows = hits.join(texts, "doc").join(phrases.select("phrase", F.col("words").alias("said")), "phrase")
-    around = pandas_udf(_best_around, "array<struct<place: int, score: int>>")("words", "said", "at", F.lit(1000 * num // den))
-    rows = rows.select("phrase", "doc", "starts", F.explode(around).alias("x")).select("phrase", "doc", F.col("x.place").cast("long").alias("place"), F.get("starts", F.col("x.place")).alias("start"), F.col("x.score").cast("long").alias("score"))
+    hits = said.join(_small(rare), "word").where("n_words >= size").select("doc", "phrase", "place", "size", "least").distinct()
+    order = W.partitionBy("doc", "phrase").orderBy("place")
+    end = F.when(F.col("least") == 1, F.col("place")).otherwise(F.lead("place").over(order))
+    whole = hits.withColumn("end", end).where(F.col("end") - F.col("place") < F.col("size"))
+    whole = whole.select("doc", "phrase", F.greatest(F.lit(0), F.col("end") - F.col("size") + 1).alias("first"), F.col("place").alias("last"))
+    longest = phrases.agg(F.max(F.size("words"))).first()[0] or 0
+    every = phrases.select("phrase", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("word"))
+    short = said.where(F.col("n_words") < longest).join(_small(every), "word").where("n_words < size").select("doc", "phrase").distinct()
+    hits = whole.unionByName(short.select("doc", "phrase", F.lit(0).alias("first"), F.lit(0).alias("last")))
+    rows = hits.join(texts, "doc").join(_small(phrases.select("phrase", F.col("words").alias("said"))), "phrase")
+    stretch = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.size("said"))
+    rows = rows.select("phrase", "doc", "first", "said", stretch.alias("stretch"), F.slice("starts", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("starts"))
+    among = pandas_udf(_best_among, "array<struct<place: int, score: int>>")("stretch", "said", F.lit(1000 * num // den))
+    rows = rows.select("phrase", "doc", "first", "starts", F.explode(among).alias("x"))
+    rows = rows.select("phrase", "doc", (F.col("first") + F.col("x.place")).cast("long").alias("place"), F.get("starts", F.col("x.place")).alias("start"), F.col("x.score").cast("long").alias("score")).distinct()
     spaced = rows.withColumn("b", F.col("start")).withColumn("e", F.col("start") + apart + 1)
     return sequential.shortlist(spaced, ["phrase", "doc"], "score", ["b", "place"], top).where("kept").select("phrase", "doc", "place", "start", "score")
 

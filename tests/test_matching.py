@@ -44,7 +44,7 @@ def test_first_later(spark):
 def test_phrase_windows(spark):
     rng = random.Random(3)
     vocabulary = ["the", "of", "a", "red", "plan", "cost", "x", "y", "zeta"]
-    texts = [(d, rng.choices(vocabulary, k=n)) for d, n in enumerate([0, 1, 3, 60, 200, 400])]
+    texts = [(d, rng.choices(vocabulary, k=n)) for d, n in enumerate([0, 1, 2, 3, 3, 4, 5, 60, 200, 400])]
     phrases = [(p, rng.choices(vocabulary, k=rng.randrange(1, 8))) for p in range(12)] + [(99, ["never", "said", "here"]), (98, ["zeta", "never", "plan", "cost"])]
     rows = [(d, w, [k * 700 for k in range(len(w))]) for d, w in texts]
     found = matching.phrase_windows(spark.createDataFrame(rows, "doc long, words array<string>, starts array<long>"), spark.createDataFrame(phrases, "phrase long, words array<string>"))
