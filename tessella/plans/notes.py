@@ -230,8 +230,8 @@ def repeated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of a document: (level, rule, condition in SQL over text, lines, and first, its first line).
 DOCUMENT_RULES = (
-    ("FAIL", "no text", "text = ''"), ("FAIL", "a heading that is too long", "length(first) > 1024"), ("FAIL", "too many lines", "lines > 30"), ("FAIL", "placeholders left in", "MATCHES(text, '\\\\[[A-Za-z_ ]+\\\\]|TODO|FIXME')"),
-    ("FAIL", "speaks as I or you", "MATCHES(first, '^(I|You|We)\\\\b')"), ("WARN", "no end", "text <> '' AND NOT MATCHES(text, '[.!?]\\\\s*$')"), ("WARN", "a backslash", "contains(text, chr(92))"), ("WARN", "shouts", "text <> '' AND text = upper(text)"),
+    ("FAIL", "no text", "text = ''"), ("FAIL", "a heading that is too long", "length(first) > 300"), ("FAIL", "too many lines", "lines > 30"), ("FAIL", "placeholders left in", "MATCHES(text, '\\\\[[A-Za-z_ ]+\\\\]|TODO|FIXME')"),
+    ("FAIL", "speaks as I or you", "MATCHES(lower(first), '^(i|me|my|we|us|our|you|your) ')"), ("WARN", "no end", "text <> '' AND NOT MATCHES(text, '[.!?]\\\\s*$')"), ("WARN", "a backslash", "contains(text, chr(92))"), ("WARN", "shouts", "text <> '' AND text = upper(text)"),
     ("WARN", "a line that is too long", "longest > 2000"), ("WARN", "empty lines in a row", "contains(text, concat(chr(10), chr(10), chr(10)))"),
 )
 #: Rules of a line of a page's source: (level, rule, regular expression).

@@ -18,6 +18,8 @@ LONGEST, MORE = 30, 10
 #: Kinds of candidates, the weightiest first: what meets one of an earlier kind isn't one itself.
 KINDS = ("opening", "restart", "double", "filler", "loose")
 LOOSE = ("like", "so", "well", "right")
+#: Fixed values, as these words join what comes next without meaning it: a loose word after one stands by itself.
+JOINING = ("and", "so", "but", "or", "was", "were")
 #: A word is set off by so long a pause, in ms.
 PAUSE = 300
 
@@ -60,7 +62,7 @@ def loose_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words like "like" where they stand by themselves: first in a clause, before a comma, after a joining word, or beside a pause."""
     order = W.partitionBy(*BY).orderBy("idx")
     rows = _gap(words(spark, sf_dir)).withColumn("before", F.lag("norm").over(order)).withColumn("next_gap", F.lead("gap").over(order))
-    alone = F.col("before").isNull() | F.col("after_clause") | F.col("word").endswith(",") | (F.col("gap") >= PAUSE) | F.coalesce(F.col("next_gap") >= PAUSE, F.lit(False)) | F.col("before").isin("and", "so", "but", "or", "was", "were", *T.HARD_FILLERS)
+    alone = F.col("before").isNull() | F.col("after_clause") | F.col("word").endswith(",") | (F.col("gap") >= PAUSE) | F.coalesce(F.col("next_gap") >= PAUSE, F.lit(False)) | F.col("before").isin(*JOINING, *T.HARD_FILLERS)
     return rows.where(F.col("norm").isin(*LOOSE) & alone).select("conv_id", "idx")
 
 
@@ -89,7 +91,7 @@ QUERIES = {q.__name__: q for q in (alternate_openings, kept_opening, loose_words
 def _oracle() -> dict[str, str]:
     from tessella.plans.words import _GAP_SQL
 
-    joined = ", ".join(f"'{w}'" for w in ("and", "so", "but", "or", "was", "were", *T.HARD_FILLERS))
+    joined = ", ".join(f"'{w}'" for w in (*JOINING, *T.HARD_FILLERS))
     return {
         "loose_words": f"""WITH {_GAP_SQL}, b AS (SELECT *, lag(norm) OVER o AS before, lead(gap) OVER o AS next_gap FROM gaps WINDOW o AS (PARTITION BY conv_id ORDER BY idx))
             SELECT conv_id, idx FROM b WHERE norm IN ({', '.join(f"'{w}'" for w in LOOSE)}) AND (before IS NULL OR after_clause OR word LIKE '%,' OR gap >= {PAUSE} OR coalesce(next_gap >= {PAUSE}, false) OR before IN ({joined}))""",
