@@ -22,6 +22,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, conversation -1; rows that the table already has under -1 are turns of the same conversation, and turns with equal numbers are ordered by role and text."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
     return chat.read_chats(chat.format_chats(rows.unionByName(probe))).withColumnRenamed("conv", "conv_id")
@@ -51,6 +52,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule fits, the verdict is the block list's (`url_filter.BLOCKED`), which sees canonical URLs."""
     return url_filter.judge_urls(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
