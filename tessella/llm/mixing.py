@@ -40,18 +40,13 @@ def count_words(text: Column) -> Column:
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight of a document from four signals, each a factor from a quarter to 1: words of 3 to 12 characters on average, few signs
-    other than letters, digits and usual punctuation, few line breaks for its words, and enough words to say something."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(text), F.lit(1))
+    """Weight of a document from two signals, each a factor from a quarter to 1: words of 3 to 12 characters on average, and enough words to say something.
+
+    Both come from the counts that are made anyway, so no text is copied for them."""
     mean = F.try_divide(F.length(text), size)
-    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,;:!?'\"()-]+", "")) / chars
-    breaks = F.try_divide(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), size)
     shape = F.when(mean.between(3, 12), 1.0).otherwise(0.25)
-    clean = F.greatest(F.lit(0.25), 1.0 - 5.0 * signs)
-    flowing = F.greatest(F.lit(0.25), 1.0 - F.coalesce(breaks, F.lit(0.0)))
     long = F.least(F.lit(1.0), 0.25 + size / 40.0)
-    return shape * clean * flowing * long
+    return shape * long
 
 
 def sampling_key(id_: Column, weight: Column) -> Column:
