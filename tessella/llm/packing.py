@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 20_000
 #: Words whose ids a Python worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 
 _SPACE = re.compile(r"[ \t\r\n]+")
 #: Words that the vocabulary's normalizer only lower-cases, and their parts as its pre-tokenizer cuts them.
