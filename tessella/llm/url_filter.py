@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Globs of canonical URLs that are blocked where no rule fits: hosts, paths that are no content, files that are no text.
 BLOCKED = (
     "spam-farm.**", "*.spam-farm.**", "casino.**", "*casino.*/**", "**/wp-login.php", "**/xmlrpc.php", "**/cgi-bin/**", "**/cart/**", "**/checkout/**",
