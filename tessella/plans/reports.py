@@ -102,7 +102,7 @@ def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentence_spans(spark, sf_dir).where("n_words >= 5").withColumn("wpm", F.floor(F.col("n_words") * 60_000 / (F.col("end_ms") - F.col("start_ms"))).cast("long"))
     rows = rows.join(middle(rows, ["conv_id"], "wpm", 50), "conv_id")
     x = 0.15 * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("wpm") - F.col("median")) / 30)) + 0.3 * F.when(F.col("n_words") >= 12, 1).when(F.col("n_words") >= 8, 0).otherwise(-1)
-    x += 0.25 * F.least(F.lit(2), F.regexp_count("text", F.lit("[0-9]+"))) - F.when(F.col("text").rlike(CONNECTIVE.replace("^(?i)", "(?i)^")), 1.0).otherwise(0.0)
+    x += 0.25 * F.least(F.lit(2), F.regexp_count("text", F.lit("[0-9]+"))) - F.when(F.col("text").rlike(T.ascii_edges(CONNECTIVE.replace("^(?i)", "(?i)^"))), 1.0).otherwise(0.0)
     return rows.select("conv_id", "sentence", "wpm", F.floor(1000 / (1 + F.exp(-x)) + 0.5).alias("score"))
 
 
