@@ -24,3 +24,11 @@ def test_word_edges_are_ascii(spark, tmp_path):
     against_sql(spark, tmp_path, texts, "motion_kinds", conversations={"conv_id": range(len(said)), "turn": [0] * len(said), "role": [f"r{k}" for k in range(len(said))], "text": said})
     said = ["éa.com b", "x é@creator y", "ñfile.mp4 z", "é.example.org"]
     against_sql(spark, tmp_path, texts, "scrub_text", documents={"doc_id": range(len(said)), "text": said})
+
+
+def test_clip_windows_begin_and_end_anywhere(spark, tmp_path):
+    """Short sentences and ones without a full end too."""
+    said = [" ".join(["word"] * n) + end for n, end in ((3, "."), (20, "..."), (25, "-"), (2, "!"), (30, "."), (1, "?"), (40, "..."))] * 3
+    against_sql(spark, tmp_path, texts, "clip_windows", conversations={"conv_id": [1] * len(said), "turn": range(len(said)), "role": ["user"] * len(said), "text": said})
+    rows = {r.sentence for r in texts.clip_windows(spark, str(tmp_path)).collect()}
+    assert {1, 4} <= rows
