@@ -21,8 +21,8 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
     side = F.col("__left").isNotNull()
     order = (F.col("__at"), F.when(side, 0 if strict else 1).otherwise(1 if strict else 0), F.col(f"__right.{tie}"))
     back = F.last("__right", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    order = (F.col("__at"), F.when(side, 1 if strict else 0).otherwise(0 if strict else 1), F.col(f"__right.{tie}"))
-    ahead = F.first("__right", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(0, W.unboundedFollowing))
+    order = (F.desc("__at"), F.desc(F.when(side, 1 if strict else 0).otherwise(0 if strict else 1)), F.desc(f"__right.{tie}"))
+    ahead = F.last("__right", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # backwards, as a frame to the end is gone through anew for each row
     if direction == "backward":
         found: Column = back
     elif direction == "forward":

@@ -4,8 +4,8 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessella.plans import texts
-from tests.test_queries import same_rows
+from tessella.plans import cuts, texts
+from tests.test_queries import SF, same_rows
 
 
 def against_sql(spark, folder, plan, name, **tables):
@@ -32,3 +32,10 @@ def test_clip_windows_begin_and_end_anywhere(spark, tmp_path):
     against_sql(spark, tmp_path, texts, "clip_windows", conversations={"conv_id": [1] * len(said), "turn": range(len(said)), "role": ["user"] * len(said), "text": said})
     rows = {r.sentence for r in texts.clip_windows(spark, str(tmp_path)).collect()}
     assert {1, 4} <= rows
+
+
+def test_words_are_dealt_out_once_and_never_broadcast(spark):
+    """A removal's place, and what the cuts cover, follow from windows where a conversation's words are."""
+    for name in ("resolved_spans", "covered_words", "paper_edit", "judged_changes"):
+        plan = cuts.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning(conv_id") == plan.count("Exchange ") == 1, name
