@@ -61,10 +61,11 @@ def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values three median deviations or more above the running median of eight places either side, and the largest within two."""
     wide = in_order().rowsBetween(-8, 8)
-    rows = levels(spark, sf_dir).withColumn("near", F.collect_list("v").over(wide)).withColumn("top", F.max("v").over(in_order().rowsBetween(-2, 2)))
-    rows = rows.withColumn("middle", _median(F.array_sort("near")))
-    rows = rows.withColumn("spread", _median(F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("middle"))))))
-    return rows.where("spread > 0 and v = top and v - middle >= 3 * spread").select("user_id", "i", "v", "middle", "spread")
+    rows = levels(spark, sf_dir).withColumn("near", F.collect_list("v").over(wide)).withColumn("top", F.max("v").over(in_order().rowsBetween(-2, 2))).where("v = top")
+    found = F.transform(F.array(F.sort_array("near")), lambda near: F.struct(near.alias("near"), _median(near).alias("middle")))  # each step is made once and then used several times
+    found = F.transform(found, lambda x: F.struct(x["middle"].alias("middle"), F.sort_array(F.transform(x["near"], lambda v: F.abs(v - x["middle"]))).alias("away")))
+    found = F.transform(found, lambda x: F.struct(x["middle"].alias("middle"), _median(x["away"]).alias("spread")))
+    return rows.select("user_id", "i", "v", F.inline(found)).where("spread > 0 and v - middle >= 3 * spread")
 
 
 def frozen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

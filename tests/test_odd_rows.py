@@ -4,7 +4,8 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessella.plans import cuts, texts
+from tessella.plans import cuts, series, texts
+from tessella.sources import views
 from tests.test_queries import SF, same_rows
 
 
@@ -34,8 +35,15 @@ def test_clip_windows_begin_and_end_anywhere(spark, tmp_path):
     assert {1, 4} <= rows
 
 
-def test_words_are_dealt_out_once_and_never_broadcast(spark):
+def test_words_are_dealt_out_once_and_never_broadcast(spark, monkeypatch):
     """A removal's place, and what the cuts cover, follow from windows where a conversation's words are."""
+    monkeypatch.setattr(views, "PART_TURNS", 20)
     for name in ("resolved_spans", "covered_words", "paper_edit", "judged_changes"):
         plan = cuts.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning(conv_id") == plan.count("Exchange ") == 1, name
+
+
+def test_onsets_sort_once(spark):
+    """No sort by a comparison in Spark's own lambda, and none for each element of a window."""
+    plan = series.onsets(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and plan.count("sort_array") == 2
