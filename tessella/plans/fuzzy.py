@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,29 +33,32 @@ def clause_openings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return rows, rows.groupBy("conv_id", "clause").agg(F.min("idx").alias("idx"), F.min("start_ms").alias("start_ms"), F.slice(own, 1, OPENING).alias("opening"))
 
 
-def _chosen(repeats: pd.DataFrame, clauses: pd.DataFrame) -> pd.DataFrame:
-    taken = {k for a, b in zip(clauses["before"], clauses["again"], strict=True) for k in range(a, b)}
-    spans = [tuple(map(int, r)) for r in repeats[["n", "k", "before", "again"]].itertuples(index=False)]
-    found = pd.DataFrame(fuzzy.first_free(spans, taken), columns=["before", "again"], dtype="int64")
-    return found.assign(conv_id=repeats["conv_id"].iloc[0] if len(repeats) else 0)[["conv_id", "before", "again"]]
+def _chosen(found: Iterator[Any]) -> Iterator[tuple]:
+    """Clauses begun again, as they come, then the repeated words that these leave."""
+    taken, spans, key = set(), [], None
+    for row in found:
+        key = row.conv_id
+        if row.k:
+            spans.append((row.n, row.k, row.before, row.again))
+        else:
+            taken.update(range(row.before, row.again))
+            yield key, row.before, row.again, "clause"
+    for before, again in fuzzy.first_free(spans, taken):
+        yield key, before, again, "words"
 
 
 def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is begun again, from word `before` on at word `again`: clauses that open like an earlier one within 40 s (the nearest such one), and words said twice in a row."""
     rows, clauses = clause_openings(spark, sf_dir)
-    later = clauses.where(F.size("opening") >= 2).withColumn("bucket", F.floor(F.col("start_ms") / RESTART_MS))
-    earlier = later.select("conv_id", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("idx").alias("before"), F.col("start_ms").alias("at"), F.col("opening").alias("other"))
-    pairs = later.join(earlier, ["conv_id", "bucket"]).where(F.col("before") < F.col("idx")).where(F.col("start_ms") - F.col("at") <= RESTART_MS)
-    nearest = pairs.where(fuzzy.alike(F.col("other"), F.col("opening"))).groupBy("conv_id", F.col("idx").alias("again")).agg(F.max("before").alias("before"))
-    nearest = nearest.select("conv_id", "before", "again")
+    nearest = fuzzy.nearest_alike(clauses.where(F.size("opening") >= 2), "conv_id", "start_ms", "idx", RESTART_MS)
     said = rows.select("conv_id", "idx", F.posexplode("said").alias("nth", "word"))
-    said = said.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("idx", "nth")).cast("long"))
-    where = said.select("conv_id", "place", "idx")
-    found = fuzzy.repeats(said.select("conv_id", "place", "word"), "conv_id")
-    found = found.join(where.withColumnsRenamed({"place": "m", "idx": "before"}), ["conv_id", "m"]).join(where.withColumnsRenamed({"place": "n", "idx": "again"}), ["conv_id", "n"])
+    order = W.partitionBy("conv_id").orderBy("idx", "nth")
+    said = said.select("conv_id", F.row_number().over(order).cast("long").alias("place"), "word", F.collect_list("idx").over(order.rowsBetween(1 - fuzzy.LOOK_BACK, -1)).alias("at"), "idx")
+    found = fuzzy.repeats(said, "conv_id").select("conv_id", "n", "k", F.element_at("at", (F.col("m") - F.col("n")).cast("int")).alias("before"), F.col("idx").alias("again"))
+    none = F.lit(0).cast("long")
+    found = nearest.select("conv_id", none.alias("n"), none.alias("k"), "before", "again").unionByName(found)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    found = found.select("conv_id", "n", "k", "before", "again").groupBy("conv_id").cogroup(nearest.select(F.col("conv_id").alias("own"), "before", "again").groupBy("own")).applyInPandas(_chosen, f"conv_id {kind}, before long, again long")
-    return nearest.withColumn("kind", F.lit("clause")).unionByName(found.withColumn("kind", F.lit("words")))
+    return sequential.streamed(found, ["conv_id"], ["k", "n", "again"], _chosen, f"conv_id {kind}, before long, again long, kind string")
 
 
 def script_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessella.plans import cuts, series, texts
+from tessella.plans import cuts, fuzzy, series, texts
 from tessella.sources import views
 from tests.test_queries import SF, same_rows
 
@@ -47,3 +47,10 @@ def test_onsets_sort_once(spark):
     """No sort by a comparison in Spark's own lambda, and none for each element of a window."""
     plan = series.onsets(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan and plan.count("sort_array") == 2
+
+
+def test_restarts_stay_where_the_words_are(spark):
+    """Openings and repeats are compared in windows: no join, so nothing is broadcast, and words shuffle once."""
+    plan = fuzzy.restarts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(conv_id") - plan.count("ReusedExchange") <= 3
