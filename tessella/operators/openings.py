@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessella.operators import fuzzy
-from tessella.operators.intervals import overlap_join
 
 
 def first_openings(clauses: DataFrame, by: str) -> DataFrame:
@@ -58,9 +57,15 @@ def ends_alike(x: Column, y: Column) -> Column:
     return pandas_udf(_ends, "array<int>")(x, y)
 
 
-def without_lesser(rows: DataFrame, by: str, width: int) -> DataFrame:
-    """rows (by, b, e, rank and others) without those that meet one of a smaller rank: a sweep in buckets of width, as an equi-join."""
-    own = rows.withColumn("__row", F.struct(*rows.columns))
-    better = rows.select(by, "b", "e", F.col("rank").alias("__better")).distinct()
-    beaten = overlap_join(own, better, [by], width).where(F.col("__better") < F.col("rank")).select("__row").distinct()
-    return own.join(beaten, "__row", "left_anti").select(rows.columns)
+def without_lesser(rows: DataFrame, by: str, width: int = 0) -> DataFrame:
+    """rows (by, b, e, rank and others; b < e) without those that meet one of a smaller rank.
+
+    A row stands beside each larger rank of its key too.  What meets it then begins before it and ends after its start, or begins in it: the latest end so far and the next start say so, and nothing is joined.
+    width is what buckets of a join would need; windows don't."""
+    each = rows.withColumn("__ranks", F.collect_set("rank").over(W.partitionBy(by)))
+    each = each.withColumn("__for", F.explode(F.filter("__ranks", lambda r: r >= F.col("rank")))).drop("__ranks")
+    better = F.col("rank") < F.col("__for")
+    upto, ahead = (W.partitionBy(by, "__for").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow) for order in ("b", F.desc("b")))
+    each = each.withColumn("__ends", F.max(F.when(better, F.col("e"))).over(upto)).withColumn("__begins", F.min(F.when(better, F.col("b"))).over(ahead))
+    beaten = F.coalesce(F.col("__ends") > F.col("b"), F.lit(False)) | F.coalesce(F.col("__begins") < F.col("e"), F.lit(False))
+    return each.where(~better & ~beaten).select(rows.columns)

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessella.plans import cuts, fuzzy, series, texts
+from tessella.plans import cuts, fuzzy, openings, series, texts
 from tessella.sources import views
 from tests.test_queries import SF, same_rows
 
@@ -54,3 +54,9 @@ def test_restarts_stay_where_the_words_are(spark):
     plan = fuzzy.restarts(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
     assert plan.count("Exchange hashpartitioning(conv_id") - plan.count("ReusedExchange") <= 3
+
+
+def test_candidates_are_not_broadcast(spark):
+    """Candidates of one kind meet those of weightier kinds in a window; the joins that are left are by conversation and merge."""
+    plan = openings.cut_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "__bucket" not in plan
