@@ -145,8 +145,7 @@ def _hearings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words against a second hearing of them, lined up by what they say (numbers as digits, contractions spoken out): (conv_id, what, left, right), the words' numbers."""
     rows, other = _hearings(spark, sf_dir)
-    found = aligned(rows, other, "conv_id")
-    found = found.join(rows.select("conv_id", F.col("idx").alias("left"), F.col("word").alias("left_word")), ["conv_id", "left"], "left").join(other.select("conv_id", F.col("idx").alias("right"), F.col("word").alias("right_word")), ["conv_id", "right"], "left")
+    found = aligned(rows, other, "conv_id", keep=["word"])
     return found.select("conv_id", "what", F.col("left_word").alias("left"), F.col("right_word").alias("right"))
 
 
@@ -154,9 +153,8 @@ def verified_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of words in the second hearing, by the kind of difference, with how many and the first: a hesitation on either side, a fragment (one is the start of the other), spelling
     (at most a fifth of the letters edited), heard otherwise, missing, or more."""
     rows, other = _hearings(spark, sf_dir)
-    found = aligned(rows, other, "conv_id").where("what != 'same'")
-    found = found.join(rows.select("conv_id", F.col("idx").alias("left"), "word", F.col("key").alias("was")), ["conv_id", "left"], "left").join(other.select("conv_id", F.col("idx").alias("right"), F.col("key").alias("now")), ["conv_id", "right"], "left")
-    return found.withColumn("kind", difference(F.col("what"), F.col("was"), F.col("now"))).groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+    found = aligned(rows, other, "conv_id", keep=["word", "key"]).where("what != 'same'")
+    return found.withColumn("kind", difference(F.col("what"), F.col("left_key"), F.col("right_key"))).groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.min("left_word").alias("first"))
 
 
 def difference(what: Column, was: Column, now: Column) -> Column:

@@ -362,3 +362,41 @@ def test_canonical_rows(spark):
     own = [found[1, k] for k in range(1, 11)]
     assert [k for _, k, _, _ in own] == ["we", "want", "to", "pay", "25000", "dollars", "for", "200", "cats", "now"]
     assert own[4] == (4, "25000", 30, 59) and own[7] == (9, "200", 80, 99) and len(found) == 12
+
+
+def test_canonical_rows_take_no_array_along(spark):
+    """A token's times come before tokens are rows: none of a long key's rows goes through its words again."""
+    rows = spark.createDataFrame([(1, k, "wanna" if k % 3 else "twenty", 10 * k, 10 * k + 9) for k in range(1, 5001)], "c long, idx long, key string, b long, e long")
+    found = fuzzy.canonical_rows(rows, "c")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in plan and not any("words" in line.split("Generate", 1)[1] for line in plan.splitlines() if "Generate" in line)
+    own = [tuple(r) for r in found.orderBy("idx").collect()]
+    assert own[:3] == [(1, 1, 1, "want", 10, 19), (1, 2, 1, "to", 10, 19), (1, 3, 2, "want", 20, 29)] and own[4] == (1, 5, 3, "20", 30, 39) and len(own) == 5000 + 3334
+
+
+def test_matcher_as_difflib():
+    """The same matches, and a word's places before a stretch aren't gone through again for it."""
+    rng = random.Random(13)
+    for n in (0, 1, 5, 60, 400):
+        a, b = ([rng.choice("abcdefgh") for _ in range(n)] for _ in range(2))
+        b = [*a[: n // 2], *b]
+        assert alignment.Matcher(a, b).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+    class Places(list):
+        seen = 0
+
+        def __getitem__(self, k):
+            found = super().__getitem__(k)
+            Places.seen += len(found) if isinstance(k, slice) else 1
+            return found
+
+        def __iter__(self):
+            Places.seen += len(self)
+            return super().__iter__()
+
+    a = ["x"] * 300 + [f"w{k}" for k in range(300)]
+    matcher = alignment.Matcher(a, a)
+    matcher.b2j = {w: Places(p) for w, p in matcher.b2j.items()}
+    Places.seen = 0
+    assert matcher.find_longest_match(300, 600, 300, 600) == (300, 300, 300) and matcher.find_longest_match(0, 10, 290, 300).size == 10
+    assert Places.seen < 300 * 12 + 10 * 12 * 2
