@@ -8,6 +8,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -113,6 +114,26 @@ def close_in_time(tokens: DataFrame, words: DataFrame, on: Sequence[str], width:
     return pairs.join(ratios, ["token", "word"])
 
 
+@lru_cache(maxsize=200_000)
+def _ratio_of(token: str, word: str) -> float:
+    return fuzzy.list_ratio(token, word)
+
+
+def places_alike(tokens: Column, words: Column, num: int, den: int) -> Column:
+    """For each of an array of tokens the places (from 0) in an array of words that are at least num / den like it.
+
+    Two words have at most their letters in common, so a ratio is taken where those are enough alone."""
+
+    def alike(token: str, word: str) -> bool:
+        most = 2 * (fuzzy.letters(token) & fuzzy.letters(word)).bit_count()
+        return most > 0 and den * most >= num * (len(token) + len(word)) and _ratio_of(token, word) >= num / den
+
+    def run(own: pd.Series, said: pd.Series) -> pd.Series:
+        return pd.Series([[[k for k, word in enumerate(y) if alike(token, word)] for token in x] for x, y in zip(own, map(list, said), strict=True)], dtype="object")
+
+    return pandas_udf(run, "array<array<int>>")(tokens, words)
+
+
 def first_later(found: DataFrame, by: Sequence[str], nth: str, begin: Column, back: int) -> DataFrame:
     """Of found (by, nth, s, begin's columns): each of a key's tokens in order takes the first s that isn't over `back` before what the one before took (the first: before begin): (by, hits), hits an array of struct(nth, s).
 

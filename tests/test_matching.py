@@ -128,3 +128,11 @@ def test_takes_of_a_line_that_the_script_says_twice(spark, tmp_path):
     assert found[2] == [(0, 0, True), (7, 2000, True)]
     assert found[3] == [(0, 0, True), (16, 2000, True), (8, None, False)]
     assert found[4] == [(0, 2000, True)]
+
+
+def test_places_alike(spark):
+    """Against ratios of all pairs."""
+    rng = random.Random(21)
+    rows = [tuple(["".join(rng.choice("abcde") for _ in range(rng.randrange(0, 7))) for _ in range(n)] for n in (6, 15)) for _ in range(60)]
+    found = spark.createDataFrame(rows, "x array<string>, y array<string>").select("x", "y", matching.places_alike(F.col("x"), F.col("y"), 7, 10).alias("at")).collect()
+    assert all(r.at == [[k for k, w in enumerate(r.y) if t and w and SequenceMatcher(None, t, w, autojunk=False).ratio() >= 0.7] for t in r.x] for r in found) and any(any(r.at) for r in found)

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessella.plans import cuts, fuzzy, openings, series, texts
+from tessella.plans import cuts, fuzzy, matching, openings, series, texts
 from tessella.sources import views
 from tests.test_queries import SF, same_rows
 
@@ -60,3 +60,11 @@ def test_candidates_are_not_broadcast(spark):
     """Candidates of one kind meet those of weightier kinds in a window; the joins that are left are by conversation and merge."""
     plan = openings.cut_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "__bucket" not in plan
+
+
+def test_captions_meet_speech_where_the_words_are(spark, monkeypatch):
+    """Words within reach of a caption are in its row: no join by letters, and words shuffle once."""
+    monkeypatch.setattr(views, "PART_TURNS", 20)
+    for name in ("captions_spoken", "caption_times"):
+        plan = matching.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning(conv_id") == plan.count("Exchange ") == 1, name
