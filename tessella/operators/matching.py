@@ -43,17 +43,37 @@ def anchors(phrases: DataFrame, counts: DataFrame, num: int, den: int) -> DataFr
     return rows.where((F.col("rank") <= F.col("size") - need + F.col("least")) & F.col("n").isNotNull()).select("phrase", "word", "size", "least").distinct()
 
 
+def common_in_order(words: Sequence[str], masks: dict[str, int], size: int) -> int:
+    """The longest common subsequence of words and a text of `size` words, whose places are masks' bits: as many words as blocks can match at most."""
+    free = whole = (1 << size) - 1
+    for word in words:
+        if mask := masks.get(word):
+            met = free & mask
+            free = (free + met | free - met) & whole
+    return size - free.bit_count()
+
+
 def _best_among(words: pd.Series, phrase: pd.Series, least: pd.Series) -> pd.Series:
-    """Of each stretch of words: the windows in it that are as long as the phrase (all of it, if it is shorter), as [offset, score in thousandths], from the least score on."""
+    """Of each stretch of words: the windows in it that are as long as the phrase (all of it, if it is shorter), as [offset, score in thousandths], from the least score on.
+
+    What a window has in common with the phrase is kept as it moves on by a word; blocks are matched where enough of it comes in the phrase's order alone."""
     out = []
     for own, said, low in zip(words, phrase, least, strict=True):
         own, said = list(own), list(said)
         n, wanted, found = len(said), Counter(said), []
-        for start in range(max(0, len(own) - n) + 1):
-            window = own[start : start + n]
-            bag = sum(min(k, wanted[w]) for w, k in Counter(window).items())
-            if 2 * bag * 1000 >= low * (n + len(window)):
-                score = round(1000 * fuzzy.list_ratio(window, said))
+        size, have, bag, masks = min(n, len(own)), Counter(), 0, {}
+        for k, word in enumerate(said):
+            masks[word] = masks.get(word, 0) | 1 << k
+        for end, word in enumerate(own):
+            if word in wanted:
+                have[word] += 1
+                bag += have[word] <= wanted[word]
+            start = end - size + 1
+            if start > 0 and own[start - 1] in wanted:
+                bag -= have[own[start - 1]] <= wanted[own[start - 1]]
+                have[own[start - 1]] -= 1
+            if start >= 0 and 2 * bag * 1000 >= low * (n + size) and 2 * common_in_order(own[start : end + 1], masks, n) * 1000 >= low * (n + size):
+                score = round(1000 * fuzzy.list_ratio(own[start : end + 1], said))
                 if score >= low:
                     found.append((start, score))
         out.append(found)
@@ -63,26 +83,41 @@ def _best_among(words: pd.Series, phrase: pd.Series, least: pd.Series) -> pd.Ser
 def phrase_windows(texts: DataFrame, phrases: DataFrame, num: int = 6, den: int = 10, top: int = 3, apart: int = 3_000) -> DataFrame:
     """Where texts (doc, words, starts: arrays) say phrases (phrase, words): (phrase, doc, place, start, score), of windows as long as the phrase (the whole text, if that is shorter) and at least num / den like it the `top` best whose starts are over `apart` apart; ties go to the earliest.
 
-    Equi-join on a phrase's rarest words; only windows that hold two of them are looked at.  The texts are read several times, so they are written down as words once."""
+    Equi-join on a phrase's rarest words; only windows that hold two of them are looked at, each once, with the first two that it holds.  The texts are read several times, so they are written down as words once; a text meets all that is looked at in it in one row, so its words aren't copied for each."""
     texts = cut(texts)
     said = texts.select("doc", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "word"))
-    counts = said.groupBy("word").agg(F.count("*").alias("n"))
+    every = _small(phrases.select("phrase", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("word")))
+    counts = said.join(every.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     rare = anchors(phrases, counts, num, den)
-    hits = said.join(_small(rare), "word").where("n_words >= size").select("doc", "phrase", "place", "size", "least").distinct()
+    hits = said.join(_small(rare), "word").where("n_words >= size").select("doc", "phrase", "place", "n_words", "size", "least").repartition("doc")
     order = W.partitionBy("doc", "phrase").orderBy("place")
     end = F.when(F.col("least") == 1, F.col("place")).otherwise(F.lead("place").over(order))
-    whole = hits.withColumn("end", end).where(F.col("end") - F.col("place") < F.col("size"))
-    whole = whole.select("doc", "phrase", F.greatest(F.lit(0), F.col("end") - F.col("size") + 1).alias("first"), F.col("place").alias("last"))
+    whole = hits.withColumn("end", end).withColumn("before", F.coalesce(F.lag("place").over(order), F.lit(-1))).where(F.col("end") - F.col("place") < F.col("size"))
+    first, last = F.greatest(F.col("before") + 1, F.col("end") - F.col("size") + 1, F.lit(0)), F.least("place", F.col("n_words") - F.col("size"))
+    whole = whole.select("doc", "phrase", first.alias("first"), last.alias("last")).where("first <= last")
+    # a text shorter than the phrase is one window; as many of its words as are like it must be the phrase's
     longest = phrases.agg(F.max(F.size("words"))).first()[0] or 0
-    every = phrases.select("phrase", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("word"))
-    short = said.where(F.col("n_words") < longest).join(_small(every), "word").where("n_words < size").select("doc", "phrase").distinct()
+    short = said.where(F.col("n_words") < longest).join(every, "word").where("n_words < size").groupBy("doc", "phrase", "n_words", "size").agg(F.count("*").alias("shared"))
+    short = short.where(2 * den * F.col("shared") >= num * (F.col("size") + F.col("n_words")))
     hits = whole.unionByName(short.select("doc", "phrase", F.lit(0).alias("first"), F.lit(0).alias("last")))
-    rows = hits.join(texts, "doc").join(_small(phrases.select("phrase", F.col("words").alias("said"))), "phrase")
-    stretch = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.size("said"))
-    rows = rows.select("phrase", "doc", "first", "said", stretch.alias("stretch"), F.slice("starts", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("starts"))
+    hits = hits.join(_small(phrases.select("phrase", F.size("words").alias("size"))), "phrase")
+    per = hits.groupBy("doc").agg(F.collect_list(F.struct("phrase", "first", "last", "size")).alias("all"))
+
+    def places(column: str, first: Column, last: Column) -> Column:
+        # by place: slice() makes objects of the whole array each time
+        return F.transform(F.sequence(first, last), lambda k: F.get(column, k))
+
+    def part(x: Column) -> Column:
+        end = F.least(x["last"] + x["size"], F.size("words")) - 1
+        return F.struct(x["phrase"].alias("phrase"), x["first"].alias("first"), places("words", x["first"], end).alias("stretch"), places("starts", x["first"], x["last"]).alias("starts"))
+
+    rows = texts.join(per, "doc").select("doc", F.explode(F.transform("all", part)).alias("x")).select("doc", "x.*")
+    rows = rows.join(_small(phrases.select("phrase", F.col("words").alias("said"))), "phrase")
+    shared = F.size(F.filter("stretch", lambda w: F.array_contains("said", w)))
+    rows = rows.where(2 * den * shared >= num * (F.size("said") + F.least(F.size("said"), F.size("stretch"))))
     among = pandas_udf(_best_among, "array<struct<place: int, score: int>>")("stretch", "said", F.lit(1000 * num // den))
     rows = rows.select("phrase", "doc", "first", "starts", F.explode(among).alias("x"))
-    rows = rows.select("phrase", "doc", (F.col("first") + F.col("x.place")).cast("long").alias("place"), F.get("starts", F.col("x.place")).alias("start"), F.col("x.score").cast("long").alias("score")).distinct()
+    rows = rows.select("phrase", "doc", (F.col("first") + F.col("x.place")).cast("long").alias("place"), F.get("starts", F.col("x.place")).alias("start"), F.col("x.score").cast("long").alias("score"))
     spaced = rows.withColumn("b", F.col("start")).withColumn("e", F.col("start") + apart + 1)
     return sequential.shortlist(spaced, ["phrase", "doc"], "score", ["b", "place"], top).where("kept").select("phrase", "doc", "place", "start", "score")
 
