@@ -111,7 +111,7 @@ def phrase_windows(texts: DataFrame, phrases: DataFrame, num: int = 6, den: int
         end = F.least(x["last"] + x["size"], F.size("words")) - 1
         return F.struct(x["phrase"].alias("phrase"), x["first"].alias("first"), places("words", x["first"], end).alias("stretch"), places("starts", x["first"], x["last"]).alias("starts"))
 
-    rows = texts.join(per, "doc").select("doc", F.explode(F.transform("all", part)).alias("x")).select("doc", "x.*")
+    rows = texts.hint("merge").join(per, "doc").select("doc", F.explode(F.transform("all", part)).alias("x")).select("doc", "x.*")
     rows = rows.join(_small(phrases.select("phrase", F.col("words").alias("said"))), "phrase")
     shared = F.size(F.filter("stretch", lambda w: F.array_contains("said", w)))
     rows = rows.where(2 * den * shared >= num * (F.size("said") + F.least(F.size("said"), F.size("stretch"))))
