@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import aggregates as A
 from tessella.operators import intervals
-from tessella.sources.views import MEASURES_SQL, VIDEOS_SQL, measures, videos
+from tessella.sources.views import MEASURES_SQL, VIDEOS_SQL, dealt_out, measures, table, videos
 
 EVERY, WIDTH, SLACK, LEAST = 15, 60, 2, 5
 #: Margins that the platform's controls cover: left, top, right, bottom.
@@ -19,8 +19,8 @@ BOX = ("x0", "y0", "x1", "y1")
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, nr, category, entrance, hold, x0, y0, x1, y1, b, e); boxes end at 100."""
-    rows = measures(spark, sf_dir).groupBy("video", "nr").agg(*[F.min(F.struct("category", "entrance", "hold", *BOX)).alias("x")]).select("video", "nr", "x.*")
+    """(video, nr, category, entrance, hold, x0, y0, x1, y1, b, e); boxes end at 100.  They are dealt out by video once."""
+    rows = dealt_out(measures(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "video").groupBy("video", "nr").agg(*[F.min(F.struct("category", "entrance", "hold", *BOX)).alias("x")]).select("video", "nr", "x.*")
     begin = (F.col("nr") - 1) * EVERY
     return rows.withColumns({"x1": F.least("x1", F.lit(100)), "y1": F.least("y1", F.lit(100)), "b": begin, "e": begin + F.col("hold")})
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import edits, matching, sequential, trees
-from tessella.sources.views import table
+from tessella.sources.views import dealt_out, table
 
 #: Places of a user's plan, and what each kind of event asks for.
 PLACES = 40
@@ -114,8 +114,9 @@ def shared_by_weight(rows: DataFrame, by: list[str], order: str, total: str, wei
 
 def shot_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as its shots: SHARE_MS for each of them shared by their part's size, none shorter than reading it takes; line 1 has a length of its own."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("weight")), "l_partkey")
-    lines = lines.where("weight > 0")
+    items = table(spark, sf_dir, "lineitem")
+    lines = items.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("weight")), "l_partkey")
+    lines = dealt_out(lines.where("weight > 0"), items.count(), "l_orderkey")
     nr: Column = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
     lines = lines.select(F.col("l_orderkey").alias("order"), nr.alias("nr"), "weight", F.greatest(F.lit(LEAST_MS), F.floor("l_quantity").cast("long") * READ_MS).cast("long").alias("least"))
     lines = lines.withColumn("total", F.count("*").over(W.partitionBy("order")) * SHARE_MS).withColumn("fixed", F.when(F.col("nr") == 1, F.lit(2_500).cast("long")))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,32 +21,30 @@ TICKS = 30
 
 def card_findings(rows: DataFrame) -> DataFrame:
     """Each card's faults and each video's: cards out of bounds, tiny, off their place, too dense, all alike, or without what a style asks for."""
-    ends = rows.groupBy("video").agg((F.max("b") + 40).alias("length"))
-    own = rows.join(ends, "video")
-    late = F.abs(F.col("x0") - 5) > 5
-
-    def each(level: str, rule: str, where) -> DataFrame:
-        return own.where(where).select("video", F.lit(level).alias("level"), F.lit(rule).alias("rule"), "nr")
-
+    own = rows.withColumn("length", F.max("b").over(W.partitionBy("video")) + 40)
     of_video = rows.groupBy("video").agg(
-        F.count("*").alias("n"), F.count_distinct("entrance").alias("entrances"), F.max(F.col("b")).alias("last"), (F.max("e") / 60).alias("minutes"),
-        F.count_if(F.col("category") == "R").alias("typed"), F.max_by("nr", F.struct("b", "nr")).alias("nr"), *[F.count_if(F.col("category") == k).alias(f"of_{k}") for k in RATES],
+        F.count("*").alias("n"), (F.min("entrance") == F.max("entrance")).alias("one"), (F.max("e") / 60).alias("minutes"),
+        F.count_if(F.col("category") == "R").alias("typed"), *[F.count_if(F.col("category") == k).alias(f"of_{k}") for k in RATES],
     )
-
-    def whole(level: str, rule: str, where) -> DataFrame:
-        return of_video.where(where).select("video", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.lit(None).cast("long").alias("nr"))
-
-    found = [
-        each("FAIL", "out of bounds", F.col("e") > F.col("length")),
-        each("WARN", "lands off its word", late),
-        each("LOOK", "tiny", area() < 600),
-        whole("BAN", "one entrance", (F.col("n") >= 4) & (F.col("entrances") == 1)),
-        whole("BAN", "half typed", F.col("typed") * 2 > F.col("n")),
-        whole("WARN", "too dense", F.col("n") > 5 * F.col("minutes")),
-        *[whole("FAIL", f"no cards of {k}", (F.col(f"of_{k}") == 0) & (F.col("minutes") * rate >= 1)) for k, rate in RATES.items()],
-        *[whole("WARN", f"rate of {k}", (F.col(f"of_{k}") > 0) & (F.abs(F.col(f"of_{k}") - F.col("minutes") * rate) >= 1) & ~F.col(f"of_{k}").between(F.col("minutes") * rate / 2, F.col("minutes") * rate * 2 + 0.5)) for k, rate in RATES.items()],
+    each = [
+        ("FAIL", "out of bounds", F.col("e") > F.col("length")),
+        ("WARN", "lands off its word", F.abs(F.col("x0") - 5) > 5),
+        ("LOOK", "tiny", area() < 600),
     ]
-    return reduce(DataFrame.unionByName, found)
+    whole = [
+        ("BAN", "one entrance", (F.col("n") >= 4) & F.col("one")),
+        ("BAN", "half typed", F.col("typed") * 2 > F.col("n")),
+        ("WARN", "too dense", F.col("n") > 5 * F.col("minutes")),
+        *[("FAIL", f"no cards of {k}", (F.col(f"of_{k}") == 0) & (F.col("minutes") * rate >= 1)) for k, rate in RATES.items()],
+        *[("WARN", f"rate of {k}", (F.col(f"of_{k}") > 0) & (F.abs(F.col(f"of_{k}") - F.col("minutes") * rate) >= 1) & ~F.col(f"of_{k}").between(F.col("minutes") * rate / 2, F.col("minutes") * rate * 2 + 0.5)) for k, rate in RATES.items()],
+    ]
+
+    def broken(found: DataFrame, checks: list, nr: Column) -> DataFrame:
+        """A row for each check that a row breaks: all are looked at in one pass."""
+        faults = F.array_compact(F.array(*[F.when(where, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"))) for level, rule, where in checks]))
+        return found.select("video", nr.alias("nr"), F.explode(faults).alias("x")).select("video", "x.level", "x.rule", "nr")
+
+    return broken(own, each, F.col("nr")).unionByName(broken(of_video, whole, F.lit(None).cast("long")))
 
 
 def plan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from tessella.operators import matching
-from tessella.plans import rules, styles
+from tessella.plans import edits, findings, rules, styles
+from tessella.sources import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +42,16 @@ def test_plan_verdicts_read_cards_once(spark):
 
 def test_category_styles_read_cards_three_times(spark):
     assert scans(styles.category_styles(spark, SF), "l_orderkey") == 3
+
+
+def test_plan_findings_read_cards_twice(spark):
+    found = plan_of(findings.plan_findings(spark, SF))
+    assert len(re.findall("FileScan parquet", found)) == 2 and "Expand" not in found
+
+
+def test_shots_are_dealt_out_by_rows(spark, monkeypatch):
+    """A task's share doesn't grow with the table, and nothing shuffles after they are dealt out."""
+    monkeypatch.setattr(views, "PART_ROWS", 1_000)
+    plan = plan_of(edits.shot_lengths(spark, SF))
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000)
+    assert re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan) == [str(n)]
