@@ -3,7 +3,7 @@
 import re
 
 from tessella.operators import matching
-from tessella.plans import edits, findings, rules, styles
+from tessella.plans import edits, findings, rules, strings, styles
 from tessella.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,22 @@ def test_shots_are_dealt_out_by_rows(spark, monkeypatch):
     plan = plan_of(edits.shot_lengths(spark, SF))
     n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000)
     assert re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan) == [str(n)]
+
+
+def test_similar_rules_pair_blocks_of_a_name(spark, monkeypatch, tmp_path):
+    """Pairs of parts are neither shuffled nor counted, and are dealt out by their number; parts of several names, words in common twice, keys that come twice and nulls included."""
+    monkeypatch.setattr(strings, "BLOCK", 3)
+    monkeypatch.setattr(strings, "PART_PAIRS", 50)
+    names = ["red bolt", "bolt red", "red red", "red gear", "big old rod gear", "the", "", None, "don't bolt"]
+    parts = [(k, names[k * k % len(names)] if k % 5 else "red bolt", ("x", "y", None)[k % 7 % 3], k % 2) for k in range(120)] + [(3, "red bolt", "x", 1), (None, "red bolt", "x", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = strings.similar_rules(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(
+        (a, b, len(x & y), min(len(x), len(y)))
+        for a, n, brand, size in parts for b, m, other, large in parts
+        if None not in (a, b, n, m, brand) and brand == other and size == large and a < b
+        for x, y in [[{w.replace("'", "") for w in t.split()} - {"the"} for t in (n, m)]] if x & y and 2 * len(x & y) >= min(len(x), len(y))
+    )
+    assert found.rdd.getNumPartitions() > 20
+    plan = plan_of(found)
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")] and "keys" in plan
