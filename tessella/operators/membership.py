@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 28
 
 
-def _is_set(bitmap: Column, slot: Column) -> Column:
+def _numbers(bitmap: Column) -> Column:
+    """A block's bytes as numbers of 32 bits, so that a row takes one by its place instead of making a text of a byte."""
+    return F.transform(F.sequence(F.lit(0), (F.length(bitmap) / 4 - 1).cast("int")), lambda k: F.conv(F.hex(F.substring(bitmap, (k * 4 + 1).cast("int"), F.lit(4))), 16, 10).cast("long"))
+
+
+def _is_set(numbers: Column, slot: Column) -> Column:
     place = F.bitmap_bit_position(slot + 1)
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
+    byte, bit = F.shiftright(place, 3), place.bitwiseAND(F.lit(7))
+    return F.getbit(F.get(numbers, F.shiftright(place, 5).cast("int")), (24 - byte.bitwiseAND(F.lit(3)) * 8 + bit).cast("int")) == 1
 
 
 def among(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
@@ -22,5 +27,6 @@ def among(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
     bits = min(MOST_BITS, 1 << max(20, (16 * values.count()).bit_length()))
     slots = values.select(F.pmod(F.col(values.columns[0]), F.lit(bits)).alias("__slot")).distinct()
     maps = slots.groupBy(F.bitmap_bucket_number(F.col("__slot") + 1).alias("__block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("__slot") + 1)).alias("__bitmap"))
+    maps = maps.select("__block", _numbers(F.col("__bitmap")).alias("__numbers"))
     slot = F.pmod(F.col(key), F.lit(bits))
-    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot + 1) == F.col("__block")).where(_is_set(F.col("__bitmap"), slot)).select(rows.columns)
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot + 1) == F.col("__block")).where(_is_set(F.col("__numbers"), slot)).select(rows.columns)

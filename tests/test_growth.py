@@ -2,8 +2,9 @@
 
 import re
 
-from tessella.operators import matching
-from tessella.plans import cuts, edits, findings, rules, strings, styles
+from tessella.operators import matching, membership
+from tessella.plans import cuts, edits, findings, rules, strings, styles, texts
+from tessella.plans import matching as takes
 from tessella.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,20 @@ def test_remapped_times_shuffle_words_once(spark, monkeypatch):
     n = -(-spark.read.parquet(f"{SF}/conversations.parquet").count() // 10)
     assert re.findall(r"Exchange hashpartitioning\(conv_id#\d+L?, (\d+)\)", found) == [str(n)] and found.count("Exchange") == 1
     assert len(re.findall("FileScan parquet", found)) == 1 and "Union" not in found
+
+
+def test_texts_are_cut_once_for_their_grams(spark):
+    """The words of a text aren't cut once to be counted and once more to be hashed; its grams are looked up by place, without a text of the bitmap's bytes for each."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = texts.hashed_grams(docs.limit(3), "doc_id", 3).select("gram.h1").distinct()
+    plan = plan_of(texts.hashed_grams(docs, "doc_id", 3))
+    assert plan.count("split(") == 1
+    found = plan_of(membership.among(texts.hashed_grams(docs, "doc_id", 3).select("gram.h1"), "h1", few))
+    join = next(line for line in found.splitlines() if "BroadcastHashJoin" in line)
+    assert "getbit" in join and "hex(" not in join and "substring(" not in join
+
+
+def test_takes_are_found_once(spark):
+    """What script_takes and off_script make of the takes doesn't go through all texts again; off_script counts their words besides."""
+    scans_of = lambda df: len(re.findall(r"FileScan parquet \[doc_id[^\]]*text", plan_of(df)))
+    assert scans_of(takes.script_takes(spark, SF)) == 0 and scans_of(takes.off_script(spark, SF)) == 1
